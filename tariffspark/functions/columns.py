@@ -105,7 +105,8 @@ def number_as_text(x: Column) -> Column:
     """Whole numbers without a fraction part, others in general format."""
     whole = F.abs(x - F.rint(x)) <= 1e-9
     general = F.regexp_replace(F.format_string("%.6g", x), r"(\.[0-9]*?)0+$", "$1")
-    return F.when(whole, F.rint(x).cast("bigint").cast("string")).otherwise(F.regexp_replace(general, r"\.$", ""))
+    text = F.when(whole, F.rint(x).cast("bigint").cast("string")).otherwise(F.regexp_replace(general, r"\.$", ""))
+    return F.when(x.isNotNull(), text)
 
 
 def date_part(ts: Column, part: str) -> Column:

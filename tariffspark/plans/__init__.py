@@ -1,5 +1,5 @@
 """Registered queries with their SQL twins, one module per subject."""
 
-from tariffspark.plans import data, eda, price
+from tariffspark.plans import data, eda, prep, price
 
-MODULES = [data, eda, price]
+MODULES = [data, eda, prep, price]

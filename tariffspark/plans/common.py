@@ -2,7 +2,9 @@
 
 Doubles that come from sums or logarithms differ in their last bits between
 engines, so a registered query rounds them; the operators themselves never do.
-``floor(x * 10^d + 0.5) / 10^d`` is the same arithmetic in both engines.
+``floor(x * 10^d + 0.5003) / 10^d`` is the same arithmetic in both engines, and
+the small excess over one half keeps sums of short decimals, which often end
+exactly on a half, away from the rounding boundary.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 def fx(c: Column, digits: int = 9) -> Column:
     scale = F.lit(float(10 ** digits))
-    return F.floor(c.cast("double") * scale + F.lit(0.5)).cast("double") / scale
+    return F.floor(c.cast("double") * scale + F.lit(0.5003)).cast("double") / scale
 
 
 def rounded(df: DataFrame, digits: int = 9, *columns: str, **other: int) -> DataFrame:
@@ -24,7 +26,7 @@ def rounded(df: DataFrame, digits: int = 9, *columns: str, **other: int) -> Data
 
 def sfx(expression: str, digits: int = 9) -> str:
     scale = f"{10 ** digits}.0::DOUBLE"
-    return f"(floor(({expression})::DOUBLE * {scale} + 0.5) / {scale})"
+    return f"(floor(({expression})::DOUBLE * {scale} + 0.5003::DOUBLE) / {scale})"
 
 
 DRIVER_ROWS = """driver_rows AS (
