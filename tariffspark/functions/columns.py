@@ -109,6 +109,13 @@ def number_as_text(x: Column) -> Column:
     return F.when(x.isNotNull(), text)
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 by calendar arithmetic, whatever the session time zone."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    fraction = F.date_format(ts, "SSSSSS").cast("bigint")
+    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint") * F.lit(86_400_000_000) + seconds.cast("bigint") * F.lit(1_000_000) + fraction
+
+
 def date_part(ts: Column, part: str) -> Column:
     """One calendar feature of a timestamp; a missing date gives 0 (month 0 for the cycle)."""
     month = F.coalesce(F.month(ts), F.lit(0)).cast("double")

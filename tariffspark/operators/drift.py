@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tariffspark.functions.columns import finite, half_open_bin
-from tariffspark.operators.order import with_rank
+from tariffspark.functions.columns import finite, half_open_bin, micros
+from tariffspark.operators.order import first_rows_of
 from tariffspark.operators.quantiles import exact_quantiles
 from tariffspark.session import materialize
 
@@ -19,20 +19,21 @@ EPS = 1e-6
 
 def time_windows(df: DataFrame, date: str, key: str, early: float = 0.3, late: float = 0.7) -> DataFrame:
     """``window`` = reference for the first ``early`` share of the rows by time, current from ``late`` on."""
-    dated = with_rank(df.where(F.col(date).isNotNull()), date, key, name="_rank")
+    dated = df.where(F.col(date).isNotNull())
     n = dated.count()
-    window = F.when(F.col("_rank") <= int(n * early), "reference").when(F.col("_rank") > int(n * late), "current")
-    return dated.withColumn("window", window).where("window is not null").drop("_rank")
+    first, until = first_rows_of(dated, micros(F.col(date)), key, [int(n * early), int(n * late)])
+    return dated.withColumn("window", F.when(first, "reference").when(~until, "current")).where("window is not null")
 
 
 def time_split(df: DataFrame, date: str, key: str, share: float = 0.7, min_rows: int = 500) -> DataFrame | None:
     """Reference / current split at ``share`` of the dated rows; None when the table is too short for it."""
-    dated = with_rank(df.where(F.col(date).isNotNull()), date, key, name="_rank")
+    dated = df.where(F.col(date).isNotNull())
     n, least = dated.count(), max(int(min_rows), 20)
     cut = min(max(round(n * min(max(share, 0.5), 0.95)), least), max(n - least, 1))
     if n < 2 or cut <= 0 or cut >= n:
         return None
-    return dated.withColumn("window", F.when(F.col("_rank") <= cut, "reference").otherwise("current")).drop("_rank")
+    (first,) = first_rows_of(dated, micros(F.col(date)), key, [cut])
+    return dated.withColumn("window", F.when(first, "reference").otherwise("current"))
 
 
 def _bins_of(x: Column, edges: list[float], mode: str) -> Column:

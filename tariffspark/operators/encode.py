@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffspark.functions.columns import clean_numeric_like, clip, date_part, key_hash, key_text, number_as_text, to_number
@@ -106,25 +106,30 @@ def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def kept_categories(counts: DataFrame, share: float = 0.005, least: int = 200, fallback: int = 20) -> DataFrame:
-    """Categories to keep: common by share or by count; if a column has none, its 20 largest.
+@dataclass
+class CategoryTotals:
+    """What one small aggregation over the counted values tells: rows, and the columns without a common value."""
 
-    The totals come back as one row per column; the fallback ranking runs only
-    over columns without any common value.
-    """
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
-    marked = counts.join(F.broadcast(totals), "feature").withColumn(
-        "common", (F.col("n") / F.col("total") >= share) | (F.col("n") >= least))
-    common = marked.where("common").select("feature", "category", "n")
-    without = totals.join(F.broadcast(marked.where("common").select("feature").distinct()), "feature", "left_anti").select("feature")
-    # All of a lacking column's values are rarer than ``least``; keep the largest by a
-    # struct max per hash slice first, so that no single task ranks all of them.
-    rare = marked.join(F.broadcast(without), "feature", "left_semi")
-    sliced = rare.withColumn("_slice", F.pmod(F.xxhash64("category"), F.lit(64)))
-    first = sliced.withColumn("_r", F.row_number().over(
-        Window.partitionBy("feature", "_slice").orderBy(F.desc("n"), "category"))).where(F.col("_r") <= fallback)
-    top = first.withColumn("_q", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), "category"))).where(F.col("_q") <= fallback)
-    return common.unionByName(top.select("feature", "category", "n"))
+    rows: int
+    lacking: list[str]
+
+
+def category_totals(counts: DataFrame, share: float, least: int) -> CategoryTotals:
+    per = counts.groupBy("feature").agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).collect()
+    rows = max((int(r["rows"]) for r in per), default=0)
+    return CategoryTotals(rows, [r["feature"] for r in per if r["largest"] / rows < share and r["largest"] < least])
+
+
+def is_kept(counts: DataFrame, totals: CategoryTotals, share: float = 0.005, least: int = 200, fallback: int = 20) -> Column:
+    """Common by share or by count; a column without any common value keeps its ``fallback`` largest."""
+    common = (F.col("n") / F.lit(float(max(totals.rows, 1))) >= share) | (F.col("n") >= least)
+    if not totals.lacking:
+        return common
+    # A distributed top-k per column; at most ``fallback`` values of each come back.
+    for feature in totals.lacking:
+        top = counts.where(F.col("feature") == feature).orderBy(F.desc("n"), "category").limit(fallback).collect()
+        common = common | ((F.col("feature") == feature) & F.col("category").isin([r["category"] for r in top]))
+    return common
 
 
 def target_encoding(sums: DataFrame, mean: Column, smoothing: float = 20.0, min_leaf: int = 100) -> DataFrame:
@@ -165,17 +170,14 @@ def fit_categories(df: DataFrame, columns: Sequence[str], target: str = CLAIM, s
         .groupBy("feature", "category").agg(F.count("*").alias("n"), F.sum("_y").alias("s"))
     )
     counts = materialize(long, "categories")
-    kept = kept_categories(counts.select("feature", "category", "n"), share, least)
-    flagged = counts.join(kept.select("feature", "category", F.lit(True).alias("kept")), ["feature", "category"], "left")
-    folded = flagged.groupBy(
-        "feature", F.when(F.col("kept"), F.col("category")).otherwise(F.lit(OTHER)).alias("category")
-    ).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    whole = counts.where(F.col("feature") == columns[0]).agg(F.sum("n"), F.sum("s")).first() if columns else (0, 0.0)
-    rows = int(whole[0] or 0)
-    mean = float(whole[1] or 0.0) / rows if rows else 0.0
-    encoded = target_encoding(folded, F.lit(mean), smoothing, min_leaf).withColumn("freq", F.col("n") / F.lit(float(max(rows, 1))))
+    totals = category_totals(counts, share, least)
+    own = counts.where(F.col("feature") == columns[0]) if columns else counts
+    mean = float(own.agg(F.sum("s")).first()[0] or 0.0) / max(totals.rows, 1)
+    name = F.when(is_kept(counts, totals, share, least), F.col("category")).otherwise(F.lit(OTHER))
+    folded = counts.groupBy("feature", name.alias("category")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    encoded = target_encoding(folded, F.lit(mean), smoothing, min_leaf).withColumn("freq", F.col("n") / F.lit(float(max(totals.rows, 1))))
     lookup = materialize(encoded.select("feature", "category", "n", "s", "te", "freq"), "lookup")
-    return CategoryState(lookup, mean, rows, lookup.count(), columns)
+    return CategoryState(lookup, mean, totals.rows, lookup.count(), columns)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -191,6 +193,7 @@ def fold_and_encode(df: DataFrame, state: CategoryState, columns: Sequence[str],
     gets the global mean and frequency 0.
     """
     known = set(state.features)
+    others = {r["feature"]: r for r in state.lookup.where(F.col("category") == OTHER).collect()}
     for c in columns:
         if c not in known:
             continue
@@ -198,14 +201,13 @@ def fold_and_encode(df: DataFrame, state: CategoryState, columns: Sequence[str],
         slim = own.select(F.col("category").alias("_k"), F.col("te").alias("_te"), F.col("freq").alias("_freq"))
         text = category_text(F.col(c))
         df = df.withColumn(c, text).join(maybe_broadcast(slim, state.lookup_rows), F.col(c) == F.col("_k"), "left")
-        fallback = own.where(F.col("category") == OTHER).agg(F.first("te").alias("te"), F.first("freq").alias("freq")).first()
         unseen = F.col("_k").isNull()
-        te_other = fallback["te"] if fallback["te"] is not None else state.target_mean
+        te_other, freq_other = (others[c]["te"], others[c]["freq"]) if c in others else (state.target_mean, 0.0)
         df = df.withColumn(c, F.when(unseen, F.lit(OTHER)).otherwise(F.col(c)))
         if c in target_columns:
             df = df.withColumn(f"{c}_te", F.coalesce("_te", F.lit(float(te_other))))
         if c in frequency_columns:
-            df = df.withColumn(f"{c}_freq", F.coalesce("_freq", F.lit(float(fallback["freq"] or 0.0))))
+            df = df.withColumn(f"{c}_freq", F.coalesce("_freq", F.lit(float(freq_other))))
         df = df.drop("_k", "_te", "_freq")
     return df
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tariffspark.functions.columns import nonneg
-from tariffspark.operators.profile import wide_to_long
 from tariffspark.operators.quality import null_rates
 from tariffspark.roles import AMOUNT, CLAIM, CONTRACT, FORBIDDEN, PREMIUM, PREMIUM_NET, TARGETS, numeric_columns
 
@@ -21,15 +20,17 @@ NAME_RULES = [
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], targets: dict[str, Column], least: int) -> DataFrame:
-    """(feature, n, <target>...) from one aggregation; pairs need a value, ``least`` of them."""
-    features = list(features)
-    row = df.agg(
-        *[F.count(c).alias(f"n__{c}") for c in features],
-        *[F.corr(F.col(c).cast("double"), y).alias(f"{t}__{c}") for t, y in targets.items() for c in features],
-    )
-    long = wide_to_long(row, features, ["n", *targets])
-    known = [F.when((F.col("n") >= least) & ~F.isnan(t), F.col(t)).alias(t) for t in targets]
-    return long.select("feature", "n", *known)
+    """(feature, n, <target>...): correlations over the non-null values, of which ``least`` are needed.
+
+    The columns are stacked, so the plan stays small for any number of them and
+    a task returns one partial row per column.
+    """
+    names = list(targets)
+    long = df.select(*[y.alias(f"_{t}") for t, y in targets.items()], *[F.col(c).cast("double").alias(c) for c in features]).unpivot(
+        [f"_{t}" for t in names], list(features), "feature", "x")
+    found = long.where("x is not null").groupBy("feature").agg(F.count("*").alias("n"), *[F.corr("x", f"_{t}").alias(t) for t in names])
+    known = [F.when((F.col("n") >= least) & ~F.isnan(t), F.col(t)).alias(t) for t in names]
+    return found.select("feature", "n", *known)
 
 
 def leakage_watchlist(df: DataFrame, max_features: int = 200, target: str = CLAIM) -> DataFrame:

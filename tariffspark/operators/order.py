@@ -1,6 +1,8 @@
 """Global order without a one-task window.
 
-Rows are range-partitioned on the full order key (value plus tie-break key, so
+Questions about a few places of the order (the first k rows, deciles) need no
+sort at all: ``first_rows_of`` finds the value at each place exactly and settles
+ties by key among the tied rows alone.  Where every row needs its place, rows are range-partitioned on the full order key (value plus tie-break key, so
 a value shared by a third of all rows still spreads over many partitions),
 sorted inside each partition and numbered by position.  Only one row count per
 partition travels to build the offsets.
@@ -8,11 +10,13 @@ partition travels to build the offsets.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tariffspark.operators.quantiles import exact_quantiles
 from tariffspark.session import materialize
 
 _POSITION_BITS = 33
@@ -57,3 +61,30 @@ def with_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFr
         .withColumn(name, F.col("_before_n") + F.col("_pos") + F.lit(1))
         .drop("_pid", "_pos", "_before_n")
     )
+
+
+def first_rows_of(df: DataFrame, value: Column, key: str, places: Sequence[int]) -> list[Column]:
+    """For each k a condition that holds for exactly the first k rows in the order of (value, key).
+
+    ``value`` is numeric and never null, ``key`` unique.  Needs a few scans of
+    the two columns and no shuffle of the rows; only rows that tie with the value
+    at place k are ordered by key.
+    """
+    x = value.cast("double")
+    table = df.select(x.alias("x"), F.col(key).alias("k"))
+    n = table.count()
+    inner = sorted({k for k in places if 0 < k < n})
+    found = exact_quantiles(table, {"x": [(k - 0.5) / (n - 1) for k in inner]})["x"] if inner else []
+    # Between two different neighbours lies their midpoint, so the value at place k is the largest one up to it.
+    tops = table.agg(*[F.max(F.when(F.col("x") <= v, F.col("x"))).alias(f"t{i}") for i, v in enumerate(found)]).first() if inner else []
+    sizes = table.agg(*[F.count_if(F.col("x") < t).alias(f"b{i}") for i, t in enumerate(tops)],
+                      *[F.count_if(F.col("x") == t).alias(f"a{i}") for i, t in enumerate(tops)]).first() if inner else []
+    conditions = {}
+    for i, k in enumerate(inner):
+        top, among, equal = tops[i], k - sizes[f"b{i}"], sizes[f"a{i}"]
+        if among >= equal:
+            conditions[k] = x <= F.lit(top)
+        else:
+            last = with_rank(table.where(F.col("x") == top).select("k"), "k").where(F.col("rank") == among).first()["k"]
+            conditions[k] = (x < F.lit(top)) | ((x == F.lit(top)) & (F.col(key) <= F.lit(last)))
+    return [conditions[k] if k in conditions else F.lit(k >= n) for k in places]

@@ -181,7 +181,7 @@ def _grid_sums(pdf: pd.DataFrame, family: Family) -> pd.DataFrame:
 
 def grid_sums(sums: DataFrame, family: Family) -> DataFrame:
     """KPI sums per (variant, bucket, grid point); a group holds at most one row per threshold."""
-    def per_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _grid_sums(pdf, family).assign(variant=np.int32(key[0]), bucket=np.int32(key[1]))
 
     schema = "ordinal long, alpha double, beta double, " + ", ".join(f"{c} double" for c in KPI_SUMS) + ", multiplier double, variant int, bucket int"

@@ -79,12 +79,12 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     features = list(columns or numeric_columns(df))
     table = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in features]), "numeric")
     quartiles = exact_quantiles(table, {c: [0.25, 0.5, 0.75] for c in features})
-    aggregates = []
-    for c in features:
-        aggregates += [F.count(c).alias(f"count__{c}"), F.avg(c).alias(f"mean__{c}"), F.stddev_samp(c).alias(f"std__{c}"),
-                       F.min(c).alias(f"min__{c}"), F.max(c).alias(f"max__{c}")]
-        aggregates += [F.first(F.lit(quartiles[c][i]).cast("double")).alias(f"{n}__{c}") for i, n in enumerate(("q25", "q50", "q75"))]
-    return wide_to_long(table.agg(*aggregates), features, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+    long = table.unpivot([], features, "feature", "x")
+    basic = long.groupBy("feature").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+                                        F.min("x").alias("min"), F.max("x").alias("max"))
+    # One row per column.
+    known = df.sparkSession.createDataFrame([(c, *quartiles[c]) for c in features], "feature string, q25 double, q50 double, q75 double")
+    return known.join(F.broadcast(basic), "feature").select("feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def categorical_cardinality(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:

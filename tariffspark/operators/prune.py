@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -84,23 +85,19 @@ def filter_interactions(df: DataFrame, interactions: Sequence[str], base: Sequen
                         corr: float = 0.995, psi: float = 0.6, split: DataFrame | None = None, bins: int = 10) -> list[dict]:
     """Decision per interaction: too close to a base feature, drifting, beyond the best ``max_features``, or retained.
 
-    One aggregation holds every correlation needed, one PSI run all drifts.
+    One correlation matrix and one PSI run serve all of them.
     """
     interactions = [c for c in interactions if c in df.columns]
     if not interactions:
         return []
     clean = lambda c: F.coalesce(finite(F.col(c)), F.lit(0.0))
-    pairs = [(i, b) for i in interactions for b in base]
-    row = df.agg(
-        *[F.corr(clean(i), clean(b)).alias(f"p{n}") for n, (i, b) in enumerate(pairs)],
-        *[F.corr(clean(i), claim_label()).alias(f"t{n}") for n, i in enumerate(interactions)] if CLAIM in df.columns else [],
-    ).first()
-    value = lambda v: abs(v) if v is not None and v == v else 0.0
-    closest: dict[str, tuple[float, str | None]] = {i: (0.0, None) for i in interactions}
-    for n, (i, b) in enumerate(pairs):
-        if value(row[f"p{n}"]) > closest[i][0]:
-            closest[i] = (value(row[f"p{n}"]), b)
-    target = {i: value(row[f"t{n}"]) if CLAIM in df.columns else 0.0 for n, i in enumerate(interactions)}
+    columns, own = [*interactions, *base], df.withColumn("_target", claim_label() if CLAIM in df.columns else F.lit(0.0))
+    matrix = np.nan_to_num(abs(correlation_matrix(own, [*columns, "_target"])))
+    closest: dict[str, tuple[float, str | None]] = {}
+    for i, name in enumerate(interactions):
+        value, other = max(((matrix[i, len(interactions) + j], b) for j, b in enumerate(base)), default=(0.0, None), key=lambda x: x[0])
+        closest[name] = (float(value), other)
+    target = {name: float(matrix[i, -1]) for i, name in enumerate(interactions)}
     drift: dict[str, float | None] = {}
     if split is not None:
         filled = split.select("window", *[clean(i).alias(i) for i in interactions])

@@ -28,9 +28,14 @@ def one_row_to_long(row: DataFrame, name: str, value: str) -> DataFrame:
 
 
 def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(feature, null_rate) for all columns from one aggregation."""
-    wanted = columns or df.columns
-    return one_row_to_long(df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in wanted]), "feature", "null_rate")
+    """(feature, null_rate) for all columns from one aggregation of plain counts."""
+    wanted = list(columns or df.columns)
+    counted = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in wanted]).unpivot(["_n"], wanted, "feature", "known")
+    return counted.select("feature", null_share())
+
+
+def null_share() -> Column:
+    return F.when(F.col("_n") > 0, (F.col("_n") - F.col("known")) / F.col("_n")).alias("null_rate")
 
 
 def _rows(rule: str, long: DataFrame, severity: Column, measure: str) -> DataFrame:
@@ -118,10 +123,10 @@ def quality_report(layers: Mapping[str, DataFrame], top: int = 20) -> DataFrame:
     """Shape and the ``top`` highest null rates of each layer."""
     parts = []
     for name, df in layers.items():
-        wide = df.agg(F.count("*").alias("_n"), *[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in df.columns])
-        parts.append(wide.unpivot(["_n"], df.columns, "feature", "null_rate").select(
+        wide = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in df.columns])
+        parts.append(wide.unpivot(["_n"], df.columns, "feature", "known").select(
             F.lit(name).alias("layer"), F.col("_n").alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
-            "feature", "null_rate"))
+            "feature", null_share()))
     # One row per column of each layer: a window over metadata, not over data.
     ranked = reduce(DataFrame.unionByName, parts).withColumn(
         "rank", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("null_rate"), "feature")))

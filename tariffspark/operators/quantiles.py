@@ -16,9 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 1_000_000
 CANDIDATE_VALUES = 100_000
 _GRID = [i / 64 for i in range(65)]
+_FIRST_GRID = [i / 1024 for i in range(1025)]
 
 
 @dataclass
@@ -40,12 +41,18 @@ def exact_quantiles(
     """{column: quantiles}; nulls are skipped, an all-null column gives None."""
     if not wanted:
         return {}
-    columns = list(wanted)
-    if df.count() <= direct_rows:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(q)) for q in wanted[c]])).alias(f"q{i}")
-                       for i, c in enumerate(columns)]).first()
-        return {c: (list(row[i]) if row[i] is not None else [None] * len(wanted[c])) for i, c in enumerate(columns)}
-    return _narrow(df, wanted, candidate_values)
+    return (_direct if df.count() <= direct_rows else _narrow)(df, wanted, candidate_values)
+
+
+def _direct(df: DataFrame, wanted: Mapping[str, Sequence[float]], _: int) -> dict[str, list[float | None]]:
+    """One task per column, each with the counted values of at most ``DIRECT_ROWS`` rows."""
+    out: dict[str, list[float | None]] = {c: [None] * len(qs) for c, qs in wanted.items()}
+    for qs in {tuple(float(q) for q in qs) for qs in wanted.values()}:
+        columns = [c for c in wanted if tuple(float(q) for q in wanted[c]) == qs]
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "x").where("x is not null")
+        found = long.groupBy("feature").agg(F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("q"))
+        out |= {r["feature"]: list(r["q"]) for r in found.collect()}
+    return out
 
 
 def _narrow(df: DataFrame, wanted: Mapping[str, Sequence[float]], candidate_values: int) -> dict[str, list[float | None]]:
@@ -55,51 +62,42 @@ def _narrow(df: DataFrame, wanted: Mapping[str, Sequence[float]], candidate_valu
         .unpivot([], columns, "feature", "x")
         .where(F.col("x").isNotNull())
     )
-    extent = {
-        r["feature"]: r
-        for r in long.groupBy("feature").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    }
-    targets: dict[tuple[str, int], _Target] = {}
+    # The first sketch is shared by all quantiles of a column.
+    start = {r["feature"]: r for r in long.groupBy("feature").agg(
+        F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile_approx("x", _FIRST_GRID, 10_000).alias("grid")).collect()}
+    open_targets: dict[tuple[str, int], _Target] = {}
     for c in columns:
-        if c in extent:
-            n, lo, hi = extent[c]["n"], extent[c]["lo"], extent[c]["hi"]
+        if c in start:
+            n, lo, hi = start[c]["n"], start[c]["lo"], start[c]["hi"]
             for i, q in enumerate(wanted[c]):
-                targets[(c, i)] = _Target(c, (n - 1) * float(q), lo, hi, 0, n)
-
+                open_targets[(c, i)] = _Target(c, (n - 1) * float(q), lo, hi, 0, n)
     answers: dict[tuple[str, int], float] = {}
-    open_targets = dict(targets)
+    if open_targets:
+        open_targets = _recount(long, open_targets, {k: _shrink(t, list(start[k[0]]["grid"])) for k, t in open_targets.items()}, halve=False)
     while open_targets:
-        for key, t in list(open_targets.items()):
-            if t.low == t.high:
-                answers[key] = t.low
-                del open_targets[key]
+        answers.update({k: t.low for k, t in open_targets.items() if t.low == t.high})
+        open_targets = {k: t for k, t in open_targets.items() if t.low != t.high}
         if not open_targets:
             break
-        inside = _inside(long, open_targets)
         sketch = {
             (r["feature"], r["slot"]): r
-            for r in inside.groupBy("feature", "slot").agg(
-                F.approx_count_distinct("x").alias("values"),
-                F.percentile_approx("x", _GRID, 4096).alias("grid"),
-            ).collect()
+            for r in _inside(long, open_targets).groupBy("feature", "slot").agg(
+                F.approx_count_distinct("x").alias("values"), F.percentile_approx("x", _GRID, 4096).alias("grid")).collect()
         }
         small = {k: t for k, t in open_targets.items() if sketch[k]["values"] <= candidate_values}
         if small:
             answers.update(_finish(_inside(long, small), small))
-            open_targets = {k: t for k, t in open_targets.items() if k not in small}
-        proposals = {k: _shrink(t, list(sketch[k]["grid"])) for k, t in open_targets.items()}
-        if proposals:
-            open_targets = _recount(long, open_targets, proposals)
+        rest = {k: t for k, t in open_targets.items() if k not in small}
+        open_targets = _recount(long, rest, {k: _shrink(t, list(sketch[k]["grid"])) for k, t in rest.items()}) if rest else {}
     return {c: [answers.get((c, i)) for i in range(len(wanted[c]))] for c in columns}
 
 
-def _brackets(long: DataFrame, targets: Mapping[tuple[str, int], _Target]) -> DataFrame:
-    rows = [(k[0], k[1], t.low, t.high) for k, t in targets.items()]
-    return F.broadcast(long.sparkSession.createDataFrame(rows, "feature string, slot int, low double, high double"))
-
-
 def _inside(long: DataFrame, targets: Mapping[tuple[str, int], _Target]) -> DataFrame:
-    return long.join(_brackets(long, targets), "feature").where("x between low and high")
+    """Rows between the bounds of each open quantile; the bounds are one row per quantile."""
+    rows = [(k[0], k[1], t.low, t.high) for k, t in targets.items()]
+    bounds = long.sparkSession.createDataFrame(rows, "feature string, slot int, low double, high double")
+    inside = (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))
+    return long.join(F.broadcast(bounds.withColumnRenamed("feature", "_f")), (F.col("feature") == F.col("_f")) & inside).drop("_f")
 
 
 def _shrink(t: _Target, grid: list[float]) -> tuple[float, float]:
@@ -107,25 +105,34 @@ def _shrink(t: _Target, grid: list[float]) -> tuple[float, float]:
     return grid[max(math.floor(place) - 1, 0)], grid[min(math.ceil(place) + 1, len(grid) - 1)]
 
 
-def _recount(long, targets, proposals):
-    """Adopt a narrower bracket only where exact counts prove it holds both neighbours of the rank."""
-    tried = {k: _Target(t.feature, t.rank, *proposals[k], 0, 0) for k, t in targets.items()}
-    counts = {
-        (r["feature"], r["slot"]): r
-        for r in long.join(_brackets(long, tried), "feature").groupBy("feature", "slot").agg(
-            F.count_if(F.expr("x < low")).alias("below"), F.count_if(F.expr("x between low and high")).alias("inside")
-        ).collect()
-    }
+def _recount(long: DataFrame, targets: Mapping[tuple[str, int], _Target], proposals: Mapping[tuple[str, int], tuple[float, float]],
+             halve: bool = True) -> dict[tuple[str, int], _Target]:
+    """Adopt a narrower bracket only where exact counts prove it holds both neighbours of the rank.
+
+    The brackets of a column sit in one row of arrays, so a data row is read once.
+    """
+    slots: dict[str, list[tuple[str, int]]] = {}
+    for key in targets:
+        slots.setdefault(key[0], []).append(key)
+    rows = [(f, [proposals[k][0] for k in keys], [proposals[k][1] for k in keys]) for f, keys in slots.items()]
+    bounds = long.sparkSession.createDataFrame(rows, "feature string, lows array<double>, highs array<double>")
+    low, high = (lambda i: F.get("lows", F.lit(i))), (lambda i: F.get("highs", F.lit(i)))
+    width = max(len(keys) for keys in slots.values())
+    counted = long.join(F.broadcast(bounds), "feature").groupBy("feature").agg(
+        *[F.count_if(F.col("x") < low(i)).alias(f"below{i}") for i in range(width)],
+        *[F.count_if((F.col("x") >= low(i)) & (F.col("x") <= high(i))).alias(f"inside{i}") for i in range(width)]).collect()
+    found = {r["feature"]: r for r in counted}
     out = {}
-    for key, t in targets.items():
-        low, high = proposals[key]
-        below, inside = counts[key]["below"], counts[key]["inside"]
-        holds = below <= math.floor(t.rank) and below + inside > math.ceil(t.rank)
-        out[key] = _Target(t.feature, t.rank, low, high, below, inside) if holds and inside < t.inside else t
-        if out[key] is t:
-            # The sketch could not narrow this one: halve the value range instead.
-            middle = (t.low + t.high) / 2
-            out[key] = _halve(long, t, middle)
+    for feature, keys in slots.items():
+        for i, key in enumerate(keys):
+            t, (lo, hi) = targets[key], proposals[key]
+            below, inside = found[feature][f"below{i}"], found[feature][f"inside{i}"]
+            holds = below <= math.floor(t.rank) and below + inside > math.ceil(t.rank)
+            if holds and inside < t.inside:
+                out[key] = _Target(feature, t.rank, lo, hi, below, inside)
+            else:
+                # The sketch could not narrow this one; cut the value range in half instead.
+                out[key] = _halve(long, t, (t.low + t.high) / 2) if halve else t
     return out
 
 

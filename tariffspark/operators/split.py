@@ -4,23 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tariffspark.functions.columns import HASH_RANGE, key_hash, key_text, key_uniform
+from tariffspark.functions.columns import HASH_RANGE, key_hash, key_text, key_uniform, micros
 from tariffspark.operators.quantiles import exact_quantiles
 from tariffspark.roles import CLAIM, CONTRACT, OPERATION_DATE
 
-_DAY = 86_400_000_000
-
-
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 by calendar arithmetic, whatever the session time zone."""
-    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    fraction = F.date_format(ts, "SSSSSS").cast("bigint")
-    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint") * F.lit(_DAY) + seconds.cast("bigint") * F.lit(1_000_000) + fraction
-
-
 def split_random(df: DataFrame, share: float, key: str = CONTRACT, stratum: str | None = CLAIM, seed: int = 42) -> DataFrame:
     """``split`` column with an exact ``share`` of each stratum in valid: the smallest seeded hashes of the key.
 

@@ -40,7 +40,7 @@ _LR = f"""{sfx('claim_amount_sum / premium_sum', 8)} AS actual_lr, {sfx('expecte
 _SUM = ", ".join(f"{sfx(c, 2)} AS {c}" for c in ("premium_sum", "expected_loss_sum", "claim_amount_sum"))
 _ROUND = dict(premium_sum=2, expected_loss_sum=2, claim_amount_sum=2)
 
-register("deciles", lambda s, d: D.with_deciles(S.scored_policies(s, d).select("contract_number", "expected_loss"), "expected_loss", "risk_decile").select(
+register("deciles", lambda s, d: D.with_deciles(materialize(S.scored_policies(s, d).select("contract_number", "expected_loss"), "scored"), "expected_loss", "risk_decile").select(
     "contract_number", "risk_decile"), oracle("scored", f"SELECT contract_number, risk_decile FROM {decile_sql('expected_loss', 'risk_decile', 'scored')}"))
 # Price changes repeat where prices hit a limit, so the change is rounded before it is ranked.
 PRICED_ROUNDED = f"pr AS (SELECT * REPLACE ({sfx('price_delta_pct', 9)} AS price_delta_pct) FROM priced)"

@@ -10,6 +10,7 @@ from tariffspark.operators import profile as P
 from tariffspark.plans.common import oracle, rounded, sfx
 from tariffspark.plans.data import POLICY_COLUMNS, ROW_COLUMNS, null_rate_sql
 from tariffspark.roles import FORBIDDEN, TARGETS
+from tariffspark.session import materialize
 from tariffspark.sources import portfolio as S
 
 QUERIES, ORACLES = {}, {}
@@ -146,7 +147,8 @@ FROM (SELECT *, row_number() OVER (ORDER BY operation_date, row_key) AS rk, coun
 
 
 def _early_late(s, d, columns):
-    return D.time_windows(S.driver_rows(s, d).select("row_key", "operation_date", *columns), "operation_date", "row_key")
+    rows = materialize(S.driver_rows(s, d).select("row_key", "operation_date", *columns), "rows")
+    return D.time_windows(rows, "operation_date", "row_key")
 
 
 def _early_late_psi(s, d):
