@@ -111,9 +111,9 @@ def number_as_text(x: Column) -> Column:
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 by calendar arithmetic, whatever the session time zone."""
-    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    fraction = F.date_format(ts, "SSSSSS").cast("bigint")
-    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint") * F.lit(86_400_000_000) + seconds.cast("bigint") * F.lit(1_000_000) + fraction
+    whole = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint") * F.lit(86_400_000_000)
+    minutes = (F.hour(ts) * 60 + F.minute(ts)).cast("bigint") * F.lit(60_000_000)
+    return whole + minutes + (F.extract(F.lit("SECOND"), ts) * F.lit(1_000_000)).cast("bigint")
 
 
 def date_part(ts: Column, part: str) -> Column:

@@ -16,6 +16,7 @@ from tariffspark.roles import AMOUNT, CLAIM, CONTRACT, COUNT, PREMIUM, PREMIUM_N
 
 STRICT_COLUMNS = (PREMIUM, PREMIUM_NET, CLAIM)
 CLAIM_COLUMNS = (AMOUNT, COUNT)
+NON_NEGATIVE = (PREMIUM, PREMIUM_NET, COUNT, AMOUNT)
 
 
 def missing_columns(df: DataFrame, required: list[str] = REQUIRED) -> list[str]:
@@ -42,22 +43,54 @@ def _rows(rule: str, long: DataFrame, severity: Column, measure: str) -> DataFra
     return long.select(F.lit(rule).alias("rule"), "feature", severity.alias("severity"), F.col(measure).cast("double").alias("measure"))
 
 
+def _count_rules(df: DataFrame, required: list[str] = REQUIRED) -> dict[str, list[tuple[str, Column, Column]]]:
+    """Rules that are counts over the rows: rule -> (feature, measure, severity) over one aggregated row.
+
+    The aggregates they need are named ``known__c``, ``negative__c`` and ``bad__c``.
+    """
+    n = F.col("n").cast("double")
+    rules: dict[str, list[tuple[str, Column, Column]]] = {"required_column": [], "null_rate": [], "binary_domain": [], "negative_values": []}
+    for c in required:
+        present = c in df.columns
+        rules["required_column"].append((c, n if present else F.lit(0.0), F.lit("ok" if present else "error")))
+    if missing_columns(df, required):
+        return rules
+    for c in STRICT_COLUMNS + CLAIM_COLUMNS:
+        rate = F.when(n > 0, (F.col("n") - F.col(f"known__{c}")) / F.col("n"))
+        strict = F.when(rate > 0.4, "error").when(rate > 0.1, "warning").otherwise("ok")
+        rules["null_rate"].append((c, rate, strict if c in STRICT_COLUMNS else F.when(rate > 0.99, "warning").otherwise("ok")))
+    found = lambda name: F.when(F.col(name) > 0, "error").otherwise("ok")
+    rules["binary_domain"].append((CLAIM, F.col(f"bad__{CLAIM}").cast("double"), found(f"bad__{CLAIM}")))
+    for c in NON_NEGATIVE:
+        rules["negative_values"].append((c, F.col(f"negative__{c}").cast("double"), found(f"negative__{c}")))
+    return rules
+
+
+def _counted(df: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
+    """Everything the count rules need, from one pass over the rows."""
+    if missing_columns(df, required):
+        return df.agg(F.count("*").alias("n"))
+    flag = F.col(CLAIM)
+    return df.agg(
+        F.count("*").alias("n"), *[F.count(c).alias(f"known__{c}") for c in STRICT_COLUMNS + CLAIM_COLUMNS],
+        F.count_if(flag.isNotNull() & ~flag.isin(0, 1)).alias(f"bad__{CLAIM}"),
+        *[F.count_if(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) < 0).alias(f"negative__{c}") for c in NON_NEGATIVE])
+
+
+def _checks(df: DataFrame, wanted: tuple[str, ...] | None = None, required: list[str] = REQUIRED) -> DataFrame:
+    rows = [F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("feature"), severity.alias("severity"), measure.alias("measure"))
+            for rule, items in _count_rules(df, required).items() if wanted is None or rule in wanted for c, measure, severity in items]
+    return _counted(df, required).select(F.inline(F.array(*rows)))
+
+
 def check_required(df: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
     """One row per required column; the measure counts the rows that carry it."""
-    present = df.agg(*[(F.count("*") if c in df.columns else F.lit(0).cast("bigint")).alias(c) for c in required])
-    lacking = missing_columns(df, required)
-    severity = F.when(F.col("feature").isin(lacking), "error").otherwise("ok") if lacking else F.lit("ok")
-    return _rows("required_column", one_row_to_long(present, "feature", "n"), severity, "n")
+    return _checks(df, ("required_column",), required)
 
 
 def check_null_rates(df: DataFrame) -> DataFrame:
     """Strict columns: error above 0.4, warning above 0.1.  Claim columns: warning above 0.99."""
-    rate, strict = F.col("null_rate"), F.col("feature").isin(*STRICT_COLUMNS)
-    severity = (
-        F.when(strict & (rate > 0.4), "error").when(strict & (rate > 0.1), "warning")
-        .when(~strict & (rate > 0.99), "warning").otherwise("ok")
-    )
-    return _rows("null_rate", null_rates(df, list(STRICT_COLUMNS + CLAIM_COLUMNS)), severity, "null_rate")
+    return _checks(df, ("null_rate",))
 
 
 def bad_binary_values(df: DataFrame, column: str = CLAIM) -> DataFrame:
@@ -68,14 +101,13 @@ def bad_binary_values(df: DataFrame, column: str = CLAIM) -> DataFrame:
     )
 
 
-def check_binary(df: DataFrame, column: str = CLAIM) -> DataFrame:
-    bad = bad_binary_values(df, column).agg(F.count("*").alias(column))
-    return _rows("binary_domain", one_row_to_long(bad, "feature", "n"), F.when(F.col("n") > 0, "error").otherwise("ok"), "n")
+def check_binary(df: DataFrame) -> DataFrame:
+    """Rows whose claim flag is neither 0, 1 nor null; ``bad_binary_values`` lists the values."""
+    return _checks(df, ("binary_domain",))
 
 
-def check_negative(df: DataFrame, columns: tuple[str, ...] = (PREMIUM, PREMIUM_NET, COUNT, AMOUNT)) -> DataFrame:
-    counted = df.agg(*[F.count_if(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) < 0).alias(c) for c in columns])
-    return _rows("negative_values", one_row_to_long(counted, "feature", "n"), F.when(F.col("n") > 0, "error").otherwise("ok"), "n")
+def check_negative(df: DataFrame) -> DataFrame:
+    return _checks(df, ("negative_values",))
 
 
 def duplicate_count(df: DataFrame, *keys: str) -> DataFrame:
@@ -93,14 +125,11 @@ def check_duplicates(df: DataFrame, key: str = UNIQUE_ID) -> DataFrame:
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """All rules; without the required columns only the column rule can run."""
-    required = check_required(df)
-    if missing_columns(df):
-        return required
-    checks = [required, check_null_rates(df), check_binary(df), check_negative(df)]
-    if UNIQUE_ID in df.columns:
-        checks.append(check_duplicates(df))
-    return reduce(DataFrame.unionByName, checks)
+    """All rules: one pass for the counts, one aggregation for the ids; without the required columns only their rule runs."""
+    counted = _checks(df)
+    if missing_columns(df) or UNIQUE_ID not in df.columns:
+        return counted
+    return counted.unionByName(check_duplicates(df))
 
 
 def verdict(report: DataFrame) -> DataFrame:

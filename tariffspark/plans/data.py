@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tariffspark.operators import policy as P
 from tariffspark.operators import quality as Q
 from tariffspark.plans.common import oracle, rounded, sfx
+from tariffspark.session import materialize
 from tariffspark.sources import portfolio as S
 from tariffspark.sources import tables as T
 
@@ -69,7 +70,7 @@ def null_gate_sql(source):
 
 def binary_sql(source):
     return f"""SELECT 'binary_domain' AS rule, 'is_claim' AS feature, CASE WHEN n > 0 THEN 'error' ELSE 'ok' END AS severity,
-  n::DOUBLE AS measure FROM (SELECT count(DISTINCT is_claim) AS n FROM {source} WHERE is_claim NOT IN (0, 1))"""
+  n::DOUBLE AS measure FROM (SELECT count(*) AS n FROM {source} WHERE is_claim NOT IN (0, 1))"""
 
 
 def negative_sql(source):
@@ -115,7 +116,7 @@ def _filled(policy):
 
 
 def _quality(s, d):
-    policy = S.policies(s, d)
+    policy = materialize(S.policies(s, d), "policy")
     return rounded(Q.quality_report({"raw": S.driver_rows(s, d), "policy": policy, "processed": _filled(policy)}), 9, "null_rate")
 
 

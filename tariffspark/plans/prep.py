@@ -363,7 +363,7 @@ FLAGS = ["car_age_mean", "SCORE_4_1", "SCORE_11_1"]
 
 
 def _splits(s, d):
-    rows = S.policies(s, d)
+    rows = materialize(S.policies(s, d), "policy")
     cutoff = F.lit(CUTOFF).cast("timestamp_ntz")
     return rows.where(F.col("operation_date") < cutoff), rows.where(F.col("operation_date") >= cutoff)
 
