@@ -84,7 +84,8 @@ def _narrow(df: DataFrame, wanted: Mapping[str, Sequence[float]], candidate_valu
             for r in _inside(long, open_targets).groupBy("feature", "slot").agg(
                 F.approx_count_distinct("x").alias("values"), F.percentile_approx("x", _GRID, 4096).alias("grid")).collect()
         }
-        small = {k: t for k, t in open_targets.items() if sketch[k]["values"] <= candidate_values}
+        # A rank between two values keeps both, so a handful must always count as few.
+        small = {k: t for k, t in open_targets.items() if sketch[k]["values"] <= max(candidate_values, 16)}
         if small:
             answers.update(_finish(_inside(long, small), small))
         rest = {k: t for k, t in open_targets.items() if k not in small}
