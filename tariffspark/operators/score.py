@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tariffspark.models.calibrate import load_model
 from tariffspark.operators.preprocess import Preprocessor, transform
@@ -24,11 +25,11 @@ def load_policy(spark: SparkSession, run: str) -> PricingPolicy:
 
 
 def score_batch(spark: SparkSession, run: str, records: DataFrame) -> DataFrame:
-    """Records with predictions: the run's preparation, then its model."""
+    """Records as given with predictions: the run's preparation, then its model, without a second look at the records."""
     state = Preprocessor.load(spark, f"{run}/preprocessor")
-    predicted = load_model(spark, f"{run}/model").predict(transform(records, state))
-    key = state.config.grain
-    return records.join(predicted.select(key, *PREDICTION), key)
+    packed = records.withColumn("_record", F.struct(*[c for c in records.columns if c not in PREDICTION]))
+    predicted = load_model(spark, f"{run}/model").predict(transform(packed, state, carry=["_record"]))
+    return predicted.select("_record.*", *PREDICTION)
 
 
 def chosen_policy(policy: PricingPolicy, alpha: float | None = None, beta: float | None = None) -> PricingPolicy:
