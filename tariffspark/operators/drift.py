@@ -5,13 +5,12 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffspark.functions.columns import finite, half_open_bin, micros
 from tariffspark.operators.order import first_rows_of
-from tariffspark.operators.quantiles import exact_quantiles
+from tariffspark.operators.quantiles import even_grid, exact_quantiles
 from tariffspark.session import materialize
 
 EPS = 1e-6
@@ -59,7 +58,7 @@ def psi(df: DataFrame, features: Sequence[str], bins: int = 10, mode: str = "ope
     observed = table.groupBy("window").agg(*[F.count(c).alias(c) for c in features]).collect()
     seen = {r["window"]: r for r in observed}
     usable = [c for c in features if len(seen) == 2 and min(seen["reference"][c], seen["current"][c]) >= least]
-    grid = [float(q) for q in np.linspace(0.0, 1.0, bins + 1)]
+    grid = even_grid(bins)
     raw = exact_quantiles(table.where("window = 'reference'"), {c: grid for c in usable})
     edges: dict[str, list[float]] = {}
     for c in usable:

@@ -24,7 +24,7 @@ from tariffspark.functions.columns import half_open_bin, nonneg
 from tariffspark.operators.pricing import (
     PRICE_CAP, PricingPolicy, Retention, kpis_from_sums, net_share, portfolio_kpis, price_scalar, price_stratified, target_band,
 )
-from tariffspark.operators.quantiles import exact_quantiles
+from tariffspark.operators.quantiles import even_grid, exact_quantiles
 from tariffspark.roles import AMOUNT, PREMIUM
 from tariffspark.session import materialize
 
@@ -305,7 +305,7 @@ def stratified_edges(df: DataFrame, n_buckets: int, min_bucket_size: int, loss:
     if n < max(2, 2 * min_bucket_size):
         return []
     counts = range(max(1, n_buckets), 0, -1)
-    wanted = {k: [float(q) for q in np.linspace(0.0, 1.0, k + 1)[1:-1]] for k in counts}
+    wanted = {k: even_grid(k)[1:-1] for k in counts}
     flat = [q for k in counts for q in wanted[k]]
     found = exact_quantiles(values, {"v": flat})["v"] if flat else []
     edges, start = {}, 0

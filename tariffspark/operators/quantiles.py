@@ -22,6 +22,11 @@ _GRID = [i / 64 for i in range(65)]
 _FIRST_GRID = [i / 1024 for i in range(1025)]
 
 
+def even_grid(parts: int) -> list[float]:
+    """0, 1/parts, ..., 1 as the nearest doubles, so that a whole rank stays whole."""
+    return [i / parts for i in range(parts + 1)]
+
+
 @dataclass
 class _Target:
     feature: str

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tariffspark.functions.columns import finite, right_closed_bin
-from tariffspark.operators.quantiles import exact_quantiles
+from tariffspark.operators.quantiles import even_grid, exact_quantiles
 from tariffspark.roles import CLAIM, FORBIDDEN, TARGETS, numeric_columns
 from tariffspark.session import materialize
 
@@ -26,7 +25,7 @@ def woe_bins(df: DataFrame, features: Sequence[str] | None = None, n_bins: int =
     table = materialize(df.select(y.alias("_y"), *[finite(F.col(c)).alias(c) for c in features]), "woe")
     seen = table.agg(*[F.count(c).alias(f"n__{c}") for c in features], *[F.sum(F.when(F.col(c).isNotNull(), F.col("_y"))).alias(f"e__{c}") for c in features]).first()
     usable = [c for c in features if seen[f"n__{c}"] >= 2 * min_bin_size and 0 < (seen[f"e__{c}"] or 0) < seen[f"n__{c}"]]
-    grid = [float(q) for q in np.linspace(0.0, 1.0, n_bins + 1)]
+    grid = even_grid(n_bins)
     edges = {c: sorted(set(v)) for c, v in exact_quantiles(table, {c: grid for c in usable}).items()}
     edges = {c: e for c, e in edges.items() if len(e) >= 2}
     if not edges:
