@@ -63,8 +63,8 @@ def impute(df: DataFrame, fills: Mapping[str, float]) -> DataFrame:
 
 
 def fit_missing_flags(df: DataFrame, columns: Sequence[str], threshold: float = 0.05) -> list[str]:
-    row = df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns]).first()
-    return [c for c in columns if (row[c] or 0.0) > threshold]
+    row = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in columns]).first()
+    return [c for c in columns if row["_n"] and (row["_n"] - row[c]) / row["_n"] > threshold]
 
 
 def missing_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:

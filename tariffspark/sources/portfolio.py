@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tariffspark.operators.policy import aggregate_to_policy
 from tariffspark.operators.pricing import price_delta, price_scalar
+from tariffspark.session import materialize
 from tariffspark.sources.tables import read_table, spread
 
 
@@ -80,4 +81,5 @@ def scored_policies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def priced_policies(spark: SparkSession, folder: str, alpha: float = 0.3, beta: float = 1.0) -> DataFrame:
-    return price_delta(price_scalar(scored_policies(spark, folder), alpha, beta))
+    # Pricing reads the policies twice (mean loss, then prices); the driver rows should be read once.
+    return price_delta(price_scalar(materialize(scored_policies(spark, folder), "scored"), alpha, beta))
