@@ -10,7 +10,7 @@ def _words(text: str, pattern: str = _SPACE) -> str:
 
 def _quality() -> str:
     ratios = {"word_length": ("word_chars", "n_words", 500_000), "symbols": ("n_symbols", "n_words", 20_000),
-              "dup_lines": ("n_dup_lines", "n_lines", 50_000), "repeats": ("n_repeat_words", "n_words", 50_000)}
+              "dup_lines": ("n_dup_lines", "n_lines", 200_000), "repeats": ("n_repeat_words", "n_words", 120_000)}
     cell = "((v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0))"
     stacked = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{k}' AS ratio, {f} AS floor_, CASE WHEN {d} > 0 THEN {n} * 1000000 // {d} ELSE 0 END AS v FROM base"
                                  for k, (n, d, f) in ratios.items())
@@ -103,4 +103,14 @@ f AS (SELECT k.rid, k.doc_id, k.line, k.pos, (g.key IS NOT NULL AND k.doc_id IS
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM f GROUP BY rid"""
 
-ORACLES = {"op1_quality_rules": _quality(), "op2_url_filters": _URLS, "op4_decontamination": _DECONTAM, "op5_mix_sources": _MIX, "op10_line_dedup": _LINES}
+_JACCARD = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_words(f"translate(coalesce(text, ''), {_AZ})")} AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i : i + least(len(w), 4) - 1], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*)::BIGINT AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+reach(a, b) AS (SELECT rid, rid FROM d UNION SELECT a, y FROM reach JOIN e ON b = x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (rid) JOIN (SELECT a AS rid, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.rid = b GROUP BY a) c USING (rid)"""
+
+ORACLES = {"op1_quality_rules": _quality(), "op2_url_filters": _URLS, "op4_decontamination": _DECONTAM, "op5_mix_sources": _MIX, "op7_jaccard_join": _JACCARD, "op10_line_dedup": _LINES}

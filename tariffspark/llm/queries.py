@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffspark.llm import curriculum, decontam, lines, quality, sharding, urls
+from tariffspark.llm import curriculum, decontam, jaccard, lines, quality, sharding, urls
 from tariffspark.llm.oracles import ORACLES  # noqa: F401
 from tariffspark.llm.text import read, small_batches, whole
 
@@ -49,6 +49,11 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(f"mix.{c}") for c in ("size", "source_size", "target", "taken")])
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.jaccard_components(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def place_documents(docs: DataFrame) -> DataFrame:
     """The rows of op9 for ``docs`` with the columns of documents."""
     crc = F.crc32(whole(F.col("text")).cast("binary"))
@@ -68,4 +73,4 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(whole(F.col("text")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op4_decontamination, op5_mix_sources, op9_hilbert_shards, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op4_decontamination, op5_mix_sources, op7_jaccard_join, op9_hilbert_shards, op10_line_dedup)}
