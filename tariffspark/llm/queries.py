@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffspark.llm import curriculum, decontam, jaccard, lines, quality, sharding, urls
+from tariffspark.llm import curriculum, decontam, jaccard, lines, quality, secret_scan, sharding, toxicity, training_order, urls
 from tariffspark.llm.oracles import ORACLES  # noqa: F401
 from tariffspark.llm.text import read, small_batches, whole
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+TOKENIZER = os.environ.get("LLM_RANKS", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 SHARD_DIMS = ["source", "lang", "n_chars", "doc_id"]
 
 
@@ -23,6 +26,11 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(read(spark, folder, "pages"), RULES, keep=["page_id"]).select("page_id", "judged.*")
 
 
+def op3_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return training_order.ordered(read(spark, folder, "documents"), TOKENIZER)
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"), keep=["doc_id"])
     ids = F.sha2(F.array_join("found.items", ","), 256)
@@ -49,9 +57,19 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(f"mix.{c}") for c in ("size", "source_size", "target", "taken")])
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    scored = toxicity.score(read(spark, folder, "documents"), read(spark, folder, "labels"), keep=["doc_id"])
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
-    return jaccard.jaccard_components(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard.jaccard_components(read(spark, folder, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(read(spark, folder, "documents"))
 
 
 def place_documents(docs: DataFrame) -> DataFrame:
@@ -73,4 +91,5 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(whole(F.col("text")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op4_decontamination, op5_mix_sources, op7_jaccard_join, op9_hilbert_shards, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_training_order, op4_decontamination, op5_mix_sources, op6_toxicity, op7_jaccard_join, op8_secret_scan,
+                                    op9_hilbert_shards, op10_line_dedup)}
