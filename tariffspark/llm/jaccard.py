@@ -15,11 +15,14 @@ A document is the set of its distinct word shingles, kept as 64-bit hashes
    is extended, these tokens are cut into ``m`` classes by hash, and pairs of
    tokens of one class are indexed: a prefix with ``c_j`` tokens of class j may
    lose ``sum(c_j - 1)`` tokens before no class has two left.
-4. Sets that share a key are verified exactly, but not all with all: first
-   each with one pivot of the key, and after joining what is linked only sets
-   of different components, within the bounds on length and position. Groups
-   of near copies cost one verification per member; no link between
-   components is lost.
+4. Sets that share a key are verified exactly, but not all with all. First
+   each meets one pivot of the key, the set with the fewest tokens of its own,
+   which is the middle of a group of near copies. What is linked becomes a
+   component, and from there on only sets of different components are compared:
+   those near a common pivot in blocks, which give back no more links than
+   join their components; the others pair by pair, within the bounds on length
+   and position. No link between components is
+   lost.
 
 Defined results: null texts and texts without words have no shingles, link
 with nothing and are their own component; equal sets are linked; component_id
@@ -41,6 +44,8 @@ PART = 0.3          # share of the hash range that is counted for large sets
 SMALL = 240         # sets up to this size use all their tokens
 RARE = 64           # document frequency up to which a token is indexed singly
 SPREAD = 256        # partners that one copy of a set serves in verification
+NEAR = 50           # percent of similarity to a pivot that puts a set into its cell
+BLOCK = 256         # sets on either side of a block
 
 
 def shingler(n: int):
@@ -318,8 +323,8 @@ def _overlaps():
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among distinct ``pairs(a, b, na, nb)``: (u, v). A set goes once to each ``SPREAD`` of its partners."""
+def _scored(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """Distinct ``pairs(a, b, na, nb)`` with the size of the intersection. A set goes once to each ``SPREAD`` of its partners."""
     pairs = materialize(pairs, "jaccard-pairs")
     copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("salts"))
     salted = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
@@ -327,8 +332,98 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = hubs.join(sets.withColumnRenamed("rid", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens")
     right = salted.join(sets.withColumnRenamed("rid", "b"), "b").select("a", "salt", "b", "tokens")
     rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    found = rows.mapInArrow(_overlaps(), "a long, b long, both int").join(pairs, ["a", "b"])
-    return found.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return materialize(rows.mapInArrow(_overlaps(), "a long, b long, both int").join(pairs, ["a", "b"]), label)
+
+
+def _at_least(percent: int):
+    return F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
+
+
+def _block_links(percent: int):
+    """Rows (cell, kind, i, j, role, component, tokens) sorted by block and role -> links (u, v) that join components.
+
+    Role 0 meets role 1, or itself where a block has no role 1. All pairs of a
+    block are compared by one matrix product per slice of tokens.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        kinds = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+        def links(rows):
+            roles = np.array([r[4] for r in rows])
+            sets = [np.frombuffer(r[7], dtype=np.uint64) for r in rows]
+            size = np.array([len(x) for x in sets])
+            left = np.flatnonzero(roles == 0)
+            right = np.flatnonzero(roles == 1) if (roles == 1).any() else left
+            value, code = np.unique(np.concatenate(sets), return_inverse=True)
+            owner = np.repeat(np.arange(len(rows)), size)
+            order = np.argsort(code, kind="stable")
+            code, owner = code[order], owner[order]
+            both = np.zeros((len(left), len(right)), dtype=np.float32)
+            for start in range(0, len(value), 4096):
+                a, b = np.searchsorted(code, [start, start + 4096])
+                part = np.zeros((len(rows), 4096), dtype=np.float32)
+                part[owner[a:b], code[a:b] - start] = 1
+                both += part[left] @ part[right].T
+            both = both.astype(np.int64)
+            linked = both * 100 >= (size[left][:, None] + size[right][None, :] - both) * percent
+            root = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    x = root[x]
+                return x
+
+            out = []
+            for x, y in zip(*np.nonzero(linked)):
+                x, y = rows[left[x]], rows[right[y]]
+                cx, cy = find(x[6]), find(y[6])
+                if cx != cy:
+                    root[cx] = cy
+                    out.append((x[5], y[5]))
+            return out
+
+        held = []
+        for batch in batches:
+            rows, out = held + list(zip(*[c.to_pylist() for c in batch.columns])), []
+            start = 0
+            for k in range(1, len(rows)):
+                if rows[k][:4] != rows[k - 1][:4]:
+                    out += links(rows[start:k])
+                    start = k
+            held = rows[start:]
+            if out:
+                yield pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], schema=kinds)
+        if held and (out := links(held)):
+            yield pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], schema=kinds)
+
+    return run
+
+
+def _cell_links(near: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside every cell: a pivot and the sets near it, ``near(a, b)``.
+
+    Members of the pivot's own component need not meet each other; the others
+    (satellites) meet all, in blocks of about ``BLOCK`` by ``BLOCK`` sets.
+    """
+    members = near.unionByName(near.select("a", F.col("a").alias("b")).distinct())
+    component = groups.withColumnRenamed("node", "b")
+    placed = members.join(component, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    home = placed.where("a = b").select("a", F.col("component").alias("home"))
+    placed = materialize(placed.join(home, "a").withColumn("satellite", F.col("component") != F.col("home")), "jaccard-cells")
+    count = placed.groupBy("a").agg(F.ceil(F.count(F.when(F.col("satellite"), 1)) / BLOCK).cast("int").alias("ns"),
+                                    F.ceil(F.count(F.when(~F.col("satellite"), 1)) / BLOCK).cast("int").alias("nc")).where("ns > 0")
+    cut = placed.join(count, "a").withColumn("own", F.pmod(F.xxhash64("b"), F.when(F.col("satellite"), F.col("ns")).otherwise(F.col("nc"))).cast("int"))
+    to = F.expr("""if(satellite,
+      concat(transform(sequence(0, ns - 1), o -> named_struct('kind', 0, 'i', least(own, o), 'j', greatest(own, o), 'role', int(own > o))),
+             transform(sequence(0, nc - 1), o -> named_struct('kind', 1, 'i', own, 'j', o, 'role', 0))),
+      transform(sequence(0, ns - 1), o -> named_struct('kind', 1, 'i', o, 'j', own, 'role', 1)))""")
+    rows = (cut.join(sets.withColumnRenamed("rid", "b"), "b").select("a", "b", "component", "tokens", F.explode(to).alias("t"))
+            .select("a", "t.kind", "t.i", "t.j", "t.role", "b", "component", "tokens"))
+    return rows.repartition("a", "kind", "i", "j").sortWithinPartitions("a", "kind", "i", "j", "role").mapInArrow(_block_links(percent), "u long, v long")
 
 
 def _possible(a: str, b: str, percent: int):
@@ -339,7 +434,7 @@ def _possible(a: str, b: str, percent: int):
 
 
 def classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, key of the text, n_shingles, and of its component the least id with its text key, and the links."""
+    """One row per row of ``docs``: doc_id, key of the text, n_shingles, and of its component the least id with its text key."""
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), text_key(F.col(text_column)).alias("key"))
     made = materialize(source.mapInArrow(_sets(shingle, percent), "doc_id long, main boolean, rid long, n int, key binary, low int, tokens array<long>"), "jaccard-sets")
     exploded = made.where("tokens is not null").select(F.explode("tokens").alias("token"), "rid", "n", "low")
@@ -349,7 +444,8 @@ def classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_column: str
     index = (shared.withColumn("side", F.expr("token & 1")).withColumn("late", late).repartition("rid")
              .sortWithinPartitions("rid", "side", "late", "df", "token").mapInArrow(_prefixes(RARE, percent), "key long, rid long, n int, pos int"))
     index = materialize(index, "jaccard-index")
-    crowded = index.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("key", F.col("lo").alias("pivot"))
+    crowded = (index.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min(F.struct("pos", "rid")).alias("first"))
+               .where("lo <> hi").select("key", F.col("first.rid").alias("pivot")))
     index = materialize(index.join(crowded, "key"), "jaccard-index")
 
     wanted = index.select("rid").distinct()
@@ -361,36 +457,45 @@ def classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_column: str
     pivots = index.where("rid = pivot").groupBy("key", "rid", "n").agg(F.min("pos").alias("pos"))
     stars = (index.where("rid <> pivot").alias("y").join(pivots.alias("x"), F.col("x.key") == F.col("y.key")).where(_possible("x", "y", percent))
              .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
-    links = materialize(_verified(stars, sets, percent), "jaccard-links")
+    scored = _scored(stars, sets, "jaccard-stars")
+    links = scored.where(_at_least(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     groups = materialize(connected_components(links, "jaccard-groups"), "jaccard-groups")
-
-    # What is left: keys whose sets are not all in one component, and there pairs across components that no pivot has settled.
-    placed = index.join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    divided = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = materialize(placed.join(divided, "key", "left_semi").where("rid <> pivot"), "jaccard-open")
-    across = (left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.component") != F.col("y.component"))
-                                   & _possible("x", "y", percent))
-              .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
-    links = materialize(links.unionByName(_verified(across, sets, percent)).distinct(), "jaccard-links")
-    groups = connected_components(links, "jaccard-groups")
+    # A cell may hold any sets, as all of its pairs are settled; a wide one takes in near copies of near copies.
+    near = scored.where(_at_least(NEAR)).select("a", "b")
+    inside = materialize(_cell_links(near, groups, sets, percent), "jaccard-links")
+
+    # What is left: pairs across components at keys whose pivot is not near both.
+    placed = (index.join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+              .join(near.select(F.col("a").alias("pivot"), F.col("b").alias("rid"), F.lit(True).alias("near")), ["pivot", "rid"], "left")
+              .withColumn("near", F.coalesce("near", F.lit(False))).where("rid <> pivot"))
+    placed = materialize(placed, "jaccard-open")
+    divided = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("near").alias("near"))
+               .where("lo <> hi and not near").select("key"))
+    left = materialize(placed.join(divided, "key", "left_semi"), "jaccard-open")
+    far = left.where("not near")
+    unlike = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y", percent)
+    across = (far.alias("x").join(left.alias("y"), unlike & (F.col("y.near") | (F.col("x.rid") < F.col("y.rid"))))
+              .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"), F.when(F.col("x.rid") < F.col("y.rid"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
+                      F.when(F.col("x.rid") < F.col("y.rid"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb")).distinct())
+    outside = _scored(across, sets, "jaccard-across").where(_at_least(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    groups = connected_components(links.unionByName(inside).unionByName(outside), "jaccard-groups")
 
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     named = (made.where("main and rid is not null").groupBy("rid").agg(F.min(first).alias("first"))
              .join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")))
     named = materialize(named, "jaccard-names")
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
-    degree = links.select(F.explode(F.array("u", "v")).alias("rid")).groupBy("rid").agg(F.count(F.lit(1)).alias("links"))
-    table = materialize(named.join(heads, "component").join(degree, "rid", "left").select(F.col("rid").alias("__rid"), "head", "links"), "jaccard-classes")
+    table = materialize(named.join(heads, "component").select(F.col("rid").alias("__rid"), "head"), "jaccard-classes")
     rows = made.where("main").select("doc_id", "key", "rid", F.col("n").cast("long").alias("n_shingles"))
     met = rows.join(bounded(table), F.col("rid") == F.col("__rid"), "left")
     alone = F.col("rid").isNull()
     return met.select("doc_id", "key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
-                      F.when(alone, F.col("key")).otherwise(F.col("head.key")).alias("head_key"), F.coalesce("links", F.lit(0)).alias("links"))
+                      F.when(alone, F.col("key")).otherwise(F.col("head.key")).alias("head_key"))
 
 
 def jaccard_components(docs: DataFrame, **settings) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, links (verified partners among distinct sets)."""
-    return classes(docs, **settings).select("doc_id", "n_shingles", "component_id", "links")
+    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    return classes(docs, **settings).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
