@@ -76,16 +76,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, conta
                   keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default all) with struct ``found``: n_words, n_hit (words inside any place), items (sorted ids)."""
     keep = docs.columns if keep is None else keep
-    out, key, n = free_names(docs.columns, "found", "__text", "__n")
+    out, key, n, info = free_names(docs.columns, "found", "__text", "__n", "__found")
     hits = materialize(find_windows(docs, benchmark, window, containment, text_column), "bench-places")
     cover = (hits.select("text", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("k") - 1)).alias("pos")).distinct()
              .groupBy("text").agg(F.count(F.lit(1)).alias("n_hit")))
     items = hits.select("text", "item_id").distinct().groupBy("text").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    found = materialize(cover.join(items, "text").withColumnRenamed("text", key), "bench-found")
+    found = materialize(cover.join(items, "text").select(F.col("text").alias(key), F.struct("n_hit", "items").alias(info)), "bench-found")
     rows = docs.select(*[f"`{c}`" for c in keep], text_key(F.col(text_column)).alias(key), F.size(tokens(text_column)).cast("long").alias(n))
     met = rows.join(bounded(found), key, "left")
-    struct = F.struct(F.col(n).alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    struct = F.struct(F.col(n).alias("n_words"), F.coalesce(F.col(info)["n_hit"], F.lit(0)).cast("long").alias("n_hit"),
+                      F.coalesce(F.col(info)["items"], F.array().cast("array<string>")).alias("items"))
     return met.select(*[f"`{c}`" for c in keep], struct.alias(out))
 
 

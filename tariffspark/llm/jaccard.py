@@ -505,10 +505,10 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     # Rows of one id and one text are told apart by nothing that matters here; where there are several, one is kept.
     verdict = found.groupBy("doc_id", "key").agg(F.max(head).alias("head"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("rows"))
     odd = materialize(verdict.where("not head or (rows > 1 and n > 0)").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "head"), "jaccard-gone")
-    mark, own = free_names(docs.columns, "__mark", "__text")
+    mark, own, of, text = free_names(docs.columns, "__mark", "__text", "__id", "__key")
     keyed = docs.withColumn(own, text_key(F.col(text_column)))
-    met = keyed.join(bounded(odd.select("__id", "__key", F.col("head").alias(mark))),
-                     F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.col(own) == F.col("__key")), "left").drop("__id", "__key")
+    met = keyed.join(bounded(odd.select(F.col("__id").alias(of), F.col("__key").alias(text), F.col("head").alias(mark))),
+                     F.col(id_column).cast("long").eqNullSafe(F.col(of)) & (F.col(own) == F.col(text)), "left").drop(of, text)
     columns = [f"`{c}`" for c in docs.columns]
     several = met.where(F.col(mark)).dropDuplicates([id_column, own])
     return met.where(F.col(mark).isNull()).select(*columns).unionByName(several.select(*columns))

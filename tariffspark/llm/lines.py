@@ -41,10 +41,10 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     shared = materialize(spread, "line-keys")
     gone = (lines.join(shared, "key").where(~F.col("id").eqNullSafe(F.col("keeper")))
             .groupBy("id", "row").agg(F.collect_set("at").alias("gone")))
-    out, row, dropped, parts = free_names(docs.columns, "line_dedup", "__row", "__gone", "__lines")
+    out, row, dropped, parts, own, key = free_names(docs.columns, "line_dedup", "__row", "__gone", "__lines", "__id", "__key")
     wide = docs.withColumn(row, text_key(F.col(text_column)))
-    met = wide.join(gone.select(F.col("id").alias("__id"), F.col("row").alias("__key"), F.col("gone").alias(dropped)),
-                    F.col(row).eqNullSafe(F.col("__key")) & F.col(id_column).eqNullSafe(F.col("__id")), "left")
+    met = wide.join(gone.select(F.col("id").alias(own), F.col("row").alias(key), F.col("gone").alias(dropped)),
+                    F.col(row).eqNullSafe(F.col(key)) & F.col(id_column).eqNullSafe(F.col(own)), "left")
     cut = met.withColumn(parts, F.split(whole(F.col(text_column)), "\n"))
     kept = F.expr(f"transform(array_except(sequence(0, size(`{parts}`) - 1), `{dropped}`), i -> `{parts}`[i])")
     text = F.when(F.col(dropped).isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tariffspark.llm.text import free_names
 from tariffspark.session import materialize
 
 BROADCAST_ROWS = 200_000
@@ -32,7 +33,7 @@ def ranked(df: DataFrame, order: list[Column], place: str = "place", label: str
     count per partition gives the offsets. Ties beyond ``order`` are broken by
     row number, so that no run of equal rows has to fit one task.
     """
-    part, at, tie = "__part", "__at", "__tie"
+    part, at, tie, start = free_names(df.columns, "__part", "__at", "__tie", "__before")
     spread = df.withColumn(tie, F.monotonically_increasing_id())
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     written = materialize(
@@ -40,8 +41,8 @@ def ranked(df: DataFrame, order: list[Column], place: str = "place", label: str
         .withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), label)
     counts = written.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialize(counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))), f"{label}-offsets")
+    offsets = materialize(counts.withColumn(start, F.coalesce(F.sum("__n").over(before), F.lit(0))), f"{label}-offsets")
     total = offsets.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     # One row per shuffle partition: a bound that the settings give.
-    out = written.join(F.broadcast(offsets.drop("__n")), part).withColumn(place, F.col("__before") + F.col(at))
-    return out.drop(part, at, "__before"), int(total)
+    out = written.join(F.broadcast(offsets.drop("__n")), part).withColumn(place, F.col(start) + F.col(at))
+    return out.drop(part, at, start), int(total)

@@ -124,13 +124,13 @@ def judge(docs: DataFrame, prior: int = 3, reach: int = 3, text_column: str = "t
           source_column: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default all) with struct ``quality``: the counts, base_failed, kept, and the ratios that failed."""
     keep = docs.columns if keep is None else keep
-    out, counts, lang, source, fence = free_names(docs.columns, "quality", "__counts", "__lang", "__source", "__fence")
+    out, counts, lang, source, fence, its, from_ = free_names(docs.columns, "quality", "__counts", "__lang", "__source", "__fence", "__of", "__from")
     rows = docs.select(*[f"`{c}`" for c in keep], F.col(lang_column).cast("string").alias(lang), F.col(source_column).cast("string").alias(source),
                        counter()(F.col(text_column).cast("string")).alias(counts))
     measured = materialize(rows, "quality-counts")
     table = materialize(fences(measured, [lang, source], counts, prior, reach), "quality-fences")
-    limits = bounded(table.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.struct(*RATIOS).alias(fence)))
-    met = measured.join(limits, F.col(lang).eqNullSafe(F.col("__l")) & F.col(source).eqNullSafe(F.col("__s")), "left")
+    limits = bounded(table.select(F.col("lang").alias(its), F.col("source").alias(from_), F.struct(*RATIOS).alias(fence)))
+    met = measured.join(limits, F.col(lang).eqNullSafe(F.col(its)) & F.col(source).eqNullSafe(F.col(from_)), "left")
     c = F.col(counts)
     failed = []
     for name, (_, _, below, above, _) in RATIOS.items():

@@ -90,7 +90,7 @@ def hilbert_shards(docs: DataFrame, dims: list[str], shards: int = 16, law: str
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law {law!r}")
-    out, size, index, key, place = free_names(docs.columns, "placed", "__size", "__hilbert", "__text", "__place")
+    out, size, index, key, place, number, slot = free_names(docs.columns, "placed", "__size", "__hilbert", "__text", "__place", "__shard", "__slot")
     sized = docs.withColumn(size, F.octet_length(whole(F.col(text_column))).cast("long") + 1)
     point = F.array(*cells(docs, dims, bits))
     rows = sized.withColumn("__point", point).withColumn(index, hilbert_index(F.col("__point"), bits, len(dims))).drop("__point")
@@ -101,15 +101,15 @@ def hilbert_shards(docs: DataFrame, dims: list[str], shards: int = 16, law: str
     placed, n = ranked(rows, order, place, "hilbert")
     if law == "rows":
         shard = F.expr(f"`{place}` * {shards} div {max(n, 1)}").cast("int")
-        first = F.expr(f"({max(n, 1)} * ({'`__shard`'}) + {shards - 1}) div {shards}")
-        done = placed.withColumn("__shard", shard).withColumn("__slot", F.col(place) - first)
+        first = F.expr(f"({max(n, 1)} * `{number}` + {shards - 1}) div {shards}")
+        done = placed.withColumn(number, shard).withColumn(slot, F.col(place) - first)
     else:
-        done = _by_bytes(placed, size, place, shards, max(n, 1))
-    struct = F.struct(F.col(size).alias("size"), F.col(index).alias("hilbert"), F.col("__shard").alias("shard"), F.col("__slot").cast("long").alias("slot"))
+        done = _by_bytes(placed, size, place, number, slot, shards, max(n, 1))
+    struct = F.struct(F.col(size).alias("size"), F.col(index).alias("hilbert"), F.col(number).alias("shard"), F.col(slot).cast("long").alias("slot"))
     return done.select(*[F.col(f"`{c}`") for c in keep], struct.alias(out))
 
 
-def _by_bytes(placed: DataFrame, size: str, place: str, shards: int, n: int) -> DataFrame:
+def _by_bytes(placed: DataFrame, size: str, place: str, number: str, slot: str, shards: int, n: int) -> DataFrame:
     """Cumulative bytes from blocks of places: sums per block give offsets, a window finishes inside each block."""
     block = max(1, min(100_000, int(n ** 0.5) + 1))
     rows = materialize(placed.withColumn("__block", F.expr(f"`{place}` div {block}")), "hilbert-bytes")
@@ -120,9 +120,9 @@ def _by_bytes(placed: DataFrame, size: str, place: str, shards: int, n: int) ->
     inside = Window.partitionBy("__block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     cum = rows.join(offsets, "__block").withColumn("__cum", F.col("__from") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
     shard = F.expr(f"cast(`__cum` as decimal(38,0)) * {shards} div {total}").cast("int")
-    done = materialize(cum.withColumn("__shard", shard).drop("__block", "__cum", "__from"), "hilbert-bytes")
-    firsts = done.groupBy("__shard").agg(F.min(place).alias("__first"))
-    return done.join(F.broadcast(firsts), "__shard").withColumn("__slot", F.col(place) - F.col("__first"))
+    done = materialize(cum.withColumn(number, shard).drop("__block", "__cum", "__from"), "hilbert-bytes")
+    firsts = done.groupBy(number).agg(F.min(place).alias("__first"))
+    return done.join(F.broadcast(firsts), number).withColumn(slot, F.col(place) - F.col("__first"))
 
 
 def write_shards(placed: DataFrame, path: str, struct: str = "placed") -> None:

@@ -222,7 +222,10 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_column:
     c = None
     if both:
         x = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(sample.select(*[v.alias(n) for v, n in zip(scaled(F.col("f")), "ab")], "label"))
-        model = LogisticRegression(regParam=1e-3, standardization=False).fit(x)
+        # Either class weighs alike, so that the score does not hang on how many clean documents happen to be labelled.
+        share = x.agg(F.avg("label")).first()[0]
+        x = x.withColumn("w", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+        model = LogisticRegression(regParam=1e-3, standardization=False, weightCol="w").fit(x)
         a, b, c = *map(float, model.coefficients), float(model.intercept)
     rows = docs.select(*[f"`{k}`" for k in keep], features(F.col(text_column).cast("string")).alias(found))
     total, dense = scaled(F.col(found))

@@ -104,12 +104,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     edges = links.select(canonical(F.col("source")).alias("u"), canonical(F.col("target")).alias("v"))
     groups = materialize(connected_components(edges, "url-groups"), "url-groups")
     at = (places.join(own, ["host", "path"], "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    out, place, verdict = free_names(pages.columns, "judged", "__url", "__verdict")
     passed = (at.where("own is not null and component is not null").groupBy("component")
               .agg(F.min("own").alias("passed")))  # allow sorts before block
     decided = at.join(passed, "component", "left").select(
-        F.col("url").alias("__url"), "rule", F.coalesce("own", "passed", F.lit("allow")).alias("verdict"))
-    out = free_names(pages.columns, "judged")[0]
+        F.col("url").alias(place), F.struct("rule", F.coalesce("own", "passed", F.lit("allow")).alias("verdict")).alias(verdict))
     url = F.col(f"`{url_column}`")
-    met = pages.select(*dict.fromkeys([*[f"`{c}`" for c in keep], f"`{url_column}`"])).join(decided, url == F.col("__url"), "left")
-    struct = F.struct(host_of(url).alias("host"), path_of(url).alias("path"), F.col("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    met = pages.select(*dict.fromkeys([*[f"`{c}`" for c in keep], f"`{url_column}`"])).join(decided, url == F.col(place), "left")
+    struct = F.struct(host_of(url).alias("host"), path_of(url).alias("path"), F.col(verdict)["rule"].alias("rule"), F.coalesce(F.col(verdict)["verdict"], F.lit("allow")).alias("verdict"))
     return met.select(*[f"`{c}`" for c in keep], struct.alias(out))
