@@ -135,7 +135,8 @@ def fit_blend(train: DataFrame, config: BenchmarkConfig, price: PriceConfig, par
     for b in bases:
         resume = f"{params['checkpoint_dir']}/{b}" if params.get("checkpoint_dir") else None
         oof = oof_predictions(train, kinds[b], config.params.get(b), folds, group, resume)
-        joined = joined.join(oof.select(CONTRACT, F.col("expected_loss").alias(f"{b}_loss")), CONTRACT)
+        loss = oof.select(F.col(CONTRACT).alias("_contract"), F.col("expected_loss").alias(f"{b}_loss"))
+        joined = joined.join(loss, F.col(CONTRACT).eqNullSafe(F.col("_contract"))).drop("_contract")
     table = Z.blend_weight_search(materialize(joined, "oof"), [f"{b}_loss" for b in bases], price.alphas, price.betas,
                                   float(params.get("weight_grid_step", 0.1)), price.target_lr, price.band, dict(config.limits), config.metric)
     chosen = table.where("chosen = 1").first()

@@ -180,7 +180,9 @@ def run_experiment(spark: SparkSession, rows: DataFrame, cfg: RunConfig, out: st
     write_table(result.table, f"{run}/benchmark")
     winner.model.save(spark, f"{run}/model")
     write_json(spark, f"{run}/pricing_policy", json.loads(winner.policy.to_json()))
-    predicted = valid.join(winner.predictions.select(cfg.preprocess.grain, "p_claim", "expected_severity", "expected_loss"), cfg.preprocess.grain)
+    grain = cfg.preprocess.grain
+    losses = winner.predictions.select(F.col(grain).alias("_grain"), "p_claim", "expected_severity", "expected_loss")
+    predicted = valid.join(losses, F.col(grain).eqNullSafe(F.col("_grain"))).drop("_grain")
     priced = materialize(R.price_delta(R.apply_policy(predicted, winner.policy)), "priced")
     write_table(priced, f"{run}/valid_predictions")
 

@@ -228,7 +228,8 @@ class DependentFrequencySeverity(BoostedFrequencySeverity):
             return lambda rows: self._probability(rows, own).select(p["group"], F.col("_p").alias(SIGNAL))
 
         signal = out_of_fold(materialize(base, "dep"), part, int(p["oof_folds"]), p["group"])
-        claims = base.where(label() > 0).join(signal, p["group"])
+        one = signal.groupBy(F.col(p["group"]).alias("_group")).agg(F.avg(SIGNAL).alias(SIGNAL))  # a row per group, whatever its grain
+        claims = base.where(label() > 0).join(one, F.col(p["group"]).eqNullSafe(F.col("_group"))).drop("_group")
         constant = severity_constant(df).first()
         self.fitted.constant = constant["severity_constant"]
         if constant["claims"] >= MIN_CLAIMS:

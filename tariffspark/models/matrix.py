@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tariffspark.functions.columns import finite
 from tariffspark.roles import DRIVER_COUNT, FORBIDDEN, PREMIUM, TARGETS, numeric_columns
 
-MAX_CATEGORIES = 10_000
 HASH_BUCKETS = 1 << 14
 
 
@@ -46,17 +45,16 @@ def align(df: DataFrame, schema: FeatureSchema) -> DataFrame:
     return df.withColumns(columns)
 
 
-def fit_matrix(df: DataFrame, schema: FeatureSchema, max_categories: int = MAX_CATEGORIES) -> PipelineModel:
+def fit_matrix(df: DataFrame, schema: FeatureSchema, hashed: Sequence[str] = ()) -> PipelineModel:
     """Median imputation, scaling without centring, one-hot categories (unknown ones are all zero).
 
-    One-hot labels live on the driver, so a column with more distinct values than
-    ``max_categories`` is hashed instead.
+    One-hot labels live on the driver; name columns without a bound on their
+    categories in ``hashed``, which encodes them alike at every size of the data.
     """
     if not schema.columns:
         raise ValueError("at least one feature is needed")
     stages, parts = [], []
-    row = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(f"k_{c}") for c in schema.numeric],
-                 *[F.approx_count_distinct(c).alias(f"d_{c}") for c in schema.categorical]).first()
+    row = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(f"k_{c}") for c in schema.numeric]).first()
     if schema.numeric:
         gaps = [c for c in schema.numeric if 0 < row[f"k_{c}"] < row["_n"]]
         if gaps:
@@ -65,8 +63,8 @@ def fit_matrix(df: DataFrame, schema: FeatureSchema, max_categories: int = MAX_C
         stages += [VectorAssembler(inputCols=names, outputCol="_numeric", handleInvalid="keep"),
                    StandardScaler(withMean=False, withStd=True, inputCol="_numeric", outputCol="_scaled")]
         parts.append("_scaled")
-    small = [c for c in schema.categorical if row[f"d_{c}"] <= max_categories]
-    large = [c for c in schema.categorical if c not in small]
+    small = [c for c in schema.categorical if c not in hashed]
+    large = [c for c in schema.categorical if c in hashed]
     if small:
         stages += [StringIndexer(inputCols=small, outputCols=[f"{c}__index" for c in small], handleInvalid="keep"),
                    OneHotEncoder(inputCols=[f"{c}__index" for c in small], outputCols=[f"{c}__hot" for c in small], dropLast=True, handleInvalid="keep")]

@@ -80,19 +80,21 @@ def worst_ae(table: DataFrame) -> DataFrame:
     return table.agg(F.max(F.abs(F.col("ae_ratio") - F.lit(1.0))).alias("max_abs_ae_risk_decile"))
 
 
-def ae_by_segment(df: DataFrame, segments: Sequence[str] = tuple(SEGMENTS), top: int = 20) -> DataFrame:
-    """Actual-to-expected of the ``top`` largest values of each segment column, all columns in one aggregation."""
+def ae_by_segment(df: DataFrame, segments: Sequence[str] = tuple(SEGMENTS), top: int | None = None) -> DataFrame:
+    """Actual-to-expected of every value of each segment column, or of the ``top`` largest; all columns in one aggregation."""
     present = [c for c in segments if c in df.columns]
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in present]
     long = _report_columns(df).select(AMOUNT, "expected_loss", "new_premium", *texts).unpivot(
         [AMOUNT, "expected_loss", "new_premium"], present, "segment_column", "segment_value")
     summed = long.groupBy("segment_column", "segment_value").agg(*_ae_sums())
+    if top is None:
+        return _ae_ratios(summed)
     # Spark keeps only the best ``top`` per column in every task before this window sorts them.
     place = F.row_number().over(Window.partitionBy("segment_column").orderBy(F.desc("policies"), "segment_value"))
     return _ae_ratios(summed.withColumn("_place", place).where(F.col("_place") <= top).drop("_place"))
 
 
-def contribution_rank(df: DataFrame, weights: Mapping[str, float], top: int = 20) -> DataFrame:
+def contribution_rank(df: DataFrame, weights: Mapping[str, float], top: int | None = None) -> DataFrame:
     """Features by mean absolute linear contribution weight x (value - mean), with rank and cumulative share.
 
     For a linear model these are the exact additive contributions, and all rows count.
@@ -106,5 +108,5 @@ def contribution_rank(df: DataFrame, weights: Mapping[str, float], top: int = 20
     order = Window.orderBy(F.desc("mean_abs_contribution"), "feature")
     running = F.sum("mean_abs_contribution").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     whole = F.greatest(F.sum("mean_abs_contribution").over(Window.partitionBy()), F.lit(1e-9))
-    return (long.withColumn("rank", F.row_number().over(order)).withColumn("cumulative_share", running / whole)
-            .where(F.col("rank") <= top))
+    ranked = long.withColumn("rank", F.row_number().over(order)).withColumn("cumulative_share", running / whole)
+    return ranked if top is None else ranked.where(F.col("rank") <= top)

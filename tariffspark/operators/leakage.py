@@ -33,9 +33,9 @@ def target_correlations(df: DataFrame, features: Sequence[str], targets: dict[st
     return found.select("feature", "n", *known)
 
 
-def leakage_watchlist(df: DataFrame, max_features: int = 200, target: str = CLAIM) -> DataFrame:
+def leakage_watchlist(df: DataFrame, target: str = CLAIM) -> DataFrame:
     """Numeric columns by absolute correlation with the claim flag (at least 30 values)."""
-    features = numeric_columns(df, TARGETS)[:max_features]
+    features = numeric_columns(df, TARGETS)
     y = F.coalesce(F.col(target), F.lit(0)).cast("double")
     found = target_correlations(df, features, {"corr_with_is_claim": y}, 30)
     return (
@@ -49,12 +49,12 @@ def identifier_blacklist(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, "forbidden_identifier_or_linkage") for c in FORBIDDEN], "feature string, rule string")
 
 
-def leakage_risk(df: DataFrame, train_only: Sequence[str] = tuple(TARGETS), max_features: int = 200) -> DataFrame:
+def leakage_risk(df: DataFrame, train_only: Sequence[str] = tuple(TARGETS)) -> DataFrame:
     """Risk score per column from its role, its name and its correlation with the targets.
 
     From 90 points the recommendation is drop, from 45 review, else keep.
     """
-    features = numeric_columns(df, [*TARGETS, *FORBIDDEN])[:max_features]
+    features = numeric_columns(df, [*TARGETS, *FORBIDDEN])
     correlation = target_correlations(df, features, {
         "c1": F.coalesce(F.col(CLAIM), F.lit(0)).cast("double"), "c2": nonneg(F.col(AMOUNT))}, 21)
     # One row per column of the table from here on.
@@ -121,11 +121,10 @@ def feature_selection(
     corr_review: float = 0.08,
     force_keep: Sequence[str] = (PREMIUM, PREMIUM_NET),
     force_drop: Sequence[str] = tuple(dict.fromkeys([*FORBIDDEN, *TARGETS])),
-    max_features: int = 200,
 ) -> DataFrame:
     """(feature, decision, reason, missing_rate, abs_corr): keep, drop or review for each policy column."""
     candidates = [c for c in policy.columns if c not in {grain, target, *force_drop}]
-    numeric = [c for c in numeric_columns(policy) if c in candidates][:max_features]
+    numeric = [c for c in numeric_columns(policy) if c in candidates]
     y = F.coalesce(F.col(target).cast("double"), F.lit(0.0))
     correlated = target_correlations(policy, numeric, {"corr": y}, 50).select("feature", F.abs("corr").alias("abs_corr"))
     table = (null_rates(policy, candidates).withColumnRenamed("null_rate", "missing_rate")

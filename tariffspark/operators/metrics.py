@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tariffspark.functions.columns import key_text, ratio
 from tariffspark.operators.order import offsets, ranged
+from tariffspark.session import materialize
 from tariffspark.roles import AMOUNT, CLAIM
 
 
@@ -147,6 +148,7 @@ def bootstrap_replicates(df: DataFrame, key: str, replicates: int = 200, seed: i
 
     schema = "kind string, replicate int, " + ", ".join(f"{n} double" for n in names[2:])
     parts = drawn.mapInArrow(segments, schema).groupBy("replicate", "kind", "score").agg(*[F.sum(n).alias(n) for n in names[3:]])
+    parts = materialize(parts, "bootstrap")  # read twice below, drawn once
     # From here a replicate has at most three rows per range of scores.
     earlier = Window.partitionBy("replicate").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
@@ -165,7 +167,7 @@ def bootstrap_replicates(df: DataFrame, key: str, replicates: int = 200, seed: i
 BOOTSTRAP_METRICS = ["auc", "gini", "brier", "lr_original", "lr_new_premium"]
 
 
-def bootstrap_ci(df: DataFrame, key: str, replicates: int = 200, confidence: float = 0.95, seed: int = 42, **columns: str) -> DataFrame:
+def bootstrap_ci(df: DataFrame, key: str, replicates: int = 500, confidence: float = 0.95, seed: int = 42, **columns: str) -> DataFrame:
     """(metric, point_estimate, ci_lower, ci_upper, std) over the replicates."""
     tail = (1.0 - confidence) / 2.0
     long = bootstrap_replicates(df, key, replicates, seed, **columns).unpivot(["replicate"], BOOTSTRAP_METRICS, "metric", "value").where("value is not null")

@@ -20,7 +20,6 @@ from tariffspark.operators.quantiles import exact_quantiles
 from tariffspark.session import materialize
 
 _POSITION_BITS = 33
-TIED_ROWS = 100_000
 
 
 def ranged(df: DataFrame, *order: Column | str, label: str = "ranged") -> DataFrame:
@@ -85,9 +84,6 @@ def first_rows_of(df: DataFrame, value: Column, key: str, places: Sequence[int])
         top, among, equal = tops[i], k - sizes[f"b{i}"], sizes[f"a{i}"]
         if among >= equal:
             conditions[k] = x <= F.lit(top)
-        elif equal <= TIED_ROWS:
-            last = table.where(F.col("x") == top).orderBy("k").limit(among).agg(F.max("k").alias("k")).first()["k"]
-            conditions[k] = (x < F.lit(top)) | ((x == F.lit(top)) & (F.col(key) <= F.lit(last)))
         else:
             last = with_rank(table.where(F.col("x") == top).select("k"), "k").where(F.col("rank") == among).first()["k"]
             conditions[k] = (x < F.lit(top)) | ((x == F.lit(top)) & (F.col(key) <= F.lit(last)))

@@ -126,11 +126,10 @@ def claim_amount_histogram(df: DataFrame, bins: int = 40) -> DataFrame:
 
 
 def contract_size_histogram(df: DataFrame, widest: int = 23, contract: str = CONTRACT) -> DataFrame:
-    """Contracts by number of rows in unit bins; the last bin is closed on both sides."""
+    """Contracts by number of rows in unit bins; the last bin holds ``widest`` rows and more."""
     sizes = df.where(F.col(contract).isNotNull()).groupBy(contract).agg(F.count("*").alias("size"))
     return (
-        sizes.where(F.col("size") <= widest + 1)
-        .groupBy(F.least(F.col("size"), F.lit(widest)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+        sizes.groupBy(F.least(F.col("size"), F.lit(widest)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
         .select("bin", F.col("bin").cast("double").alias("lower"), (F.col("bin") + 1).cast("double").alias("upper"), "n")
     )
 

@@ -40,8 +40,8 @@ def column_fingerprints(df: DataFrame, columns: Sequence[str], key: str) -> Data
     """(feature, fingerprint): an order-free sum of row hashes of (key, value); equal columns agree."""
     aggregates = []
     for c in columns:
-        value = F.coalesce(F.col(c).cast("double") + F.lit(0.0), F.lit(None))
-        aggregates.append(F.sum(F.xxhash64(F.col(key), F.coalesce(value.cast("string"), F.lit("null"))).cast("decimal(38,0)")).alias(f"fingerprint__{c}"))
+        value = F.col(c).cast("double") + F.lit(0.0)
+        aggregates.append(F.sum(F.xxhash64(F.col(key), value.isNull(), F.coalesce(value, F.lit(0.0))).cast("decimal(38,0)")).alias(f"fingerprint__{c}"))
     return wide_to_long(df.agg(*aggregates), columns, ["fingerprint"])
 
 

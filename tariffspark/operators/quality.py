@@ -148,8 +148,8 @@ def require_valid(df: DataFrame) -> None:
         raise ValueError(f"validation failed: {errors}")
 
 
-def quality_report(layers: Mapping[str, DataFrame], top: int = 20) -> DataFrame:
-    """Shape and the ``top`` highest null rates of each layer."""
+def quality_report(layers: Mapping[str, DataFrame], top: int | None = None) -> DataFrame:
+    """Shape and the null rates of each layer, highest first, or the ``top`` highest."""
     parts = []
     for name, df in layers.items():
         wide = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in df.columns])
@@ -159,7 +159,7 @@ def quality_report(layers: Mapping[str, DataFrame], top: int = 20) -> DataFrame:
     # One row per column of each layer: a window over metadata, not over data.
     ranked = reduce(DataFrame.unionByName, parts).withColumn(
         "rank", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("null_rate"), "feature")))
-    return ranked.where(F.col("rank") <= top)
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def duplicate_contracts(df: DataFrame, contract: str = CONTRACT) -> DataFrame:

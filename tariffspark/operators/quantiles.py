@@ -1,10 +1,10 @@
 """Exact linear-interpolation quantiles of many columns.
 
-``percentile`` keeps every distinct value of a column in one buffer, which is
-fine up to a few million rows and wrong beyond.  Larger tables are narrowed
-with mergeable sketches instead: each pass keeps, per quantile, only the rows
-between two data values that provably enclose the wanted rank, until the
-distinct values left fit a checked limit.
+``percentile`` keeps every distinct value of a column in one buffer.  Here
+columns are narrowed with mergeable sketches: each pass keeps, per quantile,
+only the rows between two data values that provably enclose the wanted rank,
+until the rows or distinct values left fit a checked limit and are ranked
+inside Spark.  Small tables take the same path with no pass.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 1_000_000
-CANDIDATE_VALUES = 100_000
+CANDIDATE_VALUES = 10_000
 _GRID = [i / 64 for i in range(65)]
 _FIRST_GRID = [i / 1024 for i in range(1025)]
 
@@ -37,30 +36,10 @@ class _Target:
     inside: int
 
 
-def exact_quantiles(
-    df: DataFrame,
-    wanted: Mapping[str, Sequence[float]],
-    direct_rows: int = DIRECT_ROWS,
-    candidate_values: int = CANDIDATE_VALUES,
-) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], candidate_values: int = CANDIDATE_VALUES) -> dict[str, list[float | None]]:
     """{column: quantiles}; nulls are skipped, an all-null column gives None."""
     if not wanted:
         return {}
-    return (_direct if df.count() <= direct_rows else _narrow)(df, wanted, candidate_values)
-
-
-def _direct(df: DataFrame, wanted: Mapping[str, Sequence[float]], _: int) -> dict[str, list[float | None]]:
-    """One task per column, each with the counted values of at most ``DIRECT_ROWS`` rows."""
-    out: dict[str, list[float | None]] = {c: [None] * len(qs) for c, qs in wanted.items()}
-    for qs in {tuple(float(q) for q in qs) for qs in wanted.values()}:
-        columns = [c for c in wanted if tuple(float(q) for q in wanted[c]) == qs]
-        long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "x").where("x is not null")
-        found = long.groupBy("feature").agg(F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("q"))
-        out |= {r["feature"]: list(r["q"]) for r in found.collect()}
-    return out
-
-
-def _narrow(df: DataFrame, wanted: Mapping[str, Sequence[float]], candidate_values: int) -> dict[str, list[float | None]]:
     columns = list(wanted)
     long = (
         df.select(*[F.col(c).cast("double").alias(c) for c in columns])
@@ -77,13 +56,18 @@ def _narrow(df: DataFrame, wanted: Mapping[str, Sequence[float]], candidate_valu
             for i, q in enumerate(wanted[c]):
                 open_targets[(c, i)] = _Target(c, (n - 1) * float(q), lo, hi, 0, n)
     answers: dict[tuple[str, int], float] = {}
-    if open_targets:
+    if any(t.inside > candidate_values for t in open_targets.values()):
         open_targets = _recount(long, open_targets, {k: _shrink(t, list(start[k[0]]["grid"])) for k, t in open_targets.items()}, halve=False)
     while open_targets:
         answers.update({k: t.low for k, t in open_targets.items() if t.low == t.high})
         open_targets = {k: t for k, t in open_targets.items() if t.low != t.high}
         if not open_targets:
             break
+        small = {k: t for k, t in open_targets.items() if t.inside <= candidate_values}
+        if small:
+            answers.update(_finish(_inside(long, small), small))
+            open_targets = {k: t for k, t in open_targets.items() if k not in small}
+            continue
         sketch = {
             (r["feature"], r["slot"]): r
             for r in _inside(long, open_targets).groupBy("feature", "slot").agg(
@@ -160,20 +144,18 @@ def _halve(long: DataFrame, t: _Target, middle: float) -> _Target:
 
 
 def _finish(inside: DataFrame, targets: Mapping[tuple[str, int], _Target]) -> dict[tuple[str, int], float]:
-    counts: dict[tuple[str, int], list[tuple[float, int]]] = {}
-    for r in inside.groupBy("feature", "slot", "x").count().collect():
-        counts.setdefault((r["feature"], r["slot"]), []).append((r["x"], r["count"]))
+    """The two values next to each rank, ranked in Spark; two rows per quantile come back."""
+    spark = inside.sparkSession
+    ranks = spark.createDataFrame([(*k, math.floor(t.rank) - t.below, math.ceil(t.rank) - t.below) for k, t in targets.items()],
+                                  "_f string, _s int, lower bigint, upper bigint")
+    upto = Window.partitionBy("feature", "slot").orderBy("x")
+    placed = inside.groupBy("feature", "slot", "x").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    at = placed.join(F.broadcast(ranks), (F.col("feature") == F.col("_f")) & (F.col("slot") == F.col("_s")))
+    holds = lambda r: (F.col("upto") - F.col("n") <= F.col(r)) & (F.col(r) < F.col("upto"))
+    found = at.groupBy("feature", "slot").agg(F.max(F.when(holds("lower"), F.col("x"))).alias("a"), F.max(F.when(holds("upper"), F.col("x"))).alias("b"))
     out = {}
-    for key, t in targets.items():
+    for r in found.collect():
+        t = targets[(r["feature"], r["slot"])]
         lower, upper = math.floor(t.rank), math.ceil(t.rank)
-        seen, picked = t.below, {}
-        for value, n in sorted(counts[key]):
-            for rank in (lower, upper):
-                if seen <= rank < seen + n:
-                    picked[rank] = value
-            seen += n
-        if picked[lower] == picked[upper]:
-            out[key] = picked[lower]
-        else:
-            out[key] = (upper - t.rank) * picked[lower] + (t.rank - lower) * picked[upper]
+        out[(r["feature"], r["slot"])] = r["a"] if r["a"] == r["b"] else (upper - t.rank) * r["a"] + (t.rank - lower) * r["b"]
     return out

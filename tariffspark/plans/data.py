@@ -117,7 +117,7 @@ def _filled(policy):
 
 def _quality(s, d):
     policy = materialize(S.policies(s, d), "policy")
-    return rounded(Q.quality_report({"raw": S.driver_rows(s, d), "policy": policy, "processed": _filled(policy)}), 9, "null_rate")
+    return rounded(Q.quality_report({"raw": S.driver_rows(s, d), "policy": policy, "processed": _filled(policy)}, 20), 9, "null_rate")
 
 
 def _layer_sql(layer, source, columns):

@@ -57,7 +57,7 @@ FROM {decile_sql('price_delta_pct', 'delta_decile', decile_sql('expected_loss',
 register("ae_by_risk", lambda s, d: rounded(D.ae_by_risk(S.priced_policies(s, d)), 8, "actual_lr", "expected_lr", "ae_ratio", **_ROUND),
          oracle("priced", f"SELECT risk_decile, policies, {_SUM}, {_LR} FROM (SELECT risk_decile, {_AE} FROM {decile_sql('expected_loss', 'risk_decile', 'priced')} GROUP BY 1)"))
 _segments = " UNION ALL ".join(f"SELECT '{c}' AS segment_column, coalesce({c}, 'missing') AS segment_value, new_premium, expected_loss, claim_amount FROM priced" for c in D.SEGMENTS)
-register("ae_by_segment", lambda s, d: rounded(D.ae_by_segment(S.priced_policies(s, d)), 8, "actual_lr", "expected_lr", "ae_ratio", **_ROUND),
+register("ae_by_segment", lambda s, d: rounded(D.ae_by_segment(S.priced_policies(s, d), top=20), 8, "actual_lr", "expected_lr", "ae_ratio", **_ROUND),
          oracle("priced", f"""SELECT segment_column, segment_value, policies, {_SUM}, {_LR} FROM (
 SELECT *, row_number() OVER (PARTITION BY segment_column ORDER BY policies DESC, segment_value) AS place FROM (
 SELECT segment_column, segment_value, {_AE} FROM ({_segments}) GROUP BY 1, 2)) WHERE place <= 20"""))
@@ -65,7 +65,7 @@ SELECT segment_column, segment_value, {_AE} FROM ({_segments}) GROUP BY 1, 2)) W
 WEIGHTS = {"premium": 2e-6, "engine_power_mean": 0.004, "car_age_mean": 0.01, "SCORE_1_1": 0.02, "SCORE_4_1": -0.03, "SCORE_11_1": 0.05, "driver_count": 0.1}
 _contrib = " UNION ALL ".join(f"""SELECT '{c}' AS feature, avg(abs({w!r}::DOUBLE * (x - m))) AS k FROM (
 SELECT coalesce({c}, 0)::DOUBLE AS x, (SELECT avg(coalesce({c}, 0)::DOUBLE) FROM policy) AS m FROM policy)""" for c, w in WEIGHTS.items())
-register("contribution_rank", lambda s, d: rounded(D.contribution_rank(S.policies(s, d), WEIGHTS), 8, "mean_abs_contribution", "cumulative_share"),
+register("contribution_rank", lambda s, d: rounded(D.contribution_rank(S.policies(s, d), WEIGHTS, 20), 8, "mean_abs_contribution", "cumulative_share"),
          oracle("policy", f"""SELECT feature, {sfx('k', 8)} AS mean_abs_contribution, (row_number() OVER (ORDER BY k DESC, feature))::INTEGER AS rank,
   {sfx('sum(k) OVER (ORDER BY k DESC, feature ROWS UNBOUNDED PRECEDING) / sum(k) OVER ()', 8)} AS cumulative_share FROM ({_contrib})"""))
 

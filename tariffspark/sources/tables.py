@@ -18,16 +18,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a table that lies in fewer files than there are cores (one row group is one task).
-
-    A large table has more files than that and is returned as it is.
-    """
-    if len(df.inputFiles()) >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
-    return df.repartition(*keys)
-
-
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Header CSV.  Give a schema for large files: inference costs a second pass."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")

@@ -68,7 +68,7 @@ def test_too_few_claims_use_their_mean(halves):
 def test_wide_categories_are_hashed(planted):
     schema = infer_schema(planted)
     assert schema.numeric[0] == "premium" and schema.categorical == ["region_name"]
-    assert any("Hasher" in type(s).__name__ for s in fit_matrix(align(planted, schema), schema, max_categories=1).stages)
+    assert any("Hasher" in type(s).__name__ for s in fit_matrix(align(planted, schema), schema, hashed=["region_name"]).stages)
 
 
 def test_out_of_fold_rows_are_complete_and_resume(halves, tmp_path):

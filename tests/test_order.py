@@ -31,9 +31,7 @@ def test_rank_does_not_depend_on_the_partitioning(values):
     assert one == seven
 
 
-@pytest.mark.parametrize("tied_rows", [100_000, 10])
-def test_first_rows_hold_exactly_k_rows(values, tied_rows, monkeypatch):
-    monkeypatch.setattr(O, "TIED_ROWS", tied_rows)
+def test_first_rows_hold_exactly_k_rows(values):
     rows, df = values
     places = [0, 1, 17, 1200, 1500, 3999, 4000]
     ordered = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
@@ -44,11 +42,10 @@ def test_first_rows_hold_exactly_k_rows(values, tied_rows, monkeypatch):
 QS = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.9, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("direct", [True, False])
-def test_quantiles_equal_numpy(values, direct):
+@pytest.mark.parametrize("candidate_values", [10_000, 20])
+def test_quantiles_equal_numpy(values, candidate_values):
     rows, df = values
-    limits = {} if direct else {"direct_rows": 10, "candidate_values": 20}
-    got = exact_quantiles(df, {"hot": QS, "x": QS}, **limits)
+    got = exact_quantiles(df, {"hot": QS, "x": QS}, candidate_values)
     for i, name in ((1, "hot"), (2, "x")):
         assert np.allclose(got[name], np.quantile([r[i] for r in rows], QS), rtol=0, atol=1e-12)
 
@@ -56,11 +53,11 @@ def test_quantiles_equal_numpy(values, direct):
 def test_quantiles_of_an_empty_column_are_none(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert exact_quantiles(df, {"x": [0.5]}) == {"x": [None]}
-    assert exact_quantiles(df, {"x": [0.5]}, direct_rows=0) == {"x": [None]}
+    assert exact_quantiles(df, {"x": [0.5]}, candidate_values=1) == {"x": [None]}
 
 
 def test_narrowing_handles_two_values_and_one_value(spark):
     df = spark.createDataFrame([(1.0, 5.0)] * 60 + [(2.0, 5.0)] * 40, "two double, one double")
-    got = exact_quantiles(df, {"two": [0.1, 0.6, 0.9], "one": [0.5]}, direct_rows=0, candidate_values=1)
+    got = exact_quantiles(df, {"two": [0.1, 0.6, 0.9], "one": [0.5]}, candidate_values=1)
     assert np.allclose(got["two"], np.quantile([1.0] * 60 + [2.0] * 40, [0.1, 0.6, 0.9]))
     assert got["one"] == [5.0]
