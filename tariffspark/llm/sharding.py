@@ -68,17 +68,29 @@ def hilbert_index(x: Column, bits: int, dims: int) -> Column:
         return F.when(flip, put(a, F.lit(0), at(a, F.lit(0)).bitwiseXOR(p))).otherwise(
             F.when(i == 0, a).otherwise(put(swapped, i, at(a, i).bitwiseXOR(swap))))
 
+    steps = F.array(*[F.struct(F.lit(1 << b).cast("long").alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(dims)])
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def given(value: Column, use) -> Column:
+        """``use(value)`` with the value computed once, however often it is named."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def interleaved(point: Column) -> Column:
+        order = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(dims)])
+        return F.aggregate(order, zero, lambda h, s: h * 2 + F.call_function("shiftright", at(point, s["i"]), s["b"]).bitwiseAND(one))
+
+    def untwisted(gray: Column) -> Column:
+        if bits == 1:
+            return interleaved(gray)
+        tail = given(F.element_at(gray, -1), lambda last: F.aggregate(
+            F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]), zero,
+            lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t)))
+        return given(tail, lambda t: given(F.transform(gray, lambda e: e.bitwiseXOR(t)), interleaved))
+
     steps = F.array(*[F.struct(F.lit(1 << b).cast("long").alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(dims)])
     turned = F.aggregate(steps, x.cast("array<long>"), rotate) if bits > 1 else x.cast("array<long>")
     gray = F.aggregate(F.sequence(F.lit(1), F.lit(dims - 1)), turned, lambda a, i: put(a, i, at(a, i).bitwiseXOR(at(a, i - 1)))) if dims > 1 else turned
-    tail = F.aggregate(F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]), F.struct(F.element_at(gray, -1).alias("last"), F.lit(0).cast("long").alias("t")),
-                       lambda s, q: F.struct(s["last"].alias("last"), F.when(s["last"].bitwiseAND(q) != 0, s["t"].bitwiseXOR(q - 1)).otherwise(s["t"]).alias("t")),
-                       lambda s: s["t"]) if bits > 1 else F.lit(0).cast("long")
-    point = F.transform(gray, lambda e: e.bitwiseXOR(tail))
-    order = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(dims)])
-    one = F.lit(1).cast("long")
-    return F.aggregate(order, F.lit(0).cast("long"),
-                       lambda h, s: h * 2 + F.call_function("shiftright", at(point, s["i"]), s["b"]).bitwiseAND(one))
+    return given(gray, untwisted)
 
 
 def hilbert_shards(docs: DataFrame, dims: list[str], shards: int = 16, law: str = "rows", bits: int = 6, id_column: str = "doc_id",
