@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tariffspark.functions.columns import key_text, ratio
 from tariffspark.operators.order import offsets, ranged
-from tariffspark.session import materialize
 from tariffspark.roles import AMOUNT, CLAIM
 
 
@@ -148,17 +147,16 @@ def bootstrap_replicates(df: DataFrame, key: str, replicates: int = 200, seed: i
 
     schema = "kind string, replicate int, " + ", ".join(f"{n} double" for n in names[2:])
     parts = drawn.mapInArrow(segments, schema).groupBy("replicate", "kind", "score").agg(*[F.sum(n).alias(n) for n in names[3:]])
-    parts = materialize(parts, "bootstrap")  # read twice below, drawn once
     # From here a replicate has at most three rows per range of scores.
     earlier = Window.partitionBy("replicate").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        parts.where("kind <> 'sums'").withColumn("below", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
+    # Rows of sums have no positives and negatives, the others no sums, so one pass serves both.
+    totals = (
+        parts.withColumn("below", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
         .withColumn("u", F.col("pos") * F.col("below") + F.when(F.col("kind") == "inner", F.col("u")).otherwise(F.col("pos") * F.col("neg") / 2))
-        .groupBy("replicate").agg(F.sum("u").alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        .groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("u", "pos", "neg", "w", "se", "claims", "premium", "new_premium")])
     )
-    totals = parts.where("kind = 'sums'").select("replicate", "w", "se", "claims", "premium", "new_premium")
     auc = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u") / (F.col("pos") * F.col("neg")))
-    return totals.join(ranked, "replicate").select(
+    return totals.select(
         "replicate", auc.alias("auc"), (F.lit(2.0) * auc - F.lit(1.0)).alias("gini"), ratio(F.col("se"), F.col("w")).alias("brier"),
         loss_ratio(F.col("claims"), F.col("premium")).alias("lr_original"),
         loss_ratio(F.col("claims"), F.col("new_premium")).alias("lr_new_premium"))
