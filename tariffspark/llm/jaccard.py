@@ -324,13 +324,16 @@ def _overlaps():
 
 
 def _scored(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """Distinct ``pairs(a, b, na, nb)`` with the size of the intersection. A set goes once to each ``SPREAD`` of its partners."""
+    """Distinct ``pairs(a, b, na, nb)`` with the size of the intersection. A set goes once to each ``SPREAD`` of its partners.
+
+    The ids are written and counted first, so that few of them are broadcast to the token sets, which then move only where a pair needs them.
+    """
     pairs = materialize(pairs, "jaccard-pairs")
     copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("salts"))
-    salted = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    hubs = copies.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    left = hubs.join(sets.withColumnRenamed("rid", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens")
-    right = salted.join(sets.withColumnRenamed("rid", "b"), "b").select("a", "salt", "b", "tokens")
+    salted = materialize(pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "jaccard-salted")
+    hubs = materialize(salted.select("a", "salt").distinct(), "jaccard-hubs")
+    left = sets.withColumnRenamed("rid", "a").join(bounded(hubs), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens")
+    right = sets.withColumnRenamed("rid", "b").join(bounded(salted), "b").select("a", "salt", "b", "tokens")
     rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return materialize(rows.mapInArrow(_overlaps(), "a long, b long, both int").join(pairs, ["a", "b"]), label)
 
@@ -421,7 +424,8 @@ def _cell_links(near: DataFrame, groups: DataFrame, sets: DataFrame, percent: in
       concat(transform(sequence(0, ns - 1), o -> named_struct('kind', 0, 'i', least(own, o), 'j', greatest(own, o), 'role', int(own > o))),
              transform(sequence(0, nc - 1), o -> named_struct('kind', 1, 'i', own, 'j', o, 'role', 0))),
       transform(sequence(0, ns - 1), o -> named_struct('kind', 1, 'i', o, 'j', own, 'role', 1)))""")
-    rows = (cut.join(sets.withColumnRenamed("rid", "b"), "b").select("a", "b", "component", "tokens", F.explode(to).alias("t"))
+    cut = bounded(materialize(cut, "jaccard-cut"))
+    rows = (sets.withColumnRenamed("rid", "b").join(cut, "b").select("a", "b", "component", "tokens", F.explode(to).alias("t"))
             .select("a", "t.kind", "t.i", "t.j", "t.role", "b", "component", "tokens"))
     return rows.repartition("a", "kind", "i", "j").sortWithinPartitions("a", "kind", "i", "j", "role").mapInArrow(_block_links(percent), "u long, v long")
 
