@@ -113,3 +113,14 @@ def test_random_split_is_exact_per_stratum(dated):
     out = O.split_random(dated, 0.4)
     got = {(r["is_claim"], r["split"]): r["count"] for r in out.groupBy("is_claim", "split").count().collect()}
     assert got[(1, "valid")] == 2 and got[(0, "valid")] == 6
+
+
+def test_bootstrap_query_runs_all_replicates(spark, data, monkeypatch):
+    import inspect
+
+    from tariffspark.plans import metric
+
+    seen, draw = [], M.bootstrap_replicates
+    monkeypatch.setattr(M, "bootstrap_replicates", lambda df, key, replicates, *a, **kw: seen.append(replicates) or draw(df, key, replicates, *a, **kw))
+    metric.QUERIES["bootstrap_ci"](spark, data)
+    assert seen == [metric.REPLICATES] == [inspect.signature(M.bootstrap_ci).parameters["replicates"].default]
