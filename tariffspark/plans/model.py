@@ -13,6 +13,7 @@ from tariffspark.operators import score as K
 from tariffspark.operators.preprocess import PreprocessConfig, fit_preprocessor, train_matrix, transform
 from tariffspark.operators.selection import blend_predictions
 from tariffspark.plans.common import oracle, rounded, scalar_price_sql, sfx
+from tariffspark.plans.price import DEFAULT_ALPHA, DEFAULT_BETA
 from tariffspark.plans.split import CUTOFF
 from tariffspark.roles import PREDICTION
 from tariffspark.session import materialize
@@ -88,9 +89,6 @@ SELECT contract_number, {sfx('0.5::DOUBLE * p + 0.3::DOUBLE * pb + 0.2::DOUBLE *
 FROM (SELECT contract_number, premium, p_claim AS p, p_claim * 0.5::DOUBLE + 0.05::DOUBLE AS pb, expected_severity AS v FROM scored)"""))
 
 # -- fitted models -------------------------------------------------------------------------------
-SMALL = PreprocessConfig(rare_share=0.03, target_encoded=["mark", "model"], frequency_encoded=["ownerkato"], interactions=["premium_per_driver"],
-                         force_drop=["car_year", "bonus_malus"])
-TREES = {"iterations": 8, "depth": 3}
 
 
 def _splits(s, d):
@@ -98,7 +96,7 @@ def _splits(s, d):
     policy = materialize(S.policies(s, d), "policy")
     cut = F.lit(CUTOFF).cast("timestamp_ntz")
     train, valid = policy.where(F.col("operation_date") < cut), policy.where(F.col("operation_date") >= cut)
-    state = fit_preprocessor(train, SMALL)
+    state = fit_preprocessor(train, PreprocessConfig())
     return policy, state, materialize(train_matrix(train, state), "train"), materialize(transform(valid, state), "valid")
 
 
@@ -110,14 +108,14 @@ def _predictions(candidate, params=None):
 
 
 register("freq_sev_fit", _predictions("baseline_freq_sev"))
-register("gbt_freq_sev", _predictions("gbt_freq_sev", TREES))
-register("dependent_severity", _predictions("gbt_dep_freq_sev", {**TREES, "iterations": 4, "oof_folds": 3}))
+register("gbt_freq_sev", _predictions("gbt_freq_sev"))
+register("dependent_severity", _predictions("gbt_dep_freq_sev"))
 register("woe_fit", _predictions("woe_freq_sev"))
 register("tweedie_fit", _predictions("tweedie_aggregate"))
 
 
 def _oof(s, d):
-    return C.oof_predictions(_splits(s, d)[2], "baseline_freq_sev", {"max_iter": 50}, 3)
+    return C.oof_predictions(_splits(s, d)[2], "baseline_freq_sev")
 
 
 register("oof_predictions", _oof)
@@ -148,8 +146,8 @@ def _calibration_report(s, d):
 
 register("calibration_report", _calibration_report)
 
-PRICE = B.PriceConfig(alphas=[0.0, 0.1, 0.2, 0.3], betas=[0.8 + 0.02 * i for i in range(16)])
-BENCH = B.BenchmarkConfig(["baseline_freq_sev", "gbt_freq_sev", "woe_freq_sev", "tweedie_aggregate", "no_such_model"], {"gbt_freq_sev": TREES}, must_pass=False)
+PRICE = B.PriceConfig(alphas=DEFAULT_ALPHA, betas=DEFAULT_BETA)
+BENCH = B.BenchmarkConfig(["baseline_freq_sev", "gbt_freq_sev", "woe_freq_sev", "tweedie_aggregate", "no_such_model"], must_pass=False)
 
 
 def _benchmark(s, d):
@@ -162,17 +160,20 @@ register("benchmark_table", _benchmark)
 
 def _ablation(s, d):
     _, state, train, valid = _splits(s, d)
-    families = {k: v for k, v in state.families().items() if k in ("drop_date_features", "drop_target_encoding")}
-    return B.ablation(train, valid, families, BENCH, PRICE)
+    return B.ablation(train, valid, state.families(), BENCH, PRICE)
 
 
 register("ablation", _ablation)
 
 
+# The built-in grid of the boosted-tree tuning.
+TRIALS = [{"iterations": n, "depth": k, "learning_rate": rate, "subsample": share}
+          for n, k, rate, share in ((220, 6, 0.05, 0.8), (300, 7, 0.04, 0.85), (360, 6, 0.03, 0.9), (180, 5, 0.07, 0.8))]
+
+
 def _sweep(s, d):
     _, _, train, valid = _splits(s, d)
-    trials = [{"iterations": n, "depth": k} for n in (3, 6) for k in (2, 3)]
-    table, baseline = B.sweep(train, valid, "gbt_freq_sev", trials, BENCH, PRICE)
+    table, baseline = B.sweep(train, valid, "gbt_freq_sev", TRIALS, BENCH, PRICE)
     return table.select("trial", "params", "status", "passes_constraints", "policy_score", "gini", "objective").withColumn("baseline_policy_score", F.lit(baseline))
 
 

@@ -143,7 +143,7 @@ L_ALPHA, L_BETA = [float(a) for a in np.linspace(-0.25, 0.25, 81)], [float(b) fo
 _relative = "greatest(premium, 0) * least(greatest(1.0::DOUBLE + alpha + beta * expected_loss / greatest(premium, 1), 0.4::DOUBLE), 3.0::DOUBLE)"
 register("price_relative_loss", lambda s, d: _search(s, d, L_ALPHA, L_BETA, kind="relative_loss", key="distance_first"), oracle(
     "scored", best_sql(order="(violations = 0) DESC, in_target DESC, distance_to_target, policy_score DESC, ordinal"), *grid_ctes(L_ALPHA, L_BETA, price=_relative)))
-R_ALPHA, R_BETA = [0.0, 0.1, 0.2, 0.3, 0.5, 0.8], [0.85, 0.9, 0.95, 1.0, 1.05]
+R_ALPHA, R_BETA = DEFAULT_ALPHA, DEFAULT_BETA
 
 
 def _retention_search(s, d):

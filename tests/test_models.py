@@ -163,3 +163,20 @@ def test_eda_writes_its_tables(spark, data, tmp_path):
     tables = X.run_eda(S.driver_rows(spark, data), str(tmp_path / "eda"))
     assert spark.read.parquet(str(tmp_path / "eda/tables/feature_action_board")).count() == tables["feature_action_board"].count() > 0
     assert spark.read.option("header", True).csv(str(tmp_path / "eda/feature_selection/feature_whitelist")).count() > 0
+
+
+def test_model_queries_run_the_defaults():
+    from unittest import mock
+
+    from tariffspark.plans import model as P
+
+    state = mock.Mock()
+    state.families.return_value = {f"family_{i}": [] for i in range(5)}
+    with mock.patch.object(P, "_splits", return_value=(None, state, "train", "valid")), mock.patch.object(P.M, "build_candidate") as build, \
+            mock.patch.object(P.C, "oof_predictions") as oof, mock.patch.object(P.B, "ablation") as ablation:
+        for name in ("gbt_freq_sev", "dependent_severity", "oof_predictions", "ablation"):
+            P.QUERIES[name](None, None)
+    assert all(not any(c.args[1:]) and not c.kwargs for c in build.call_args_list) and build.call_count == 2
+    assert not oof.call_args.args[2:] and not oof.call_args.kwargs
+    assert ablation.call_args.args[2] == state.families()
+    assert not P.BENCH.params and len(P.PRICE.alphas) * len(P.PRICE.betas) == 6400 and min(t["iterations"] for t in P.TRIALS) >= 180
