@@ -138,7 +138,8 @@ def fit_blend(train: DataFrame, config: BenchmarkConfig, price: PriceConfig, par
         loss = oof.select(F.col(CONTRACT).alias("_contract"), F.col("expected_loss").alias(f"{b}_loss"))
         joined = joined.join(loss, F.col(CONTRACT).eqNullSafe(F.col("_contract"))).drop("_contract")
     table = Z.blend_weight_search(materialize(joined, "oof"), [f"{b}_loss" for b in bases], price.alphas, price.betas,
-                                  float(params.get("weight_grid_step", 0.1)), price.target_lr, price.band, dict(config.limits), config.metric)
+                                  float(params.get("weight_grid_step", 0.1)), price.target_lr, price.band, dict(config.limits), config.metric,
+                                  price.method, price.retention, price.stratified)
     chosen = table.where("chosen = 1").first()
     weights = {b: float(chosen[f"w_{b}_loss"]) for b in bases}
     models = {b: build_candidate(kinds[b], config.params.get(b)).fit(train) for b in bases if weights[b] > 0}

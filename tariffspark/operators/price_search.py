@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -199,39 +201,54 @@ def _index_weights(mixes: np.ndarray, means: np.ndarray) -> np.ndarray:
     return np.where(mixed[:, None] > 0, mixes / np.where(mixed > 0, mixed, 1.0)[:, None], 0.0)
 
 
-def _retained_sums(df: DataFrame, family: Family, loss: Column, mean: float, retention: Retention) -> DataFrame:
+def _retained_sums(df: DataFrame, family: Family, losses: Sequence[Column], mixes: np.ndarray, means: np.ndarray, retention: Retention,
+                   bucket: Column | None = None, buckets: int = 1) -> DataFrame:
     """KPI sums when policies are weighted by their retention, which is not a straight line in x.
 
     Each task evaluates the grid point by point on its Arrow batches and returns
-    one row per point.
+    one row per point, weight vector (row of ``mixes``) and bucket.
     """
     base = nonneg(F.col(PREMIUM))
-    slim = df.select(base.alias("base"), net_share(base).alias("share"), nonneg(F.col(AMOUNT)).alias("payout"), loss.alias("loss"))
+    slim = df.select(base.alias("base"), net_share(base).alias("share"), nonneg(F.col(AMOUNT)).alias("payout"),
+                     (bucket if bucket is not None else F.lit(0)).cast("int").alias("bucket"), *[loss.alias(f"loss{i}") for i, loss in enumerate(losses)])
     kept_share = min(max(retention.base_retention, 1e-6), 1.0 - 1e-6)
     offset = float(np.log(kept_share / (1.0 - kept_share)))
+    mixed = mixes @ means
+    names = [*KPI_SUMS, "multiplier"]
 
     def sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((family.size, len(KPI_SUMS)))
+        totals = np.zeros((len(mixes), buckets, family.size, len(names)))
         for batch in batches:
-            base_, share, payout, loss_ = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            x = loss_ / mean if mean > 0 else np.ones(len(loss_))
-            for g in range(family.size):
-                factor = np.clip(family.a[g] + family.b[g] * x, family.low, family.high)
-                change = np.where(base_ > 0, factor - 1.0, 0.0)
-                logit = np.clip(offset - retention.elasticity * (change - retention.center), -35.0, 35.0)
-                w = np.clip(1.0 / (1.0 + np.exp(-logit)), retention.floor, retention.cap)
-                kept = (factor <= 1.0 + 1e-12) | (base_ <= 0)
-                paid, net = payout * w, base_ * factor * share * w
-                totals[g] += (len(w), paid.sum(), net.sum(), paid[kept].sum(), net[kept].sum(), paid[~kept].sum(), net[~kept].sum(),
-                              w.sum(), w[kept].sum(), 0.0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(family.size)), *[pa.array(totals[:, k].copy()) for k in range(len(KPI_SUMS))]], names=["ordinal", *KPI_SUMS])
-
-    schema = "ordinal long, " + ", ".join(f"{c} double" for c in KPI_SUMS)
-    summed = slim.mapInArrow(sum_batches, schema).groupBy("ordinal").agg(*[F.sum(c).alias(c) for c in KPI_SUMS])
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for k in range(buckets):
+                mine = columns[3] == k
+                base_, share, payout, _, *z = columns if mine.all() else [c[mine] for c in columns]
+                if not len(base_):
+                    continue
+                for v, mix in enumerate(mixes):
+                    x = sum(w * c for w, c in zip(mix, z)) / mixed[v] if mixed[v] > 0 else np.ones(len(base_))
+                    for g in range(family.size):
+                        factor = np.clip(family.a[g] + family.b[g] * x, family.low, family.high)
+                        change = np.where(base_ > 0, factor - 1.0, 0.0)
+                        logit = np.clip(offset - retention.elasticity * (change - retention.center), -35.0, 35.0)
+                        w = np.clip(1.0 / (1.0 + np.exp(-logit)), retention.floor, retention.cap)
+                        kept = (factor <= 1.0 + 1e-12) | (base_ <= 0)
+                        paid, net = payout * w, base_ * factor * share * w
+                        totals[v, k, g] += (len(w), paid.sum(), net.sum(), paid[kept].sum(), net[kept].sum(), paid[~kept].sum(), net[~kept].sum(),
+                                            w.sum(), w[kept].sum(), 0.0, factor[base_ > 0].sum())
+        for v in range(len(mixes)):
+            for k in range(buckets):
+                if buckets == 1 or totals[v, k, 0, 0] > 0:
+                    rows = family.size
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(rows, v, "int32")), pa.array(np.full(rows, k, "int32")), pa.array(np.arange(rows)),
+                         *[pa.array(totals[v, k, :, i].copy()) for i in range(len(names))]], names=["variant", "bucket", "ordinal", *names])
+
+    schema = "variant int, bucket int, ordinal long, " + ", ".join(f"{c} double" for c in names)
+    summed = slim.mapInArrow(sum_batches, schema).groupBy("variant", "bucket", "ordinal").agg(*[F.sum(c).alias(c) for c in names])
     points = [(int(i), float(a), float(b)) for i, (a, b) in enumerate(zip(family.alpha, family.beta))]
     grid = df.sparkSession.createDataFrame(points, "ordinal long, alpha double, beta double")
-    return grid.join(summed, "ordinal").withColumn("variant", F.lit(0)).withColumn("bucket", F.lit(0))
+    return grid.join(summed, "ordinal")
 
 
 # -- candidates and the choice among them ---------------------------------------------------
@@ -257,7 +274,8 @@ def grid_candidates(df: DataFrame, alphas: Sequence[float], betas: Sequence[floa
     column = nonneg(F.col(loss))
     mean = _means(df, [column])
     if retention is not None and retention.enabled:
-        return kpis_from_sums(_retained_sums(df, family, column, float(mean[0]), retention).drop("variant", "bucket"), target, limits, True)
+        sums = _retained_sums(df, family, [column], np.ones((1, 1)), mean, retention)
+        return kpis_from_sums(sums.drop("multiplier", "variant", "bucket"), target, limits, True)
     sums = grid_sums(bin_sums(df, family, [column], _index_weights(np.ones((1, 1)), mean)), family)
     return kpis_from_sums(sums.drop("multiplier", "variant", "bucket"), target, limits)
 
@@ -358,7 +376,7 @@ class StratifiedSearch:
     enforce_monotonic: bool = True
 
 
-def _kpi_arrays(sums: dict[str, np.ndarray], target: float, limits: tuple[float, float]) -> dict[str, np.ndarray]:
+def _kpi_arrays(sums: dict[str, np.ndarray], target: float, limits: tuple[float, float], with_retention: bool = False) -> dict[str, np.ndarray]:
     def share(a, b):
         return np.where(b > 0, a / np.where(b > 0, b, 1.0), 0.0)
 
@@ -366,12 +384,14 @@ def _kpi_arrays(sums: dict[str, np.ndarray], target: float, limits: tuple[float,
     group1 = share(sums["weight_1"], sums["weight"])
     inside = (total >= limits[0]) & (total <= limits[1])
     score = (-np.abs(total - target) - 0.7 * np.abs(first - target) - 0.7 * np.abs(second - target) + 0.15 * group1 + 0.5 * inside)
+    if with_retention:
+        score = score + 0.10 * share(sums["weight"], sums["n"])
     return {"in_target": inside.astype(int), "policy_score": score, "share_group1": group1}
 
 
 def search_stratified(df: DataFrame, alphas: Sequence[float], betas: Sequence[float], target: float = 0.7,
                       band: tuple[float, float] | None = None, config: StratifiedSearch | None = None,
-                      loss: str = "expected_loss") -> PricingPolicy:
+                      loss: str = "expected_loss", retention: Retention | None = None) -> PricingPolicy:
     """Coordinate search over buckets, starting from the best single tariff.
 
     The KPIs are sums over buckets, so one job gives the sums of every (bucket,
@@ -385,9 +405,13 @@ def search_stratified(df: DataFrame, alphas: Sequence[float], betas: Sequence[fl
     mean = _means(df, [column])
     edges = stratified_edges(df, cfg.n_buckets, cfg.min_bucket_size, loss)
     buckets = len(edges) + 1
-    binned = bin_sums(df, family, [column], _index_weights(np.ones((1, 1)), mean), half_open_bin(column, edges), buckets)
+    retained = retention is not None and retention.enabled
+    if retained:
+        sums = _retained_sums(df, family, [column], np.ones((1, 1)), mean, retention, half_open_bin(column, edges), buckets)
+    else:
+        sums = grid_sums(bin_sums(df, family, [column], _index_weights(np.ones((1, 1)), mean), half_open_bin(column, edges), buckets), family)
     # buckets x grid points rows: the size of the search, not of the data.
-    table = grid_sums(binned, family).toPandas()
+    table = sums.toPandas()
     names = [*KPI_SUMS, "multiplier"]
     present = sorted(table["bucket"].unique())
     part = {b: {c: table.loc[table["bucket"] == b].sort_values("ordinal")[c].to_numpy() for c in names} for b in present}
@@ -403,7 +427,7 @@ def search_stratified(df: DataFrame, alphas: Sequence[float], betas: Sequence[fl
                 found = int(g)
         return found
 
-    kpi = _kpi_arrays(overall, target, limits)
+    kpi = _kpi_arrays(overall, target, limits, retained)
     start = first_best(kpi, np.ones(family.size, bool))
     init = (float(family.alpha[start]), float(family.beta[start]))
     single = PricingPolicy("scalar", "grid", init[0], init[1], float(mean[0]))
@@ -424,7 +448,7 @@ def search_stratified(df: DataFrame, alphas: Sequence[float], betas: Sequence[fl
     for _ in range(cfg.coordinate_passes):
         for place, b in enumerate(present):
             rest = {c: sum(part[o][c][chosen[o]] for o in present if o != b) for c in names}
-            kpi = _kpi_arrays({c: rest[c] + part[b][c] for c in names}, target, limits)
+            kpi = _kpi_arrays({c: rest[c] + part[b][c] for c in names}, target, limits, retained)
             allowed = np.ones(family.size, bool)
             if cfg.enforce_monotonic:
                 others, own = means_of(chosen), part[b]["multiplier"] / part[b]["n"]
@@ -437,7 +461,7 @@ def search_stratified(df: DataFrame, alphas: Sequence[float], betas: Sequence[fl
             g = first_best(kpi, allowed)
             if g is not None and key_at(kpi, g) > best:
                 best, chosen = key_at(kpi, g), {**chosen, b: g}
-    kpi = _kpi_arrays(overall, target, limits)
+    kpi = _kpi_arrays(overall, target, limits, retained)
     if (cfg.enforce_monotonic and not monotone(means_of(chosen))) or best < key_at(kpi, start):
         return single
     alpha = {int(b): float(family.alpha[g]) for b, g in chosen.items()}
@@ -458,7 +482,7 @@ def select_pricing(df: DataFrame, alphas: Sequence[float], betas: Sequence[float
         mean = float(_means(kept, [nonneg(F.col(loss))])[0])
         policy = PricingPolicy("scalar", name, best["alpha"], best["beta"], mean)
     elif name == "stratified_grid":
-        policy = search_stratified(kept, alphas, betas, target, band, stratified, loss)
+        policy = search_stratified(kept, alphas, betas, target, band, stratified, loss, retention)
     else:
         raise ValueError(f"unknown pricing method: {method}")
     priced = (price_scalar(kept, policy.alpha, policy.beta, loss=loss) if policy.kind == "scalar" else price_stratified(kept, policy, loss))
@@ -489,20 +513,32 @@ def simplex_weights(n: int, step: float) -> np.ndarray:
 
 def blend_weight_search(df: DataFrame, losses: Sequence[str], alphas: Sequence[float], betas: Sequence[float], step: float = 0.1,
                         target: float = 0.7, band: tuple[float, float] | None = None, limits: dict | None = None,
-                        metric: str = "policy_score") -> DataFrame:
+                        metric: str = "policy_score", method: str = "grid", retention: Retention | None = None,
+                        stratified: StratifiedSearch | None = None) -> DataFrame:
     """Best tariff of every weight vector, with ``passes`` and ``chosen``.
 
-    The thresholds depend on the grid alone, so all weight vectors share one
-    pass; the chosen row is the best that passes, else the best of all.
+    The thresholds depend on the grid alone, so on the plain grid all weight
+    vectors share one pass; other methods search once per weight vector, and
+    ``alpha`` and ``beta`` are then those of the whole tariff. The chosen row is
+    the best that passes, else the best of all.
     """
     from tariffspark.operators.selection import constraint_columns
 
     columns = [nonneg(F.col(c)) for c in losses]
     mixes = simplex_weights(len(losses), step)
-    family = relative_risk_family(alphas, betas)
-    sums = grid_sums(bin_sums(df, family, columns, _index_weights(mixes, _means(df, columns))), family)
-    candidates = kpis_from_sums(sums.drop("multiplier", "bucket"), target, target_band(target, band))
-    best = best_candidate(candidates, by=["variant"])
+    if (method or "grid").strip().lower() == "grid":
+        family, means, retained = relative_risk_family(alphas, betas), _means(df, columns), retention is not None and retention.enabled
+        sums = (_retained_sums(df, family, columns, mixes, means, retention) if retained
+                else grid_sums(bin_sums(df, family, columns, _index_weights(mixes, means)), family))
+        best = best_candidate(kpis_from_sums(sums.drop("multiplier", "bucket"), target, target_band(target, band), retained), by=["variant"])
+    else:
+        found = []
+        for v, mix in enumerate(mixes):
+            mixed = df.withColumn("__mixed", reduce(add, [F.lit(float(w)) * c for w, c in zip(mix, columns)]))
+            policy, kpis = select_pricing(mixed, alphas, betas, target, band, method, retention, stratified, "__mixed")
+            found.append(kpis.select(F.lit(v).alias("variant"), F.lit(policy.alpha).alias("alpha"), F.lit(policy.beta).alias("beta"), "*").first())
+        # One row per weight vector.
+        best = df.sparkSession.createDataFrame(found, kpis.select(F.lit(0).alias("variant"), F.lit(0.0).alias("alpha"), F.lit(0.0).alias("beta"), "*").schema)
     passes = constraint_columns(limits or {})
     rows = [(int(v), *map(float, mixes[v])) for v in range(len(mixes))]
     named = df.sparkSession.createDataFrame(rows, "variant int, " + ", ".join(f"w_{c} double" for c in losses))

@@ -146,6 +146,24 @@ def test_methods_report_kpis(portfolio):
         assert kpis.count() == 1 and policy.kind in ("scalar", "stratified")
 
 
+def test_stratified_search_and_blends_use_the_retention(portfolio):
+    _, df = portfolio
+    alphas, betas, keep, cfg = [-0.2, 0.0, 0.3, 0.6], [0.7, 0.9, 1.1], R.Retention(enabled=True, elasticity=8.0), Z.StratifiedSearch(3, 20, 2, False)
+    score = lambda policy: R.portfolio_kpis(R.apply_policy(df, policy), retention=keep).first()
+    key = lambda r: (r["in_target"], r["policy_score"])
+    found = score(Z.select_pricing(df, alphas, betas, method="stratified_grid", retention=keep, stratified=cfg)[0])
+    assert key(found) >= key(Z.search_price(df, alphas, betas, retention=keep).first())
+    assert key(found) > key(score(Z.search_stratified(df, alphas, betas, config=cfg)))
+    two = df.withColumns({"a": F.col("expected_loss"), "b": F.col("premium") * 0.5})
+    for method in ("grid", "refine", "stratified_grid"):
+        rows = Z.blend_weight_search(two, ["a", "b"], alphas, betas, 0.5, method=method, retention=keep, stratified=cfg).orderBy("variant").collect()
+        for r in rows:
+            mixed = two.withColumn("mix", F.col("a") * r["w_a"] + F.col("b") * r["w_b"])
+            own = Z.select_pricing(mixed, alphas, betas, method=method, retention=keep, stratified=cfg, loss="mix")
+            assert (r["alpha"], r["beta"]) == pytest.approx((own[0].alpha, own[0].beta)) and r["policy_score"] == pytest.approx(own[1].first()["policy_score"])
+        assert len(rows) == 3 and sum(r["chosen"] for r in rows) == 1
+
+
 def test_simplex_weights():
     assert Z.simplex_weights(3, 0.1).shape == (66, 3)
     assert np.allclose(Z.simplex_weights(3, 0.1).sum(axis=1), 1.0)
