@@ -25,6 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tariffspark.llm.lookups import bounded
 from tariffspark.llm.text import SPACE, ascii_lower, whole
 from tariffspark.session import materialize
 
@@ -83,14 +84,20 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                                    F.coalesce("path", F.lit("")).alias("path"))
 
 
-def dictionary(docs: DataFrame, text_column: str = "text", words: int = 20_000) -> DataFrame:
-    """The ``words`` most frequent words of four letters or more, over all texts."""
-    pieces = docs.select(F.explode(F.split(ascii_lower(whole(F.col(text_column))), r"[^a-z]+")).alias("piece")).where(F.length("piece") >= 4)
-    return pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "piece").limit(words).select("piece")
+def dictionary(docs: DataFrame, found: DataFrame, text_column: str = "text", least_documents: int = 5) -> DataFrame:
+    """Pieces of the candidates' values that are words of four letters or more of at least ``least_documents`` texts."""
+    words = docs.select(F.explode(F.array_distinct(F.split(ascii_lower(whole(F.col(text_column))), r"[^a-z]+"))).alias("piece")).where(F.length("piece") >= 4)
+    common = words.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents)
+    return common.join(pieces(found).select("piece").distinct(), "piece", "left_semi").select("piece")
+
+
+def pieces(found: DataFrame) -> DataFrame:
+    """(value, piece): the letter runs of the values, once each."""
+    return found.select("value", F.explode(F.split(ascii_lower(F.col("value")), "[^a-z]+")).alias("piece")).where(F.length("piece") >= 4).distinct()
 
 
 def described(found: DataFrame, known: DataFrame) -> DataFrame:
-    """``found`` with the numeric features; ``known`` is a dictionary of bounded size."""
+    """``found`` with the numeric features; ``known`` is a written dictionary, broadcast while its counted rows are few."""
     v = F.col("value")
 
     def share(pattern: str):
@@ -100,8 +107,7 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
                           share("[A-Za-z](?=[0-9])").alias("letter_digit"), share("[0-9](?=[A-Za-z])").alias("digit_letter"), share("[a-z](?=[A-Z])").alias("lower_upper"),
                           share("[A-Z](?=[a-z])").alias("upper_lower"), share("[0-9](?=[0-9])").alias("digit_digit"), share("[A-Za-z](?=[A-Za-z])").alias("letter_letter"),
                           (F.size(F.array_distinct(F.split(v, ""))) / F.length(v)).alias("distinct"), v.rlike("^[0-9a-fA-F]+$").cast("double").alias("hexadecimal"))
-    pieces = found.select("value", F.explode(F.split(ascii_lower(v), "[^a-z]+")).alias("piece")).where(F.length("piece") >= 4).distinct()
-    covered = pieces.join(F.broadcast(known), "piece").groupBy("value").agg(F.sum(F.length("piece")).alias("letters"))
+    covered = pieces(found).join(bounded(known), "piece").groupBy("value").agg(F.sum(F.length("piece")).alias("letters"))
     met = shaped.join(covered, "value", "left")
     return met.withColumn("covered", F.least(F.coalesce(F.col("letters"), F.lit(0)) / F.col("length"), F.lit(1.0))).drop("letters")
 
@@ -118,7 +124,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: int = 20_
     With a column ``part`` it marks single values of a word, else all of them.
     """
     found = materialize(candidates(docs, id_column, text_column, path_column), "secret-candidates")
-    known = materialize(dictionary(docs, text_column), "secret-words")
+    known = materialize(dictionary(docs, found, text_column), "secret-words")
     rows = weak_label(described(found, known))
     if labelled is not None:
         part = F.col("part") if "part" in labelled.columns else F.lit(None).cast("int")

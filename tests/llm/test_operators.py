@@ -332,6 +332,16 @@ def test_secrets_anywhere_in_a_word(spark):
     assert got == {i: SECRETS[i][1] if i < len(SECRETS) else "" for i in range(100)}
 
 
+def test_dictionary_keeps_every_common_piece(spark):
+    import itertools
+
+    # 20,001 words that every text holds; a top 20,000 by count and name would lose the last.
+    names = ["".join(p) for p in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 20_000)] + ["zzzz"]
+    texts = spark.createDataFrame([(i, " ".join(names) + " rare" * (i == 0) * 9) for i in range(5)], "doc_id long, text string")
+    found = spark.createDataFrame([("zzzz-rare-0123456789",)], "value string")
+    assert [r.piece for r in secret_scan.dictionary(texts, found).collect()] == ["zzzz"]
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as P
 
