@@ -155,8 +155,8 @@ def _phrases(lexicon: Lexicon):
     return run
 
 
-def learn_lexicon(texts: DataFrame, least_documents: int = 3, least_weight: float = 2.0, least_z: float = 3.0, entries: int = 5000) -> Lexicon:
-    """Lexicon of at most ``entries`` terms from ``texts(text, toxic)``."""
+def learn_lexicon(texts: DataFrame, least_documents: int = 3, least_weight: float = 2.0, least_z: float = 3.0) -> Lexicon:
+    """Lexicon of every term of ``texts(text, toxic)`` that passes the bounds; the labelled sample limits its size."""
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -169,7 +169,7 @@ def learn_lexicon(texts: DataFrame, least_documents: int = 3, least_weight: floa
     weight = F.log((F.col("t") + 0.5) / (bad - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (good - F.col("c") + 0.5))
     z = F.col("weight") / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     best = (counted(_terms()).where(F.col("t") >= least_documents).withColumn("weight", weight).where((F.col("weight") >= least_weight) & (z >= least_z))
-            .orderBy(F.desc(z), "term").limit(entries).collect())
+            .collect())
     weights: dict[str, float] = {}
     for r in sorted(best, key=lambda r: (len(r["term"].rstrip()), r["term"])):
         # A beginning that says nearly as much covers its words.
@@ -178,7 +178,7 @@ def learn_lexicon(texts: DataFrame, least_documents: int = 3, least_weight: floa
             weights[r["term"]] = r["weight"]
     lexicon = Lexicon(weights)
     spared = counted(_phrases(lexicon)).where((F.col("c") >= least_documents) & (F.col("c") * bad > 10 * F.col("t") * good))
-    lexicon.exceptions = [r["term"] for r in spared.orderBy(F.desc("c"), "term").limit(entries).collect()]
+    lexicon.exceptions = [r["term"] for r in spared.orderBy(F.desc("c"), "term").collect()]
     return lexicon
 
 

@@ -342,6 +342,14 @@ def test_dictionary_keeps_every_common_piece(spark):
     assert [r.piece for r in secret_scan.dictionary(texts, found).collect()] == ["zzzz"]
 
 
+def test_lexicon_keeps_every_term(spark):
+    import itertools
+
+    names = ["".join(p) for p in itertools.islice(itertools.permutations("abcdefghjkmnopqrstuvwxyz", 4), 6000)]
+    texts = spark.createDataFrame([(" ".join(names), 1)] * 20 + [("clean words stand here", 0)] * 20, "text string, toxic int")
+    assert set(names) <= {k.strip() for k in toxicity.learn_lexicon(texts).weights}
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline as P
 
