@@ -134,9 +134,12 @@ def prune_features(df: DataFrame, features: Sequence[str], interactions: Sequenc
 
     if interactions:
         base = [c for c in kept if c in numeric and c not in set(interactions)]
-        enough = split is not None and split.count() >= 2 * max(options.get("min_rows", 500), 20)
+        n, least = split.count() if split is not None else 0, 2 * max(options.get("min_rows", 500), 20)
+        enough = split is not None and n >= least
         own = filter_interactions(df, interactions, base, limits.get("max_features", 12), limits.get("corr", 0.995),
                                   limits.get("psi", 0.6), split if enough else None)
+        if split is not None and not enough:
+            own = [{**d, "note": f"too few rows for PSI: {n}, minimum {least}"} for d in own]
         decisions += own
         gone = {d["feature"] for d in own if d["reason"] != "interaction_retained"}
         kept = [c for c in kept if c not in gone]
