@@ -113,4 +113,39 @@ reach(a, b) AS (SELECT rid, rid FROM d UNION SELECT a, y FROM reach JOIN e ON b
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (rid) JOIN (SELECT a AS rid, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.rid = b GROUP BY a) c USING (rid)"""
 
-ORACLES = {"op1_quality_rules": _quality(), "op2_url_filters": _URLS, "op4_decontamination": _DECONTAM, "op5_mix_sources": _MIX, "op7_jaccard_join": _JACCARD, "op10_line_dedup": _LINES}
+_UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+_FIM = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, {_words('text', _UNIT)} AS w, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT for i in range(4)] AS r FROM d),
+c AS (SELECT *, len(w) AS n, least(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS a, greatest(r[1] % (len(w) + 1), r[2] % (len(w) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
+_NEAREST = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= 20"""
+
+_AUDIT = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  {_words(f"translate(coalesce(text, ''), {_AZ})", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")} AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+l AS (SELECT lang, sum(n)::HUGEINT AS lang_n, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT s.lang, s.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN c USING (lang, source) GROUP BY ALL),
+e AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + l.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 1)) // (l.lang_n + l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM e a JOIN e b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM e WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 200"""
+
+ORACLES = {"op1_quality_rules": _quality(), "op2_url_filters": _URLS, "op4_decontamination": _DECONTAM, "op5_mix_sources": _MIX, "op7_jaccard_join": _JACCARD, "op10_line_dedup": _LINES, "op11_fill_in_middle": _FIM,
+           "op12_nearest_neighbours": _NEAREST, "op13_divergence_audit": _AUDIT}

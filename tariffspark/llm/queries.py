@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffspark.llm import curriculum, decontam, jaccard, lines, quality, secret_scan, sharding, toxicity, training_order, urls
+from tariffspark.llm import curriculum, decontam, divergence, fim, jaccard, lines, neighbours, quality, secret_scan, sharding, toxicity, training_order, urls
 from tariffspark.llm.oracles import ORACLES  # noqa: F401
 from tariffspark.llm.text import read, small_batches, whole
 
@@ -91,5 +91,21 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(whole(F.col("text")), 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    moved = fim.fill_in_middle(read(spark, folder, "documents"), keep=["doc_id"], with_output=False)
+    return moved.select("doc_id", "fim.*")
+
+
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return divergence.audit(read(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_training_order, op4_decontamination, op5_mix_sources, op6_toxicity, op7_jaccard_join, op8_secret_scan,
-                                    op9_hilbert_shards, op10_line_dedup)}
+                                    op9_hilbert_shards, op10_line_dedup, op11_fill_in_middle,
+                                    op12_nearest_neighbours, op13_divergence_audit)}
