@@ -77,7 +77,7 @@ class Candidate:
             **{f"severity_{k}": number(self.severity.get(k)) for k in ("rmse", "mae", "r2")},
             **{k: number(self.pricing.get(k)) for k in keep},
             "in_target": self.pricing.get("in_target"), "violations": number(self.pricing.get("violations")),
-            "calibration_status": self.metadata.get("calibration_status"), "seconds": float(self.seconds),
+            "calibration_status": getattr(self.metadata.get("calibration"), "status", None), "seconds": float(self.seconds),
         }
 
 
@@ -112,7 +112,7 @@ def run_candidate(name: str, train: DataFrame, valid: DataFrame, config: Benchma
             out.model = factory(kind, params).fit(train)
         if config.calibration.enabled and kind != BlendModel.kind:
             calibrator, report = fit_calibrator(train, kind, config.calibration, params)
-            out.metadata |= report
+            out.metadata["calibration"] = report
             if calibrator is not None:
                 out.model = CalibratedModel(out.model, calibrator)
         found = evaluate_predictions(out.model.predict(valid), price, config.limits)

@@ -8,12 +8,12 @@ from typing import Any
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tariffspark.functions.columns import clip
 from tariffspark.models.freqsev import RiskModel, build_candidate, label, load_risk_model
+from tariffspark.models.isotonic import IsotonicCurve
 from tariffspark.models.oof import out_of_fold
 from tariffspark.operators import metrics as M
 from tariffspark.operators.selection import blend_predictions
@@ -50,24 +50,23 @@ def apply_probability(df: DataFrame, probability: Column) -> DataFrame:
 
 
 class Calibrator:
-    """none, platt (logistic in the probability) or isotonic."""
+    """none, platt (logistic in the probability) or isotonic (``model`` holds the curve)."""
 
     def __init__(self, method: str = "none", eps: float = 1e-6, slope: float = 0.0, intercept: float = 0.0,
-                 model: IsotonicRegressionModel | None = None) -> None:
+                 model: IsotonicCurve | None = None) -> None:
         self.method, self.eps, self.slope, self.intercept, self.model = method, eps, slope, intercept, model
 
     @staticmethod
     def fit(df: DataFrame, method: str, eps: float = 1e-6) -> "Calibrator":
-        """``df`` holds p_claim and is_claim; equal probabilities are counted together before the isotonic fit."""
+        """``df`` holds p_claim and is_claim."""
         points = df.select(clip(F.col("p_claim"), eps, 1.0 - eps).alias("p"), label().cast("double").alias("y"))
         if method == "platt":
             data = VectorAssembler(inputCols=["p"], outputCol="features").transform(points)
-            fitted = LogisticRegression(labelCol="y", featuresCol="features", maxIter=2000, regParam=1.0 / max(points.count(), 1),
+            fitted = LogisticRegression(labelCol="y", featuresCol="features", maxIter=2000, tol=1e-10, regParam=1.0 / max(points.count(), 1),
                                         standardization=False).fit(data)
             return Calibrator("platt", eps, float(fitted.coefficients[0]), float(fitted.intercept))
         if method == "isotonic":
-            pooled = points.groupBy("p").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
-            return Calibrator("isotonic", eps, model=IsotonicRegression(labelCol="y", featuresCol="p", weightCol="w").fit(pooled))
+            return Calibrator("isotonic", eps, model=IsotonicCurve.fit(points, F.col("p"), F.col("y")))
         if method == "none":
             return Calibrator("none", eps)
         raise ValueError(f"unsupported calibration method: {method}")
@@ -77,8 +76,7 @@ class Calibrator:
         if self.method == "platt":
             return apply_probability(df, platt(F.col("p_claim"), self.slope, self.intercept, self.eps))
         if self.method == "isotonic":
-            scored = self.model.setFeaturesCol("_p").setPredictionCol("_c").transform(df.withColumn("_p", inside))
-            return apply_probability(scored, clip(F.col("_c"), self.eps, 1.0 - self.eps)).drop("_p", "_c")
+            return apply_probability(df, clip(self.model.at(inside), self.eps, 1.0 - self.eps))
         return apply_probability(df, inside)
 
 
@@ -101,7 +99,7 @@ class CalibratedModel(RiskModel):
         c = self.calibrator
         write_json(spark, f"{path}/meta", {"kind": self.kind, "method": c.method, "eps": c.eps, "slope": c.slope, "intercept": c.intercept})
         if c.model is not None:
-            c.model.write().overwrite().save(f"{path}/isotonic")
+            c.model.save(spark, f"{path}/isotonic")
 
 
 class BlendModel(RiskModel):
@@ -134,7 +132,7 @@ def load_model(spark: SparkSession, path: str) -> RiskModel:
     """Any saved model: a plain candidate, a calibrated one or a blend."""
     meta = read_json(spark, f"{path}/meta")
     if meta["kind"] == CalibratedModel.kind:
-        isotonic = IsotonicRegressionModel.load(f"{path}/isotonic") if meta["method"] == "isotonic" else None
+        isotonic = IsotonicCurve.load(spark, f"{path}/isotonic") if meta["method"] == "isotonic" else None
         return CalibratedModel(load_model(spark, f"{path}/base"), Calibrator(meta["method"], meta["eps"], meta["slope"], meta["intercept"], isotonic))
     if meta["kind"] == BlendModel.kind:
         return BlendModel({n: load_model(spark, f"{path}/{n}") for n in meta["models"]}, meta["weights"])
@@ -151,31 +149,46 @@ def oof_predictions(df: DataFrame, candidate: str, params: dict[str, Any] | None
     return out_of_fold(df, fit, folds, group, resume_path)
 
 
+@dataclass
+class CalibrationReport:
+    """What happened to a candidate's calibration, and its quality out of fold before and after."""
+
+    status: str
+    reason: str
+    brier_raw: float | None = None
+    brier_calibrated: float | None = None
+    auc_raw: float | None = None
+    auc_calibrated: float | None = None
+
+
+def obstacle(train: DataFrame, candidate: str, config: CalibrationConfig) -> str | None:
+    """Why this split allows no calibration: the first condition that holds, all evaluated in one aggregation."""
+    # Names of the reasons.
+    conditions = {
+        "not_enough_samples": F.count(F.lit(1)) < config.min_samples,
+        "blend_candidate_not_supported": F.lit(candidate == BlendModel.kind),
+        "single_class_target": F.count_distinct(label()) < 2,
+    }
+    return train.agg(F.coalesce(*[F.when(c, F.lit(name)) for name, c in conditions.items()])).first()[0]
+
+
 def fit_calibrator(train: DataFrame, candidate: str, config: CalibrationConfig, params: dict[str, Any] | None = None,
-                   oof: DataFrame | None = None) -> tuple[Calibrator | None, dict[str, Any]]:
-    """Calibrator on out-of-fold probabilities, with Brier and AUC before and after; None plus a reason when a guard stops it."""
-    report: dict[str, Any] = {"calibration_status": "disabled", "calibration_method": config.method, "calibration_reason": "disabled_in_config",
-                              "calibration_oof_rows": 0, "calibration_oof_brier_raw": None, "calibration_oof_brier_calibrated": None,
-                              "calibration_oof_auc_raw": None, "calibration_oof_auc_calibrated": None}
+                   oof: DataFrame | None = None) -> tuple[Calibrator | None, CalibrationReport]:
+    """Calibrator on out-of-fold probabilities with its report; None where a guard or a fit that the folds do not allow stops it."""
     if not config.enabled or config.method == "none":
-        return None, report
-    report["calibration_status"] = "skipped"
-    size = train.agg(F.count("*").alias("n"), F.min(label()).alias("lo"), F.max(label()).alias("hi")).first()
-    if size["n"] < config.min_samples:
-        return None, {**report, "calibration_reason": "not_enough_samples"}
-    if candidate == BlendModel.kind:
-        return None, {**report, "calibration_reason": "blend_candidate_not_supported"}
-    if size["lo"] == size["hi"]:
-        return None, {**report, "calibration_reason": "single_class_target"}
+        return None, CalibrationReport("disabled", "disabled_in_config")
+    reason = obstacle(train, candidate, config)
+    if reason is not None:
+        return None, CalibrationReport("skipped", reason)
     try:
-        scored = oof if oof is not None else oof_predictions(train, candidate, params, config.oof_folds, config.group_column)
-        scored = materialize(scored.select(CLAIM, *PREDICTION), "calibration")
+        if oof is None:
+            oof = oof_predictions(train, candidate, params, config.oof_folds, config.group_column)
+        scored = materialize(oof.select(CLAIM, *PREDICTION), "calibration")
         calibrator = Calibrator.fit(scored, config.method, config.clip_eps)
-        before = M.classification_metrics(scored).first()
-        after = M.classification_metrics(calibrator.transform(scored)).first()
-    except (ValueError, IllegalArgumentException) as exc:  # folds or labels that allow no fit; lost jobs and missing columns still raise
-        return None, {**report, "calibration_status": "failed", "calibration_reason": f"oof_error:{exc}"[:500]}
-    return calibrator, {**report, "calibration_status": "applied", "calibration_reason": "ok", "calibration_oof_rows": size["n"],
-                        "calibration_oof_brier_raw": before["brier"], "calibration_oof_brier_calibrated": after["brier"],
-                        "calibration_oof_auc_raw": before["auc"], "calibration_oof_auc_calibrated": after["auc"]}
-
+    except (ValueError, IllegalArgumentException) as exc:  # lost jobs and missing columns still raise
+        return None, CalibrationReport("failed", f"oof_error:{exc}"[:500])
+    quality = {}
+    for name, table in (("raw", scored), ("calibrated", calibrator.transform(scored))):
+        row = M.classification_metrics(table).first()
+        quality |= {f"brier_{name}": row["brier"], f"auc_{name}": row["auc"]}
+    return calibrator, CalibrationReport("applied", "ok", **quality)

@@ -121,26 +121,50 @@ def _oof(s, d):
 register("oof_predictions", _oof)
 
 
-def _calibrated(method):
-    def query(s, d):
-        scored = S.scored_policies(s, d)
-        table = materialize(scored.select("contract_number", "is_claim", *PREDICTION), "scored")
-        return C.Calibrator.fit(table, method).transform(table)
-    return query
+def _scored(s, d):
+    """Predictions with rounded probabilities: both engines then see the same ties."""
+    return materialize(rounded(S.scored_policies(s, d).select("contract_number", "is_claim", *PREDICTION), 6, "p_claim"), "scored")
+
+
+def _calibrate_isotonic(s, d):
+    table = _scored(s, d)
+    out = C.Calibrator.fit(table, "isotonic").transform(table)
+    return rounded(out.select("contract_number", "is_claim", *PREDICTION), 9, "p_claim", expected_severity=2, expected_loss=2)
+
+
+# A score ends a block where every slope from the left is smaller than every slope to the right.
+_CURVE = [f"pts AS (SELECT contract_number, is_claim, expected_severity, least(greatest({sfx('p_claim', 6)}, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE) AS p FROM scored)",
+          """steps AS (SELECT 0::BIGINT AS i, -1.0::DOUBLE AS p, 0::BIGINT AS cw, 0::BIGINT AS cs UNION ALL
+SELECT row_number() OVER (ORDER BY p), p, sum(w) OVER (ORDER BY p)::BIGINT, sum(e) OVER (ORDER BY p)::BIGINT FROM (SELECT p, count(*) AS w, sum(is_claim) AS e FROM pts GROUP BY p))""",
+          "lft AS (SELECT b.i, max((b.cs - a.cs)::DOUBLE / (b.cw - a.cw)) AS m FROM steps b JOIN steps a ON a.i < b.i GROUP BY b.i)",
+          "rgt AS (SELECT a.i, min((b.cs - a.cs)::DOUBLE / (b.cw - a.cw)) AS m FROM steps a JOIN steps b ON a.i < b.i GROUP BY a.i)",
+          """corners AS (SELECT p, (cs - lag(cs) OVER (ORDER BY i))::DOUBLE / (cw - lag(cw) OVER (ORDER BY i)) AS v FROM (
+SELECT i, p, cw, cs FROM steps LEFT JOIN lft USING (i) LEFT JOIN rgt USING (i) WHERE lft.m IS NULL OR rgt.m IS NULL OR lft.m < rgt.m))""",
+          "fitted AS (SELECT pts.*, least(greatest(v, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE) AS c FROM pts ASOF JOIN corners ON pts.p <= corners.p)"]
+register("calibrate_isotonic", _calibrate_isotonic, oracle("scored", f"""
+SELECT contract_number, is_claim, {sfx('c', 9)} AS p_claim, {sfx('expected_severity', 2)} AS expected_severity, {sfx('expected_severity * c', 2)} AS expected_loss FROM fitted""", *_CURVE))
+
+
+def _calibrate_platt(s, d):
+    """The score equations at the fitted slope and intercept, penalty included: both are zero at the optimum and nowhere else."""
+    table = _scored(s, d)
+    fitted = C.Calibrator.fit(table, "platt")
+    out = table.select(F.col("is_claim").cast("double").alias("y"), F.col("p_claim").alias("x"), C.platt(F.col("p_claim"), fitted.slope, fitted.intercept).alias("c"))
+    error = F.col("c") - F.col("y")
+    row = out.agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("intercept"),
+                  (F.avg(error * F.col("x")) + F.lit(fitted.slope) / F.count(F.lit(1))).alias("slope"))
+    return row.select("n", *[F.round(F.abs(c), 5).alias(f"{c}_equation") for c in ("intercept", "slope")])
 
 
-register("calibrate_platt", _calibrated("platt"))
-register("calibrate_isotonic", _calibrated("isotonic"))
+register("calibrate_platt", _calibrate_platt, oracle("scored", "SELECT count(*) AS n, 0.0::DOUBLE AS intercept_equation, 0.0::DOUBLE AS slope_equation FROM scored"))
 
 
 def _calibration_report(s, d):
-    scored = materialize(S.scored_policies(s, d).select("contract_number", "is_claim", *PREDICTION), "scored")
+    scored = _scored(s, d)
     rows = []
     for method in ("none", "platt", "isotonic"):
-        config = C.CalibrationConfig(enabled=True, method=method)
-        report = C.fit_calibrator(scored, "baseline_freq_sev", config, oof=scored)[1]
-        rows.append((method, report["calibration_status"], report["calibration_reason"], report["calibration_oof_brier_raw"],
-                     report["calibration_oof_brier_calibrated"], report["calibration_oof_auc_raw"], report["calibration_oof_auc_calibrated"]))
+        report = C.fit_calibrator(scored, "baseline_freq_sev", C.CalibrationConfig(enabled=True, method=method), oof=scored)[1]
+        rows.append((method, report.status, report.reason, report.brier_raw, report.brier_calibrated, report.auc_raw, report.auc_calibrated))
     return s.createDataFrame(rows, "method string, status string, reason string, brier_raw double, brier_calibrated double, auc_raw double, auc_calibrated double")
 
 

@@ -8,6 +8,7 @@ from tariffspark.models import bench as B
 from tariffspark.models import calibrate as C
 from tariffspark.models import experiment as X
 from tariffspark.models import freqsev as M
+from tariffspark.models.isotonic import IsotonicCurve
 from tariffspark.models.matrix import align, fit_matrix, infer_schema
 from tariffspark.operators import metrics
 from tariffspark.operators import score as K
@@ -85,14 +86,40 @@ def test_calibration_lowers_brier_and_guards(spark, halves):
     train, _ = halves
     for method in ("platt", "isotonic"):
         calibrator, report = C.fit_calibrator(train, "baseline_freq_sev", C.CalibrationConfig(True, method, 3, min_samples=50))
-        assert report["calibration_status"] == "applied" and calibrator is not None
-        assert report["calibration_oof_brier_calibrated"] <= report["calibration_oof_brier_raw"] + 0.02
+        assert report.status == "applied" and calibrator is not None
+        assert report.brier_calibrated <= report.brier_raw + 0.02
     config = C.CalibrationConfig(True, "sigmoid", min_samples=50)
     assert config.method == "platt"
-    assert C.fit_calibrator(train, "x", C.CalibrationConfig())[1]["calibration_reason"] == "disabled_in_config"
-    assert C.fit_calibrator(train.limit(10), "x", config)[1]["calibration_reason"] == "not_enough_samples"
-    assert C.fit_calibrator(train.where("is_claim = 0"), "x", config)[1]["calibration_reason"] == "single_class_target"
-    assert C.fit_calibrator(train, "oof_blend_freq_sev", config)[1]["calibration_reason"] == "blend_candidate_not_supported"
+    assert C.fit_calibrator(train, "x", C.CalibrationConfig())[1].reason == "disabled_in_config"
+    assert C.fit_calibrator(train.limit(10), "x", config)[1].reason == "not_enough_samples"
+    assert C.fit_calibrator(train.where("is_claim = 0"), "x", config)[1].reason == "single_class_target"
+    assert C.fit_calibrator(train, "oof_blend_freq_sev", config)[1].reason == "blend_candidate_not_supported"
+
+
+def test_isotonic_curve_is_the_max_min_formula(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    scores = np.round(rng.random(400), 2)
+    events = (rng.random(400) < scores ** 2).astype(int)
+    rows = [(float(p), int(y)) for p, y in zip(scores, events)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "p double, y int")
+    levels = np.unique(scores)
+    w, s = (np.array([f(scores == v) for v in levels]) for f in (np.sum, lambda m: events[m].sum()))
+    mean = lambda a, b: s[a:b + 1].sum() / w[a:b + 1].sum()
+    want = [max(min(mean(a, b) for b in range(i, len(levels))) for a in range(i + 1)) for i in range(len(levels))]
+    try:
+        for parts in ("1", "4", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            curve = IsotonicCurve.fit(df, F.col("p"), F.col("y"))
+            assert np.interp(levels, curve.scores, curve.values) == pytest.approx(want, abs=1e-12)
+            assert curve.scores == sorted(set(curve.scores)) and curve.values == sorted(curve.values)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    curve.save(spark, str(tmp_path / "curve"))
+    again = IsotonicCurve.load(spark, str(tmp_path / "curve"))
+    got = df.select("p", again.at(F.col("p")).alias("v")).collect()
+    assert again == curve and all((r["v"] is None) == (r["p"] is None) for r in got)
+    with pytest.raises(ValueError):
+        IsotonicCurve.fit(df.limit(0), F.col("p"), F.col("y"))
 
 
 PRICE = B.PriceConfig(alphas=[0.0, 0.3, 0.6], betas=[0.5, 1.0, 1.5, 2.0])
