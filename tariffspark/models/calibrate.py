@@ -144,9 +144,10 @@ def oof_predictions(df: DataFrame, candidate: str, params: dict[str, Any] | None
     """Rows of ``df`` (key, target) with the out-of-fold predictions of a candidate."""
     def fit(train: DataFrame):
         model = build_candidate(candidate, params).fit(train)
-        return lambda rows: model.predict(rows).select(group, CLAIM, *PREDICTION)
+        key = [group] if group in df.columns else []
+        return lambda rows: model.predict(rows).select(*key, CLAIM, *PREDICTION)
 
-    return out_of_fold(df, fit, folds, group, resume_path)
+    return out_of_fold(df, fit, folds, group, resume_path, {"candidate": candidate, "params": params or {}})
 
 
 @dataclass

@@ -7,19 +7,19 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression, GeneralizedLinearRegressionModel, LinearRegression, LinearRegressionModel,
-)
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel, LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tariffspark.functions.columns import clip, nonneg
+from tariffspark.models import boosting as G
 from tariffspark.models.matrix import FeatureSchema, align, fit_matrix, infer_schema
-from tariffspark.models.oof import out_of_fold
+from tariffspark.models.oof import FOLD_KEY, with_fold_key
 from tariffspark.operators import woe as W
+from tariffspark.operators.split import group_folds
 from tariffspark.roles import AMOUNT, CLAIM, CONTRACT, PREDICTION
 from tariffspark.session import materialize
 from tariffspark.sources.tables import read_json, write_json
@@ -74,7 +74,7 @@ class Fitted:
 
 _LOADERS = {
     "matrix": PipelineModel, "severity_matrix": PipelineModel, "logistic": LogisticRegressionModel, "ridge": LinearRegressionModel,
-    "gbt_class": GBTClassificationModel, "gbt_value": GBTRegressionModel, "tweedie": GeneralizedLinearRegressionModel,
+    "tweedie": GeneralizedLinearRegressionModel,
 }
 
 
@@ -113,7 +113,10 @@ class RiskModel:
         write_json(spark, f"{path}/meta", {"kind": self.kind, "params": self.params, "schema": asdict(f.schema), "constant": f.constant,
                                            "stages": sorted(f.stages), "extra": self._extra()})
         for name, stage in f.stages.items():
-            stage.write().overwrite().save(f"{path}/{name}")
+            if isinstance(stage, G.BoostedModel):
+                stage.save(spark, f"{path}/{name}")
+            else:
+                stage.write().overwrite().save(f"{path}/{name}")
         if self.bins is not None:
             self.bins.write.mode("overwrite").parquet(f"{path}/bins")
 
@@ -148,15 +151,13 @@ class FrequencySeverity(RiskModel):
 
     def _probability(self, df: DataFrame, f: Fitted) -> DataFrame:
         """``df`` with features and p (a model over the aligned columns)."""
-        name = "logistic" if "logistic" in f.stages else "gbt_class"
-        scored = f.stages[name].transform(f.stages["matrix"].transform(df))
+        scored = f.stages["logistic"].transform(f.stages["matrix"].transform(df))
         return scored.withColumn("_p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
     def _log_severity(self, scored: DataFrame, f: Fitted) -> DataFrame:
-        name = next((n for n in ("ridge", "gbt_value") if n in f.stages), None)
-        if name is None:
+        if "ridge" not in f.stages:
             return scored.withColumn("_s", F.log1p(F.lit(float(f.constant))))
-        return f.stages[name].transform(scored).withColumnRenamed("prediction", "_s")
+        return f.stages["ridge"].transform(scored).withColumnRenamed("prediction", "_s")
 
     def fit(self, df: DataFrame) -> "FrequencySeverity":
         schema = infer_schema(df)
@@ -181,24 +182,99 @@ class FrequencySeverity(RiskModel):
         return expected_loss(scored, F.col("_p"), F.col("_s"))
 
 
-class BoostedFrequencySeverity(FrequencySeverity):
-    """Gradient-boosted trees for both parts."""
+# Names that configurations of boosted-tree libraries use for the same settings.
+SETTING_NAMES = {"n_estimators": "iterations", "max_depth": "depth", "l2_leaf_reg": "leaf_penalty", "reg_lambda": "leaf_penalty", "colsample_bytree": "column_share",
+                 "rsm": "column_share", "min_child_weight": "least_child_weight", "gamma": "split_penalty", "border_count": "bins", "max_bin": "bins",
+                 "severity_loss_function": "severity_loss", "tweedie_variance_power": "power", "random_state": "seed"}
+LOSS_NAMES = {"rmse": "squared", "squared": "squared", "tweedie": "tweedie"}
+
+
+def boost_settings(given: dict[str, Any]) -> dict[str, Any]:
+    """Settings under this library's names; ``reg_`` in front names the same setting of the severity part."""
+    out = {}
+    for name, value in given.items():
+        if name in SETTING_NAMES:
+            out[SETTING_NAMES[name]] = value
+        elif name.startswith("reg_") and name[4:] in SETTING_NAMES:
+            out[f"reg_{SETTING_NAMES[name[4:]]}"] = value
+        else:
+            out[name] = value
+    return out
+
+
+class BoostedFrequencySeverity(RiskModel):
+    """Histogram-boosted trees for both parts: probability of a claim, and log amount (or, with the Tweedie loss, the amount) of claims."""
 
     kind = "gbt_freq_sev"
 
+    def __init__(self, **params: Any) -> None:
+        super().__init__(**boost_settings(params))
+
     @classmethod
     def defaults(cls):
-        return {"iterations": 40, "depth": 4, "learning_rate": 0.1, "subsample": 0.8, "reg_iterations": None, "seed": 42}
+        return {"iterations": 40, "depth": 4, "learning_rate": 0.1, "subsample": 0.8, "column_share": 1.0, "leaf_penalty": 1.0, "split_penalty": 0.0,
+                "least_child_weight": 1.0, "bins": 64, "severity_loss": "squared", "power": 1.5, "reg_iterations": None, "seed": 42}
+
+    def settings(self, severity: bool = False) -> G.BoostParams:
+        def p(name):
+            own = self.params.get(f"reg_{name}") if severity else None
+            return self.params[name] if own is None else own
+
+        loss = LOSS_NAMES.get(str(self.params["severity_loss"]).strip().lower(), "squared") if severity else "logistic"
+        # The depth of a tree of unlimited depth is bounded by its heap.
+        depth = int(p("depth")) if int(p("depth")) > 0 else 10
+        return G.BoostParams(loss, int(p("iterations")), min(depth, 12), float(p("learning_rate")), float(p("subsample")), float(p("column_share")), float(p("leaf_penalty")),
+                             float(p("split_penalty")), float(p("least_child_weight")), min(max(float(p("power")), 1.01), 1.99), int(p("seed")))
+
+    def binning(self, df: DataFrame, schema: FeatureSchema, bins: int | None = None) -> G.Binning:
+        return G.fit_binning(align(df, schema), schema.numeric, schema.categorical, label(), int(bins or self.params["bins"]))
+
+    def severity_task(self, constant) -> G.Task:
+        params = self.settings(True)
+        return G.Task(params, "unit" if params.loss == "tweedie" else "log", claims_only=True)
+
+    def take(self, schema: FeatureSchema, binning: G.Binning, frequency: G.Task, severity: G.Task | None, constant: float, trees: tuple[int | None, int | None] = (None, None)):
+        """Become the model of two grown tasks, or of their first ``trees``."""
+        stages = {"gbt_class": G.BoostedModel.of(frequency, binning, trees[0])}
+        if severity is not None:
+            stages["gbt_value"] = G.BoostedModel.of(severity, binning, trees[1])
+        self.fitted = Fitted(self.params, schema, constant, stages)
+        return self
 
-    def _fit_frequency(self, vectors):
-        p = self.params
-        return "gbt_class", GBTClassifier(labelCol="y", featuresCol="features", maxIter=int(p["iterations"]), maxDepth=int(p["depth"]),
-                                          stepSize=float(p["learning_rate"]), subsamplingRate=float(p["subsample"]), seed=int(p["seed"])).fit(vectors)
+    def fit(self, df: DataFrame) -> "BoostedFrequencySeverity":
+        schema = infer_schema(df)
+        constant = severity_constant(df).first()
+        binning = self.binning(df, schema)
+        blocks = boost_blocks(df, schema, binning, constant["severity_constant"])
+        try:
+            frequency = G.Task(self.settings(), "claim")
+            severity = self.severity_task(constant) if constant["claims"] >= MIN_CLAIMS else None
+            G.grow(blocks, [t for t in (frequency, severity) if t is not None])
+        finally:
+            blocks.unpersist()
+        return self.take(schema, binning, frequency, severity, constant["severity_constant"])
+
+    def _severity(self, model: G.BoostedModel, unit: float) -> Column:
+        if model.params.loss != "tweedie":
+            return model.margin()
+        return F.log1p(F.exp(clip(model.margin(), -20.0, 20.0)) * F.lit(unit if unit > 0 else 1.0))
+
+    def _score(self, df: DataFrame, f: Fitted) -> DataFrame:
+        scored = align(df, f.schema).withColumn("_p", logistic(f.stages["gbt_class"].margin()))
+        value = f.stages.get("gbt_value")
+        return expected_loss(scored, F.col("_p"), F.log1p(F.lit(float(f.constant))) if value is None else self._severity(value, f.constant))
+
+
+def logistic(margin: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
-    def _fit_severity(self, claims, n):
-        p = self.params
-        return "gbt_value", GBTRegressor(labelCol="target", featuresCol="features", maxIter=int(p["reg_iterations"] or p["iterations"]), maxDepth=int(p["depth"]),
-                                         stepSize=float(p["learning_rate"]), subsamplingRate=float(p["subsample"]), seed=int(p["seed"])).fit(claims)
+
+def boost_blocks(df: DataFrame, schema: FeatureSchema, binning: G.Binning, unit: float, fold: Column | None = None) -> G.Blocks:
+    """Targets of both parts over the binned rows; amounts in units of their mean keep a log link near zero."""
+    amount = nonneg(F.col(AMOUNT))
+    key = CONTRACT if CONTRACT in df.columns else binning.columns[0]
+    targets = {"claim": label(), "log": F.log1p(amount), "unit": amount / F.lit(unit if unit > 0 else 1.0)}
+    return G.pack_blocks(align(df, schema), binning, targets, label(), F.col(key), fold)
 
 
 class DependentFrequencySeverity(BoostedFrequencySeverity):
@@ -212,41 +288,36 @@ class DependentFrequencySeverity(BoostedFrequencySeverity):
 
     def fit(self, df: DataFrame) -> "DependentFrequencySeverity":
         p, schema = self.params, infer_schema(df)
-        base = align(df, schema)
-        matrix = fit_matrix(base, schema)
-        vectors = self._vectors(base, matrix).persist(StorageLevel.MEMORY_AND_DISK)
-        name, frequency = self._fit_frequency(vectors)
-        vectors.unpersist()
-        self.fitted = Fitted(p, schema, stages={"matrix": matrix, name: frequency})
-
-        def part(train: DataFrame):
-            """Probability model of one fold; a fold without both classes uses the full model."""
-            if train.select(label().alias("y")).distinct().count() < 2:
-                return lambda rows: self._probability(rows, self.fitted).select(p["group"], F.col("_p").alias(SIGNAL))
-            _, model = self._fit_frequency(self._vectors(train, matrix))
-            own = Fitted(p, schema, stages={"matrix": matrix, "gbt_class": model})
-            return lambda rows: self._probability(rows, own).select(p["group"], F.col("_p").alias(SIGNAL))
-
-        signal = out_of_fold(materialize(base, "dep"), part, int(p["oof_folds"]), p["group"])
-        one = signal.groupBy(F.col(p["group"]).alias("_group")).agg(F.avg(SIGNAL).alias(SIGNAL))  # a row per group, whatever its grain
-        claims = base.where(label() > 0).join(one, F.col(p["group"]).eqNullSafe(F.col("_group"))).drop("_group")
         constant = severity_constant(df).first()
-        self.fitted.constant = constant["severity_constant"]
+        binning = self.binning(df, schema)
+        folded = materialize(group_folds(with_fold_key(df), int(p["oof_folds"]), p["group"], FOLD_KEY, "_fold").drop(FOLD_KEY), "dep")
+        blocks = boost_blocks(folded, schema, binning, constant["severity_constant"], F.col("_fold"))
+        try:
+            # The model of all rows and those that leave a fold out grow together.
+            frequency = G.Task(self.settings(), "claim")
+            held_out = [G.Task(self.settings(), "claim", hold_out=i) for i in range(int(p["oof_folds"]))]
+            G.grow(blocks, [frequency, *held_out])
+        finally:
+            blocks.unpersist()
+        self.take(schema, binning, frequency, None, constant["severity_constant"])
         if constant["claims"] >= MIN_CLAIMS:
+            signal = F.coalesce(*[F.when(F.col("_fold") == i, logistic(G.BoostedModel.of(t, binning).margin())) for i, t in enumerate(held_out)])
+            claims = materialize(align(folded.where(label() > 0), schema).withColumn(SIGNAL, signal).drop("_fold"), "claims")
             wide = FeatureSchema([*schema.numeric, SIGNAL], schema.categorical)
-            claims = materialize(claims, "claims")
-            second = fit_matrix(claims, wide)
-            vectors = self._vectors(claims, second).withColumn("target", F.log1p("amount"))
-            sname, severity = self._fit_severity(vectors, constant["claims"])
-            self.fitted.stages |= {"severity_matrix": second, sname: severity}
+            second = self.binning(claims, wide)
+            blocks = boost_blocks(claims, wide, second, constant["severity_constant"])
+            try:
+                severity = self.severity_task(constant)
+                G.grow(blocks, [severity])
+            finally:
+                blocks.unpersist()
+            self.fitted.stages["gbt_value"] = G.BoostedModel.of(severity, second)
         return self
 
-    def _log_severity(self, scored: DataFrame, f: Fitted) -> DataFrame:
-        if "severity_matrix" not in f.stages:
-            return scored.withColumn("_s", F.log1p(F.lit(float(f.constant))))
-        inner = [c for c in scored.columns if (c.startswith("_") and c not in ("_p", "_row")) or c.endswith(("__filled", "__index", "__hot")) or c == "features"]
-        clean = scored.drop(*inner).withColumn(SIGNAL, F.col("_p"))
-        return f.stages["gbt_value"].transform(f.stages["severity_matrix"].transform(clean)).withColumnRenamed("prediction", "_s")
+    def _score(self, df: DataFrame, f: Fitted) -> DataFrame:
+        scored = align(df, f.schema).withColumn("_p", logistic(f.stages["gbt_class"].margin())).withColumn(SIGNAL, F.col("_p"))
+        value = f.stages.get("gbt_value")
+        return expected_loss(scored, F.col("_p"), F.log1p(F.lit(float(f.constant))) if value is None else self._severity(value, f.constant))
 
 
 class WoeFrequencySeverity(RiskModel):
@@ -358,14 +429,14 @@ def build_candidate(name: str, params: dict[str, Any] | None = None) -> RiskMode
     return CANDIDATES[name](**(params or {}))
 
 
-def load_stages(path: str, names: list[str]) -> dict[str, Any]:
-    return {n: _LOADERS[n].load(f"{path}/{n}") for n in names}
+def load_stages(spark: SparkSession, path: str, names: list[str]) -> dict[str, Any]:
+    return {n: _LOADERS[n].load(f"{path}/{n}") if n in _LOADERS else G.BoostedModel.load(spark, f"{path}/{n}") for n in names}
 
 
 def load_risk_model(spark: SparkSession, path: str) -> RiskModel:
     meta = read_json(spark, f"{path}/meta")
     model = build_candidate(meta["kind"], meta["params"])
-    model.fitted = Fitted(meta["params"], FeatureSchema(**meta["schema"]), meta["constant"], load_stages(path, meta["stages"]))
+    model.fitted = Fitted(meta["params"], FeatureSchema(**meta["schema"]), meta["constant"], load_stages(spark, path, meta["stages"]))
     model._restore(meta["extra"])
     if meta["kind"] == WoeFrequencySeverity.kind:
         model.bins = spark.read.parquet(f"{path}/bins")

@@ -9,6 +9,7 @@ from tariffspark.models import calibrate as C
 from tariffspark.models import experiment as X
 from tariffspark.models import freqsev as M
 from tariffspark.models.isotonic import IsotonicCurve
+from tariffspark.models.oof import out_of_fold
 from tariffspark.models.matrix import align, fit_matrix, infer_schema
 from tariffspark.operators import metrics
 from tariffspark.operators import score as K
@@ -42,6 +43,7 @@ def halves(planted):
 
 
 @pytest.mark.parametrize("kind,params", [("baseline_freq_sev", {}), ("gbt_freq_sev", TREES), ("gbt_dep_freq_sev", {**TREES, "oof_folds": 2}),
+                                         ("gbt_freq_sev", {"n_estimators": 6, "max_depth": 3, "reg_lambda": 2.0, "colsample_bytree": 0.8, "severity_loss_function": "TWEEDIE"}),
                                          ("woe_freq_sev", {}), ("tweedie_aggregate", {})])
 def test_models_find_the_signal_and_survive_saving(spark, halves, tmp_path, kind, params):
     train, valid = halves
@@ -75,11 +77,31 @@ def test_wide_categories_are_hashed(planted):
 def test_out_of_fold_rows_are_complete_and_resume(halves, tmp_path):
     train, _ = halves
     path = str(tmp_path / "folds")
-    first = C.oof_predictions(train, "baseline_freq_sev", {"max_iter": 20}, 3, resume_path=path)
-    assert first.count() == train.count() and first.where("p_claim is null").count() == 0
-    # A second run finds the folds on disk and fits nothing, so an unknown candidate does no harm.
-    again = C.oof_predictions(train, "no_such_model", {}, 3, resume_path=path)
-    assert again.count() == first.count()
+    fits = []
+    fit = lambda settings, df=train: out_of_fold(df, lambda part: fits.append(1) or (lambda rows: rows.select("contract_number", "is_claim")), 3,
+                                                 resume_path=path, settings=settings)
+    assert sorted(r[0] for r in fit({"a": 1}).select("contract_number").collect()) == sorted(r[0] for r in train.select("contract_number").collect())
+    assert len(fits) == 3
+    fit({"a": 1})
+    assert len(fits) == 3  # the same input, rule and settings: nothing is fitted again
+    (tmp_path / "folds" / "fold=1" / "manifest" / "_SUCCESS").unlink()
+    for part in (tmp_path / "folds" / "fold=1" / "manifest").glob("part-*"):
+        part.unlink()
+    fit({"a": 1})
+    assert len(fits) == 4  # one fold was cut off
+    fit({"a": 2})
+    assert len(fits) == 7
+    fit({"a": 2}, train.limit(100))
+    assert len(fits) == 10
+    whole = C.oof_predictions(train, "baseline_freq_sev", {"max_iter": 20}, 3)
+    assert whole.count() == train.count() and whole.where("p_claim is null").count() == 0
+
+
+def test_folds_go_by_row_without_a_group(halves):
+    train, _ = halves
+    alone = train.drop("contract_number")
+    assert C.oof_predictions(alone, "baseline_freq_sev", {"max_iter": 20}, 3).count() == train.count()
+    assert C.oof_predictions(train.withColumn("contract_number", F.lit("one")), "baseline_freq_sev", {"max_iter": 20}, 3).count() == train.count()
 
 
 def test_calibration_lowers_brier_and_guards(spark, halves):
