@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tariffspark.models import boosting as G
 from tariffspark.models.calibrate import BlendModel, CalibratedModel, CalibrationConfig, fit_calibrator, oof_predictions
-from tariffspark.models.freqsev import RiskModel, build_candidate
+from tariffspark.models.freqsev import MIN_CLAIMS, BoostedFrequencySeverity, RiskModel, boost_blocks, build_candidate, severity_constant
+from tariffspark.models.matrix import infer_schema
 from tariffspark.operators import metrics as M
 from tariffspark.operators import price_search as Z
 from tariffspark.operators import pricing as R
@@ -193,20 +197,90 @@ def ablation(train: DataFrame, valid: DataFrame, families: Mapping[str, Sequence
                                               "policy_score double, lr_total double, auc double, gini double, delta_vs_full_policy_score double")
 
 
+def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], Any]], at_once: int = 4) -> list[Any]:
+    """Results of ``jobs``, some of them at a time, each in a scheduler pool of its own: with the fair scheduler they share the cluster evenly."""
+    def pooled(place: int, job: Callable[[], Any]):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{place}")
+        try:
+            return job()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(jobs)))) as pool:
+        return list(pool.map(lambda x: pooled(*x), enumerate(jobs)))
+
+
 def sweep(train: DataFrame, valid: DataFrame, candidate: str, trials: Sequence[dict[str, Any]], config: BenchmarkConfig, price: PriceConfig,
-          baseline: str = "baseline_freq_sev") -> tuple[DataFrame, float | None]:
-    """All parameter sets of a candidate as rows (trial, params, KPIs), and the baseline's score.  The splits are written once."""
+          baseline: str = "baseline_freq_sev", rungs: Sequence[float] = (0.25, 0.5, 1.0)) -> tuple[DataFrame, float | None]:
+    """All parameter sets of a candidate as rows (trial, params, KPIs), and the baseline's score. The splits are written once.
+
+    Boosted trees run by successive halving: all trials grow together on one binned matrix, and after each share of their
+    trees in ``rungs`` the better half by objective goes on (the earlier trial on ties). Stopped trials keep the KPIs of
+    their last rung and the status ``stopped``; ``rungs=(1.0,)`` runs all of them in full.
+    """
+    spark = train.sparkSession
     train, valid = materialize(train, "train"), materialize(valid, "valid")
     reference = run_candidate(baseline, train, valid, config, price).pricing.get("policy_score")
-    done = []
-    for params in trials:
-        use = BenchmarkConfig(**{**config.__dict__, "params": {**config.params, candidate: params}})
-        done.append(run_candidate(candidate, train, valid, use, price))
-    texts = train.sparkSession.createDataFrame([(i, json.dumps(p, sort_keys=True)) for i, p in enumerate(trials)], "ordinal int, params string")
+    merged = [{**(config.params.get(candidate) or {}), **t} for t in trials]
+    if ALIASES.get(candidate, candidate) == BoostedFrequencySeverity.kind:
+        done = halving(train, valid, merged, config, price, rungs)
+    else:
+        settings = [BenchmarkConfig(**{**config.__dict__, "params": {**config.params, candidate: p}}) for p in merged]
+        done = side_by_side(spark, [lambda use=use: run_candidate(candidate, train, valid, use, price) for use in settings])
+    texts = spark.createDataFrame([(i, json.dumps(p, sort_keys=True)) for i, p in enumerate(trials)], "ordinal int, params string")
     table = benchmark_table(train, done).join(texts, "ordinal").withColumnRenamed("ordinal", "trial")
     return C.single_objective(table), reference
 
 
+def halving(train: DataFrame, valid: DataFrame, trials: Sequence[dict[str, Any]], config: BenchmarkConfig, price: PriceConfig,
+            rungs: Sequence[float]) -> list[Candidate]:
+    """Every trial's candidate: trained in full if it survived, else as far as it came."""
+    start, spark = time.monotonic(), train.sparkSession
+    models = [BoostedFrequencySeverity(**t) for t in trials]
+    out = [Candidate(BoostedFrequencySeverity.kind, metadata={"params": t}) for t in trials]
+    schema, constant = infer_schema(train), severity_constant(train).first()
+    matrices, tasks = {}, []
+    for m in models:
+        bins = int(m.params["bins"])
+        if bins not in matrices:
+            binning = m.binning(train, schema, bins)
+            matrices[bins] = (binning, boost_blocks(train, schema, binning, constant["severity_constant"]))
+        tasks.append((G.Task(m.settings(), "claim"), m.severity_task(constant) if constant["claims"] >= MIN_CLAIMS else None))
+
+    def evaluated(i: int) -> None:
+        frequency, severity = tasks[i]
+        model = models[i].take(schema, matrices[int(models[i].params["bins"])][0], frequency, severity, constant["severity_constant"])
+        one = out[i]
+        try:
+            found = evaluate_predictions(model.predict(valid), price, config.limits)
+            one.model, one.policy, one.ml, one.severity, one.pricing = model, found["policy"], found["ml"], found["severity"], found["pricing"]
+            one.passes, one.reasons, one.predictions = found["passes"], found["reasons"], found["predictions"]
+        except Exception as exc:  # noqa: BLE001 - one trial must not stop the others
+            one.status, one.error = "failed", f"{type(exc).__name__}: {exc}"[:500]
+        one.seconds = time.monotonic() - start
+
+    alive = list(range(len(trials)))
+    try:
+        for rung in rungs:
+            for bins, (_, blocks) in matrices.items():
+                mine = [t for i in alive if int(models[i].params["bins"]) == bins for t in tasks[i] if t is not None]
+                if mine:
+                    G.grow(blocks, mine, [math.ceil(t.params.trees * rung) for t in mine])
+            side_by_side(spark, [lambda i=i: evaluated(i) for i in alive])
+            if rung != rungs[-1]:
+                order = C.single_objective(benchmark_table(train, out)).orderBy(F.desc_nulls_last("objective"), "ordinal").select("ordinal", "status").collect()
+                ranked = [r["ordinal"] for r in order if r["ordinal"] in alive and r["status"] == "ok"]
+                stay = ranked[:math.ceil(len(ranked) / 2)]
+                for i in alive:
+                    if i not in stay and out[i].status == "ok":
+                        out[i].status = "stopped"
+                alive = stay
+    finally:
+        for _, blocks in matrices.values():
+            blocks.unpersist()
+    return out
+
+
 def refit_and_price(full: DataFrame, test: DataFrame, candidate: str, params: dict[str, Any] | None, policy: R.PricingPolicy) -> DataFrame:
     """Fit on all policies, then price the test policies with the tariff found on the holdout."""
     model = build_candidate(ALIASES.get(candidate, candidate), params).fit(full)

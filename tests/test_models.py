@@ -229,3 +229,18 @@ def test_model_queries_run_the_defaults():
     assert not oof.call_args.args[2:] and not oof.call_args.kwargs
     assert ablation.call_args.args[2] == state.families()
     assert not P.BENCH.params and len(P.PRICE.alphas) * len(P.PRICE.betas) == 6400 and min(t["iterations"] for t in P.TRIALS) >= 180
+
+
+def test_halving_finds_the_trial_of_the_full_grid(halves):
+    train, valid = halves
+    trials = [{"iterations": n, "depth": k, "learning_rate": r} for n, k, r in ((8, 2, 0.3), (12, 3, 0.2), (4, 1, 0.02), (4, 2, 0.9))]
+    config = B.BenchmarkConfig(must_pass=False)
+    cut, reference = B.sweep(train, valid, "xgboost_freq_sev", trials, config, PRICE)
+    whole, _ = B.sweep(train, valid, "gbt_freq_sev", trials, config, PRICE, rungs=(1.0,))
+    cut, whole = ({r["trial"]: r for r in t.collect()} for t in (cut, whole))
+    assert {r["status"] for r in whole.values()} == {"ok"} and reference is not None
+    assert sorted(r["status"] for r in cut.values()) == ["ok", "stopped", "stopped", "stopped"]
+    best = lambda t: max(t.values(), key=lambda r: (r["objective"], -r["trial"]))
+    left = next(r for r in cut.values() if r["status"] == "ok")
+    assert (left["objective"], left["gini"], left["lr_total"]) == (whole[left["trial"]]["objective"], whole[left["trial"]]["gini"], whole[left["trial"]]["lr_total"])
+    assert left["objective"] >= sorted(r["objective"] for r in whole.values())[-2] and best(whole)["objective"] >= left["objective"]
