@@ -36,7 +36,7 @@ from tariffspark.session import materialize
 from tariffspark.sources.tables import read_json, write_json
 
 UNIT = float(1 << 24)   # gradients are whole multiples of 1 / UNIT
-BLOCK_ROWS = 8192       # a block's sums stay whole numbers below 2^53
+BLOCK_ROWS = 2048       # a block's sums stay whole numbers below 2^53
 REFRESH = 20
 REDUCE_WIDTH = 64
 STEEPEST = 1 << 14      # larger gradients are cut to this (a severity of that many units of the mean)
@@ -69,8 +69,9 @@ class Binning:
         return [*self.numeric, *self.categorical]
 
     @property
-    def width(self) -> int:
-        return max([len(e) + 2 for e in self.numeric.values()] + [max(m.values(), default=0) + 2 for m in self.categorical.values()] + [2])
+    def widths(self) -> list[int]:
+        """Bins of every column."""
+        return [len(e) + 2 for e in self.numeric.values()] + [max(m.values(), default=0) + 2 for m in self.categorical.values()]
 
 
 def fit_binning(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: Column, bins: int = 64) -> Binning:
@@ -213,7 +214,7 @@ def pack_blocks(df: DataFrame, binning: Binning, targets: Mapping[str, Column],
     """Bin ``df`` and keep it in blocks; the packed table is written first, so a lost block is read again."""
     names, labels = binning.columns, list(targets)
     binned = _binner(binning)
-    kind = "u1" if binning.width <= 256 else "<u2"
+    kind = "u1" if max(binning.widths, default=0) <= 256 else "<u2"
     wanted = [*[F.col(c).cast("double") if c in binning.numeric else F.col(c).cast("string") for c in names], *[targets[t].cast("double") for t in labels],
               claim.cast("int"), (F.lit(-1) if fold is None else fold).cast("int"), F.xxhash64(key)]
     rows = df.select(*[c.alias(f"c{i}") for i, c in enumerate(wanted)])
@@ -242,7 +243,11 @@ def pack_blocks(df: DataFrame, binning: Binning, targets: Mapping[str, Column],
         return (np.frombuffer(row["bins"], kind).reshape(row["n"], width), dict(zip(labels, y)), np.frombuffer(row["claim"], "<i4"),
                 np.frombuffer(row["fold"], "<i4"), np.frombuffer(row["key"], "<i8"))
 
-    rdd = table.rdd.map(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
+    # Hundreds of passes follow: a table of fewer parts than cores is spread once.
+    rows_of, cores = table.rdd, df.sparkSession.sparkContext.defaultParallelism
+    if rows_of.getNumPartitions() < cores:
+        rows_of = rows_of.repartition(cores)
+    rdd = rows_of.map(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
     rows_in = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return Blocks(rdd, binning, rdd.getNumPartitions(), int(rows_in))
 
@@ -292,17 +297,20 @@ def replace_trees(task: Task) -> Task:
     return replace(task, trees=[])
 
 
-def _histograms(blocks: Blocks, state, work: list[tuple[int, Task, int, list, Any, dict[int, int]]], width: int):
-    """Sums (gradient, second derivative, rows) per node, column and bin of every model at work.
+def _histograms(blocks: Blocks, state, work: list[tuple[int, Task, int, list, Any, dict[int, int]]]):
+    """Sums (gradient, second derivative, rows) per node and bin of every model at work, the bins of all columns one after the other.
 
     ``work``: (place of the model, the model, number of the tree, trees since the last refresh, tree being grown, {node: slot}).
     """
     depth_of = {i: max((n + 1).bit_length() - 1 for n in slots) for i, _, _, _, _, slots in work}
+    widths = blocks.binning.widths
+    width, total = len(widths), sum(widths)
 
     def sums(parts):
         import numpy as np
 
-        out = {i: np.zeros((len(slots), width, blocks_width, 3), dtype=np.int64) for i, _, _, _, _, slots in work}
+        out = {i: np.zeros((len(slots), total, 3), dtype=np.int64) for i, _, _, _, _, slots in work}
+        offset = np.cumsum([0, *widths[:-1]])
         for (bins, y, claim, fold, key), margins in parts:
             wide = bins.astype(np.int64)
             for i, task, number, recent, tree, slots in work:
@@ -321,14 +329,13 @@ def _histograms(blocks: Blocks, state, work: list[tuple[int, Task, int, list, An
                 at = slot >= 0
                 if not at.any():
                     continue
-                place = ((slot[at][:, None] * width + np.arange(width)) * blocks_width + b[at]).ravel()
-                size = len(slots) * width * blocks_width
+                place = (slot[at][:, None] * total + offset + b[at]).ravel()
+                size = len(slots) * total
                 for k, v in enumerate((g[at], h[at])):
-                    out[i][..., k] += np.bincount(place, weights=np.repeat(v, width), minlength=size).astype(np.int64).reshape(len(slots), width, blocks_width)
-                out[i][..., 2] += np.bincount(place, minlength=size).reshape(len(slots), width, blocks_width)
+                    out[i][..., k] += np.bincount(place, weights=np.repeat(v, width), minlength=size).astype(np.int64).reshape(len(slots), total)
+                out[i][..., 2] += np.bincount(place, minlength=size).reshape(len(slots), total)
         return [out]
 
-    blocks_width = blocks.binning.width
     merge = lambda a, b: {i: a[i] + b[i] for i in a}
     return _combined(state, blocks.partitions, sums, merge)
 
@@ -413,6 +420,7 @@ def _grow_one(blocks: Blocks, state, tasks, active, settled, seeds, names) -> No
         drawn = _draw(keys, p.seed, (1 << 20) + len(tasks[i].trees))
         chosen[i] = drawn <= max(p.column_share, drawn.min()) if p.column_share < 1 else np.ones(width, dtype=bool)
     open_nodes = {i: [0] for i in active}
+    shape = np.arange(max(blocks.binning.widths)) < np.array(blocks.binning.widths)[:, None]
     for level in range(max(tasks[i].params.depth for i in active) + 1):
         work, derived = [], {}
         for i in active:
@@ -431,19 +439,29 @@ def _grow_one(blocks: Blocks, state, tasks, active, settled, seeds, names) -> No
             work.append((i, given[i], len(tasks[i].trees), recent[i], trees[i].arrays(), {n: k for k, n in enumerate(wanted)}))
         if not work:
             break
-        found = _histograms(blocks, state, work, width)
+        found = _histograms(blocks, state, work)
         for i, _, _, _, _, slots in work:
             here = {n: found[i][k] for n, k in slots.items()}
             for other, small, parent in derived.get(i, []):
                 here[other] = sums[i][parent] - here[small]
             sums[i] = here
-            open_nodes[i] = _split_nodes(trees[i], here, tasks[i].params, chosen[i], level)
+            # On the driver columns lie side by side, as wide as the widest.
+            padded = {n: _padded(x, shape) for n, x in here.items()}
+            open_nodes[i] = _split_nodes(trees[i], padded, tasks[i].params, chosen[i], level)
     for i in active:
         tree, p = trees[i], tasks[i].params
         tree.value = [v * p.learning_rate for v in tree.value]
         tasks[i].trees.append(tree)
 
 
+def _padded(sums, shape):
+    import numpy as np
+
+    out = np.zeros((*shape.shape, 3), dtype=np.int64)
+    out[shape] = sums
+    return out
+
+
 def _split_nodes(tree: Tree, sums, params: BoostParams, columns, level: int) -> list[int]:
     """Split the nodes of a level where that gains; their children, in order."""
     out = []
