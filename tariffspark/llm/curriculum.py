@@ -8,6 +8,12 @@ by weight. Documents of a source stand in the order of a keyed hash; their
 cumulative tokens are the source's supply, and the inverse of the cumulative
 demand gives each copy its training position. Rows are range-sorted by it.
 
+Positions are worked out on narrow rows (source, order, size). Texts move once:
+the run is cut into ``slices`` of equal length, and because the copies of one
+pass over a source stand in the order of their hashes, a short table says from
+which hash on a slice begins. A row finds its slices by its own hash, goes
+there, and gets its exact position from the running sum inside the slice.
+
 A copy is taken if its middle token lies inside the target, so taken words
 differ from the target by half a document at most.
 
@@ -80,14 +86,10 @@ def inverse_area(knots: Column, share: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda s: F.coalesce(s["t"], F.lit(1.0)))
 
 
-def mix_counts(docs: DataFrame, schedules: DataFrame, budget_share: float = 1.5, most_repeats: float = 2.0, seed: str = "mix",
-               id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """``docs`` with struct ``mix``: size, source_size, target, copies, taken, positions (one per copy).
-
-    ``schedules(key, knots)`` holds ``source_key`` and an array of (t, w);
-    the budget is ``budget_share`` times all words.
-    """
-    out, key, order, at, size, inner, info = free_names(docs.columns, "mix", "__key", "__order", "__bin", "__size", "__in", "__supply")
+def _supply(docs: DataFrame, schedules: DataFrame, budget_share: float, most_repeats: float, seed: str, id_column: str, text_column: str, source_column: str):
+    """``docs`` with source key, order, bin and size, and per (source, bin) what stands before it, with the source's size, target and knots."""
+    names = free_names(docs.columns, "__key", "__order", "__bin", "__size", "__supply")
+    key, order, at, size, info = names
     text = F.col(text_column)
     rows = (docs.withColumn(key, source_key(F.col(source_column))).withColumn(order, order_key(F.col(id_column), text, seed))
             .withColumn(at, F.expr(f"cast(conv(substring(`{order}`, 1, 4), 16, 10) as int) div {65536 // BINS}").cast("int"))
@@ -99,28 +101,85 @@ def mix_counts(docs: DataFrame, schedules: DataFrame, budget_share: float = 1.5,
     targets = filled_targets(sources, budget_share * total, most_repeats)
     before = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     supply = materialize(bins.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
-                         .join(targets, "key").select(F.col("key").alias(key), F.col("bin").alias(at), "before", "source_size", "target", "knots"), "mix-supply")
+                         .join(targets, "key").select(F.col("key").alias(key), F.col("bin").alias(at), F.struct("before", "source_size", "target", "knots").alias(info)), "mix-supply")
+    return rows, supply, names, int(total)
+
+
+def _passes(most_repeats: float) -> int:
+    return int(-(-most_repeats // 1))
+
+
+def _placed(rows: DataFrame, supply: DataFrame, names: list[str], inner: str) -> DataFrame:
+    """``rows`` with their supply and the words before them in their bin."""
+    key, order, at, size, _ = names
     inside = Window.partitionBy(key, at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(inner, F.coalesce(F.sum(size).over(inside), F.lit(0))).join(bounded(supply), [key, at])
+
+
+def mix_counts(docs: DataFrame, schedules: DataFrame, budget_share: float = 1.5, most_repeats: float = 2.0, seed: str = "mix",
+               id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """``docs`` with struct ``mix``: size, source_size, target, copies, taken, positions (one per copy).
+
+    ``schedules(key, knots)`` holds ``source_key`` and an array of (t, w);
+    the budget is ``budget_share`` times all words. All columns of ``docs`` are shuffled: give those that are needed.
+    """
+    out, inner = free_names(docs.columns, "mix", "__in")
+    rows, supply, names, _ = _supply(docs, schedules, budget_share, most_repeats, seed, id_column, text_column, source_column)
     held = [f"`{c}`" for c in docs.columns]
-    s = F.col(size)
-    met = rows.withColumn(inner, F.coalesce(F.sum(size).over(inside), F.lit(0))).join(
-        bounded(supply.select(key, at, F.struct("before", "source_size", "target", "knots").alias(info))), [key, at])
-    i = F.col(info)
+    s, i = F.col(names[3]), F.col(names[4])
     first = i["before"] + F.col(inner)
     # Pass p over the source begins at p times its size.
-    passes = int(-(-most_repeats // 1))
-    middles = F.array(*[(first + p * i["source_size"] + s / 2.0) for p in range(passes)])
+    middles = F.array(*[(first + p * i["source_size"] + s / 2.0) for p in range(_passes(most_repeats))])
     taken = F.filter(middles, lambda m: m < i["target"])
     copies = F.size(taken).cast("long")
     positions = F.transform(taken, lambda m: inverse_area(i["knots"], m / i["target"]))
     struct = F.struct(s.alias("size"), i["source_size"].cast("long").alias("source_size"), i["target"].cast("double").alias("target"), copies.alias("copies"),
                       (copies * s).alias("taken"), positions.alias("positions"))
-    return met.select(*held, struct.alias(out))
+    return _placed(rows, supply, names, inner).select(*held, struct.alias(out))
 
 
-def mixed(docs: DataFrame, schedules: DataFrame, **settings) -> DataFrame:
-    """The mix itself: one row per taken copy with the columns of ``docs``, in the order of training positions."""
-    out, position = free_names(docs.columns, "mix", "__position")
-    counted = mix_counts(docs, schedules, **settings)
-    copies = counted.withColumn(position, F.explode(F.col(f"{out}.positions")))
-    return copies.repartitionByRange(F.col(position)).sortWithinPartitions(position).select(*[f"`{c}`" for c in docs.columns])
+def in_training_order(counted: DataFrame, mix: str = "mix") -> DataFrame:
+    """Rows of ``mix_counts`` range-sorted by the position of their first copy; those not taken stand last."""
+    first = F.coalesce(F.get(F.col(f"{mix}.positions"), F.lit(0)), F.lit(2.0))
+    return counted.repartitionByRange(first).sortWithinPartitions(first)
+
+
+def mixed(docs: DataFrame, schedules: DataFrame, budget_share: float = 1.5, most_repeats: float = 2.0, seed: str = "mix", id_column: str = "doc_id",
+          text_column: str = "text", source_column: str = "source", slice_words: int = 1 << 22, least_slices: int = 4096) -> DataFrame:
+    """The mix itself: one row per taken copy with the columns of ``docs``, in the order of training positions.
+
+    A slice of the run holds about ``slice_words`` words, and there are ``least_slices`` at least: it is what one task sorts.
+    """
+    rows, supply, names, total = _supply(docs, schedules, budget_share, most_repeats, seed, id_column, text_column, source_column)
+    key, order, at, size, info = names
+    slices = max(least_slices, int(total * budget_share) // slice_words)
+    taken = free_names([*docs.columns, *names], "__in", "__stretches", "__stretch", "__first", "__middle", "__position")
+    inner, stretches, stretch, first, middle, position = taken
+    i = F.col(info)
+
+    # Where every slice begins in each pass over a source, on narrow rows. Equal rows begin together.
+    run = Window.partitionBy(key, at).orderBy(order)
+    narrow = _placed(rows.select(key, order, at, size), supply, names, inner)
+    narrow = narrow.withColumn(middle, F.when(F.coalesce(F.lag(order).over(run) != F.col(order), F.lit(True)), F.col(inner)))
+    start = i["before"] + F.max(middle).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    narrow = narrow.withColumn(first, start).drop(middle)
+    start = F.col(first)
+    passes = F.explode(F.array(*[F.struct(F.lit(p).alias("pass"), (start + p * i["source_size"]).cast("long").alias("first")) for p in range(_passes(most_repeats))]))
+    copies = narrow.select(key, at, order, F.col(size).alias("size"), info, passes.alias("copy")).select(
+        key, at, order, "copy.*", (F.col("copy.first") + F.col("size") / 2.0).alias("middle"), info).where(F.col("middle") < i["target"])
+    share = inverse_area(i["knots"], F.col("middle") / i["target"])
+    sliced = copies.select(key, at, order, "pass", "first", F.least(F.floor(share * slices), F.lit(slices - 1)).cast("int").alias("slice"))
+    begins = sliced.groupBy(key, at, "pass", "slice").agg(F.min(F.struct(order, "first")).alias("b"))
+    begins = begins.groupBy(key, at).agg(F.collect_list(F.struct("pass", F.col(f"b.{order}").alias("from"), "slice", F.col("b.first").alias("first"))).alias(stretches))
+    begins = materialize(begins.join(supply, [key, at]), "mix-slices")
+
+    met = rows.join(bounded(begins), [key, at])
+    latest = lambda p: F.array_max(F.filter(F.col(stretches), lambda b: (b["pass"] == p) & (b["from"] <= F.col(order))))
+    mine = F.array(*[latest(p) for p in range(_passes(most_repeats))])
+    met = met.withColumn(stretch, F.explode(F.array_compact(mine)))
+    b = F.col(stretch)
+    here = Window.partitionBy(f"{stretch}.slice", key, f"{stretch}.pass", at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    met = met.repartitionByRange(F.col(f"{stretch}.slice")).withColumn(first, b["first"] + F.coalesce(F.sum(size).over(here), F.lit(0)))
+    met = met.withColumn(middle, F.col(first) + F.col(size) / 2.0).where(F.col(middle) < i["target"])
+    met = met.withColumn(position, inverse_area(i["knots"], F.col(middle) / i["target"]))
+    return met.sortWithinPartitions(f"{stretch}.slice", position).select(*[f"`{c}`" for c in docs.columns])

@@ -20,9 +20,13 @@ A document is the set of its distinct word shingles, kept as 64-bit hashes
    which is the middle of a group of near copies. What is linked becomes a
    component, and from there on only sets of different components are compared:
    those near a common pivot in blocks, which give back no more links than
-   join their components; the others pair by pair, within the bounds on length
-   and position. No link between components is
-   lost.
+   join their components. Where many pairs are left, each key takes another
+   pivot among the sets that are near none, for as long as that settles a good
+   part of them. The rest meet pair by pair, within the bounds on length and
+   position and unless their distances to a common pivot differ by more than
+   linked sets may (Jaccard distances obey the triangle inequality). No link
+   between components is lost. Keys with the same sets behind them, as copies
+   make them, count as one from the start.
 
 Defined results: null texts and texts without words have no shingles, link
 with nothing and are their own component; equal sets are linked; component_id
@@ -448,41 +452,59 @@ def classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_column: str
     index = (shared.withColumn("side", F.expr("token & 1")).withColumn("late", late).repartition("rid")
              .sortWithinPartitions("rid", "side", "late", "df", "token").mapInArrow(_prefixes(RARE, percent), "key long, rid long, n int, pos int"))
     index = materialize(index, "jaccard-index")
-    crowded = (index.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min(F.struct("pos", "rid")).alias("first"))
-               .where("lo <> hi").select("key", F.col("first.rid").alias("pivot")))
-    index = materialize(index.join(crowded, "key"), "jaccard-index")
-
+    # Copies share many keys, and mostly the same sets stand behind each: such keys become one, named by its members and with
+    # each set's least position. Should two names ever meet, sets are compared that need not be, no more.
+    members = [F.min("rid"), F.max("rid"), F.count(F.lit(1)), F.bit_xor(F.xxhash64("rid")), F.bit_xor(F.xxhash64("rid", F.lit(1)))]
+    named_keys = (index.groupBy("key").agg(*[m.alias(f"m{i}") for i, m in enumerate(members)]).where("m0 <> m1")
+                  .select("key", F.xxhash64(*[f"m{i}" for i in range(len(members))]).alias("group")))
+    index = materialize(index.join(named_keys, "key").groupBy(F.col("group").alias("key"), "rid", "n").agg(F.min("pos").alias("pos")), "jaccard-index")
     wanted = index.select("rid").distinct()
     keys = made.where("main and rid is not null").groupBy("rid").agg(F.min("key").alias("key")).join(wanted, "rid")
     keys = materialize(keys.select("key"), "jaccard-keys")
     texts = source.join(bounded(keys), "key", "left_semi").select("key", "text").dropDuplicates(["key"]).select("text")
     sets = materialize(texts.mapInArrow(_full(shingle), "rid long, tokens binary"), "jaccard-tokens")
 
-    pivots = index.where("rid = pivot").groupBy("key", "rid", "n").agg(F.min("pos").alias("pos"))
-    stars = (index.where("rid <> pivot").alias("y").join(pivots.alias("x"), F.col("x.key") == F.col("y.key")).where(_possible("x", "y", percent))
-             .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
-    scored = _scored(stars, sets, "jaccard-stars")
-    links = scored.where(_at_least(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    groups = materialize(connected_components(links, "jaccard-groups"), "jaccard-groups")
-    # A cell may hold any sets, as all of its pairs are settled; a wide one takes in near copies of near copies.
-    near = scored.where(_at_least(NEAR)).select("a", "b")
-    inside = materialize(_cell_links(near, groups, sets, percent), "jaccard-links")
-
-    # What is left: pairs across components at keys whose pivot is not near both.
-    placed = (index.join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-              .join(near.select(F.col("a").alias("pivot"), F.col("b").alias("rid"), F.lit(True).alias("near")), ["pivot", "rid"], "left")
-              .withColumn("near", F.coalesce("near", F.lit(False))).where("rid <> pivot"))
-    placed = materialize(placed, "jaccard-open")
-    divided = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("near").alias("near"))
-               .where("lo <> hi and not near").select("key"))
-    left = materialize(placed.join(divided, "key", "left_semi"), "jaccard-open")
-    far = left.where("not near")
-    unlike = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _possible("x", "y", percent)
-    across = (far.alias("x").join(left.alias("y"), unlike & (F.col("y.near") | (F.col("x.rid") < F.col("y.rid"))))
-              .select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b"), F.when(F.col("x.rid") < F.col("y.rid"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
-                      F.when(F.col("x.rid") < F.col("y.rid"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb")).distinct())
-    outside = _scored(across, sets, "jaccard-across").where(_at_least(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    groups = connected_components(links.unionByName(inside).unionByName(outside), "jaccard-groups")
+    links, settled = None, None
+    rows = index.withColumn("far", F.lit(True)).withColumn("marks", F.array().cast("array<struct<pivot: long, far: double, near: boolean>>"))
+    before = None
+    while True:
+        first = rows.where("far").groupBy("key").agg(F.min(F.struct("pos", "rid")).alias("first")).select("key", F.col("first.rid").alias("pivot"))
+        rows = materialize(rows.join(first, "key"), "jaccard-round")
+        pivots = rows.where("rid = pivot").groupBy("key", "rid", "n").agg(F.min("pos").alias("pos"))
+        stars = (rows.where("rid <> pivot").alias("y").join(pivots.alias("x"), F.col("x.key") == F.col("y.key")).where(_possible("x", "y", percent))
+                 .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
+        scored = _scored(stars, sets, "jaccard-stars")
+        found = scored.where(_at_least(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = found if links is None else links.unionByName(found)
+        groups = materialize(connected_components(links, "jaccard-groups"), "jaccard-groups")
+        # A cell may hold any sets, as all of its pairs are settled; a wide one takes in near copies of near copies.
+        near = scored.where(_at_least(NEAR)).select("a", "b")
+        inside = materialize(_cell_links(near, groups, sets, percent), "jaccard-links")
+        settled = inside if settled is None else settled.unionByName(inside)
+
+        met = scored.select(F.col("a").alias("pivot"), F.col("b").alias("rid"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("away"),
+                            _at_least(NEAR).alias("near"))
+        mark = F.array(F.struct("pivot", F.col("away").alias("far"), "near"))
+        rows = (rows.where("rid <> pivot").join(met, ["pivot", "rid"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+                .select("key", "rid", "n", "pos", (F.col("far") & ~F.col("near")).alias("far"),
+                        F.when(F.col("away").isNull(), F.col("marks")).otherwise(F.concat("marks", mark)).alias("marks"))
+                .join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")))
+        rows = materialize(rows, "jaccard-open")
+        divided = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("far").alias("apart")).where("lo <> hi and apart").select("key")
+        rows = materialize(rows.join(divided, "key", "left_semi"), "jaccard-open")
+        # What is left: pairs across components that share no cell, and whose distances to a common pivot allow them.
+        apart = F.expr(f"exists(x.marks, m -> exists(y.marks, o -> o.pivot = m.pivot and (m.near and o.near or abs(o.far - m.far) > {(100 - percent) / 100 + 1e-9})))")
+        unlike = ((F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.component") != F.col("y.component"))
+                  & _possible("x", "y", percent) & ~apart)
+        across = rows.alias("x").join(rows.alias("y"), unlike).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        # Another round pays where many pairs are left for the sets, and as long as rounds take a good part of them away.
+        pairs = across.count()
+        if pairs <= rows.count() or (before is not None and pairs > 0.8 * before):
+            break
+        before, rows = pairs, rows.drop("component")
+
+    outside = _scored(across.distinct(), sets, "jaccard-across").where(_at_least(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    groups = connected_components(links.unionByName(settled).unionByName(outside), "jaccard-groups")
 
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
     named = (made.where("main and rid is not null").groupBy("rid").agg(F.min(first).alias("first"))

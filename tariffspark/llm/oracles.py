@@ -91,8 +91,12 @@ l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, key ROW
   row_number() OVER (ORDER BY cap / weight, key) AS rn FROM c),
 lv AS (SELECT arg_min(level, rn) FILTER (WHERE level * weight <= cap) AS level FROM l),
 t AS (SELECT key, source_size, least(cap, weight * coalesce(lv.level, 0)) AS target FROM c, lv),
-m AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS mid FROM d)
-SELECT doc_id, size, source_size, target, (size * ((mid < target)::BIGINT + (mid + source_size < target)::BIGINT))::BIGINT AS taken FROM m JOIN t USING (key)"""
+m AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS mid FROM d),
+k AS (SELECT key, weight * (1 + tilt) AS w0, weight * (1 - tilt) AS w1 FROM (SELECT key, weight, CASE WHEN row_number() OVER (ORDER BY key) % 2 = 1 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS tilt FROM s)),
+f AS (SELECT m.*, source_size, target, w0, w1, 2 * ((w0 + w1) / 2) AS a2 FROM m JOIN t USING (key) JOIN k USING (key))
+SELECT doc_id, size, source_size, target, (size * ((mid < target)::BIGINT + (mid + source_size < target)::BIGINT))::BIGINT AS taken,
+  CASE WHEN mid < target THEN round(least(mid / target * a2 / (w0 + sqrt(w0 * w0 + (w1 - w0) * a2 * mid / target)), 1), 9) END AS first_position,
+  CASE WHEN mid + source_size < target THEN round(least((mid + source_size) / target * a2 / (w0 + sqrt(w0 * w0 + (w1 - w0) * a2 * (mid + source_size) / target)), 1), 9) END AS second_position FROM f"""
 
 _LINES = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),

@@ -53,8 +53,10 @@ def contract_schedules(docs: DataFrame) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
-    mixed = curriculum.mix_counts(docs.select("doc_id", "text", "source"), contract_schedules(docs))
-    return mixed.select("doc_id", *[F.col(f"mix.{c}") for c in ("size", "source_size", "target", "taken")])
+    narrow = docs.select("doc_id", "text", "source")
+    counted = curriculum.in_training_order(curriculum.mix_counts(narrow, contract_schedules(docs)).select("doc_id", "mix"))
+    place = lambda i: F.round(F.get(F.col("mix.positions"), F.lit(i)), 9).alias(("first_position", "second_position")[i])
+    return counted.select("doc_id", *[F.col(f"mix.{c}") for c in ("size", "source_size", "target", "taken")], place(0), place(1))
 
 
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:

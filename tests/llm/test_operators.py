@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 from tariffspark.llm import curriculum, decontam, jaccard, lines, quality, queries, secret_scan, sharding, toxicity, training_order, urls
 from tariffspark.llm.components import connected_components
 
-TABLES = "documents pages benchmark labels conversations"
+TABLES = "documents embeddings pages benchmark labels conversations"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = ["mix", "quality", "found", "placed", "toxicity", "line_dedup", "judged", "__text", "__key", "__counts", "__mark"]
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -374,3 +374,20 @@ def test_pipeline_stages(spark, data):
     last = P.sharding(spark, fourth, data).collect()
     assert Counter(r.doc_id for r in last) == copies
     assert Counter(r.doc_id for r in entry.queries()["pipeline"](spark, data).collect()) == copies
+
+
+def test_mix_moves_rows_to_their_exact_order(spark):
+    draw = random.Random(8)
+    rows = [(i if i % 40 else None, "w " * draw.randrange(0, 60), None, draw.choice(["a", "a", "a", "b", None]), i) for i in range(900)] + [(5000, "same row " * 9, None, "a", 1)] * 7
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    schedules = queries.contract_schedules(docs)
+    want = sorted((p, r.doc_id, r.text) for r in curriculum.mix_counts(docs, schedules).collect() for p in r.mix.positions)
+    for settings in ({}, {"least_slices": 3, "slice_words": 1 << 40}):
+        got = [(r.doc_id, r.text) for r in curriculum.mixed(docs, schedules, **settings).collect()]
+        assert sorted(map(str, got)) == sorted(str(w[1:]) for w in want)
+        place = {}
+        for p, i, t in want:
+            place.setdefault((i, t), []).append(p)
+        lone = [g for g in got if len(place[g]) == 1]
+        at = [place[g][0] for g in lone]
+        assert at == sorted(at) and len(lone) > 200
