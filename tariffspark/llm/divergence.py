@@ -199,10 +199,12 @@ def _corrections():
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         names = ["lang", "source", "other", "high", "low"]
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         groups, known, sums, held = {}, [], {}, None
+        number, last = 0, None
 
         def f(p, q):
             return (p - q) * (p - q) // q
@@ -235,25 +237,32 @@ def _corrections():
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lang, term, source = (batch.column(i).to_pylist() for i in range(3))
-            group = np.empty(batch.num_rows, dtype=np.int64)
-            for i, key in enumerate(zip(lang, source)):
+            lang, term, source = batch.column(0), batch.column(1), batch.column(2)
+            langs, sources = lang.dictionary_encode(), source.dictionary_encode()
+            pair = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+            pairs, place = np.unique(pair, return_inverse=True)
+            for key in (keys := [(langs.dictionary[int(p) // len(sources.dictionary)].as_py(), sources.dictionary[int(p) % len(sources.dictionary)].as_py()) for p in pairs]):
                 if key not in groups:
                     groups[key] = len(known)
                     known.append(key)
-                group[i] = groups[key]
-            columns = [group, np.array([f"{a}\0{b}" for a, b in zip(lang, term)], dtype=object), batch.column(3).to_numpy(), batch.column(4).to_numpy()]
+            group = np.array([groups[k] for k in keys], dtype=np.int64)[place]
+            # Terms are numbered as they come; the first of a batch may be the last of the one before.
+            again = last is not None and last == (lang[0].as_py(), term[0].as_py())
+            fresh = [np.asarray(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1))) for c in (lang, term)]
+            number += not again
+            code = number + np.append(0, np.cumsum(fresh[0] | fresh[1]))
+            number, last = int(code[-1]), (lang[-1].as_py(), term[-1].as_py())
+            columns = [group, code, batch.column(3).to_numpy(), batch.column(4).to_numpy()]
             if held is not None:
                 columns = [np.concatenate(c) for c in zip(held, columns)]
             # Whole terms only; the last one may go on in the next batch.
-            code = np.append(0, np.cumsum(columns[1][1:] != columns[1][:-1]))
-            tail = int(np.searchsorted(code, code[-1]))
+            tail = int(np.searchsorted(columns[1], number))
             held = [c[tail:] for c in columns]
-            add(columns[0][:tail], code[:tail], columns[2][:tail], columns[3][:tail])
+            add(*[c[:tail] for c in columns])
             if len(sums) > 500_000:
                 yield out()
         if held is not None:
-            add(held[0], np.zeros(len(held[0]), dtype=np.int64), held[2], held[3])
+            add(*held)
         if sums:
             yield out()
 
