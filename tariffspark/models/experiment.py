@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tariffspark.models.bench import (
     Benchmark, BenchmarkConfig, PriceConfig, ablation, run_benchmark, run_candidate,
 )
-from tariffspark.models.calibrate import CalibrationConfig
+from tariffspark.models.calibrate import CalibratedModel, CalibrationConfig
+from tariffspark.models.matrix import align
 from tariffspark.operators import diagnostics as D
 from tariffspark.operators import leakage as L
 from tariffspark.operators import metrics as M
@@ -196,6 +197,10 @@ def run_experiment(spark: SparkSession, rows: DataFrame, cfg: RunConfig, out: st
         write_table(W.iv_report(bins), f"{run}/woe_report")
         write_table(W.iv_summary(bins), f"{run}/iv_summary")
         write_table(M.bootstrap_ci(priced, cfg.preprocess.grain), f"{run}/bootstrap_ci")
+        base = winner.model.base if isinstance(winner.model, CalibratedModel) else winner.model
+        frequency = base.fitted.stages.get("gbt_class") if base.fitted is not None else None
+        if frequency is not None and frequency.binning.columns:
+            write_table(D.tree_contribution_rank(align(valid_x, base.fitted.schema), frequency), f"{run}/contributions")
     if cfg.ablation:
         write_table(ablation(train_x, valid_x, state.families(), cfg.benchmark, cfg.price), f"{run}/ablation")
     if test_rows is not None:

@@ -110,3 +110,20 @@ def contribution_rank(df: DataFrame, weights: Mapping[str, float], top: int | No
     whole = F.greatest(F.sum("mean_abs_contribution").over(Window.partitionBy()), F.lit(1e-9))
     ranked = long.withColumn("rank", F.row_number().over(order)).withColumn("cumulative_share", running / whole)
     return ranked if top is None else ranked.where(F.col("rank") <= top)
+
+
+def tree_contribution_rank(df: DataFrame, model, top: int | None = None) -> DataFrame:
+    """Columns of a fitted boosted model by mean absolute contribution over all rows, with rank and cumulative share.
+
+    A row's contributions and the base add up to its margin; one row per column comes out of one aggregation.
+    """
+    names = list(model.binning.columns)
+    rows = model.contributions(df).select("contribution")
+    summed = rows.select(F.posexplode("contribution").alias("place", "x")).groupBy("place").agg(F.avg(F.abs("x")).alias("mean_abs_contribution"))
+    long = summed.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("place") + 1).alias("feature"), "mean_abs_contribution")
+    # One row per column of the model.
+    order = Window.orderBy(F.desc("mean_abs_contribution"), "feature")
+    running = F.sum("mean_abs_contribution").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = F.greatest(F.sum("mean_abs_contribution").over(Window.partitionBy()), F.lit(1e-9))
+    ranked = long.withColumn("rank", F.row_number().over(order)).withColumn("cumulative_share", running / whole)
+    return ranked if top is None else ranked.where(F.col("rank") <= top)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tariffspark.models import boosting as G
+from tariffspark.operators.diagnostics import tree_contribution_rank
 
 
 @pytest.fixture(scope="module")
@@ -106,6 +107,10 @@ def test_model_predicts_saves_and_explains(spark, table, tmp_path):
     rows = again.contributions(odd.withColumn("m", model.margin()).withColumn("again", again.margin())).collect()
     for r in rows:
         assert r["m"] == r["again"] and r["base"] + sum(r["contribution"]) == pytest.approx(r["m"], abs=1e-9)
+    ranked = tree_contribution_rank(odd, again).collect()
+    want = dict(zip(again.binning.columns, np.abs([r["contribution"] for r in rows]).mean(axis=0)))
+    assert {r["feature"]: r["mean_abs_contribution"] for r in ranked} == pytest.approx(want) and [r["rank"] for r in ranked] == [1, 2, 3]
+    assert ranked[-1]["cumulative_share"] == pytest.approx(1.0)
     loss = lambda margins: sum(math.log1p(math.exp(-m if r["claim"] else m)) for m, r in zip(margins, rows))
     assert loss([r["m"] for r in rows]) < 0.8 * loss([model.start] * len(rows))
 
