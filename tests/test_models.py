@@ -194,6 +194,14 @@ def test_whole_run_scores_and_reprices(spark, data, tmp_path):
     assert all(r["new_premium"] == pytest.approx(1.1 * r["premium"]) for r in manual.collect())
 
 
+def test_boosted_winner_is_explained(spark, data, tmp_path):
+    bench = {**CONFIG["benchmark"], "candidates": ["gbt_freq_sev"], "candidate_params": {"gbt_freq_sev": TREES}}
+    out = str(tmp_path / "artifacts")
+    record = X.run_experiment(spark, S.driver_rows(spark, data), X.read_config({**CONFIG, "benchmark": bench}), out, None, "r2")
+    ranked = spark.read.parquet(f"{record['path']}/contributions").collect()
+    assert record["winner"] == "gbt_freq_sev" and len(ranked) > 5 and max(r["mean_abs_contribution"] for r in ranked) > 0
+
+
 def test_stream_gives_the_batch_prices(spark, policies, tmp_path):
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
     slim = policies.select("contract_number", "premium", "expected_loss").repartition(3)
