@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffspark.functions.columns import finite, nonneg, ratio
-from tariffspark.operators.order import first_rows_of
+from tariffspark.operators.order import with_part
 from tariffspark.operators.profile import wide_to_long
 from tariffspark.operators.quantiles import exact_quantiles
 from tariffspark.roles import AMOUNT, CONTRACT
@@ -38,9 +36,8 @@ def with_deciles(df: DataFrame, value: str, name: str, deciles: int = 10, key: s
         return filled.withColumn(name, F.lit(1)).drop("_v")
     q = max(2, min(deciles, n, distinct))
     # Bucket b ends at rank floor(b (n - 1) / q) + 1.
-    ends = first_rows_of(filled, F.col("_v"), key, [b * (n - 1) // q + 1 for b in range(1, q)])
-    bucket = reduce(add, [(~end).cast("int") for end in ends], F.lit(1))
-    return filled.withColumn(name, bucket).drop("_v")
+    placed = with_part(filled, F.col("_v"), key, [b * (n - 1) // q + 1 for b in range(1, q)], name)
+    return placed.withColumn(name, F.col(name) + 1).drop("_v")
 
 
 def _report_columns(df: DataFrame) -> DataFrame:

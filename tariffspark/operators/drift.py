@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffspark.functions.columns import finite, half_open_bin, micros
-from tariffspark.operators.order import first_rows_of
+from tariffspark.operators.order import with_part
 from tariffspark.operators.quantiles import even_grid, exact_quantiles
 from tariffspark.session import materialize
 
@@ -20,8 +20,8 @@ def time_windows(df: DataFrame, date: str, key: str, early: float = 0.3, late: f
     """``window`` = reference for the first ``early`` share of the rows by time, current from ``late`` on."""
     dated = df.where(F.col(date).isNotNull())
     n = dated.count()
-    first, until = first_rows_of(dated, micros(F.col(date)), key, [int(n * early), int(n * late)])
-    return dated.withColumn("window", F.when(first, "reference").when(~until, "current")).where("window is not null")
+    placed = with_part(dated, micros(F.col(date)), key, [int(n * early), int(n * late)], "window")
+    return placed.withColumn("window", F.when(F.col("window") == 0, "reference").when(F.col("window") == 2, "current")).where("window is not null")
 
 
 def time_split(df: DataFrame, date: str, key: str, share: float = 0.7, min_rows: int = 500) -> DataFrame | None:
@@ -31,8 +31,8 @@ def time_split(df: DataFrame, date: str, key: str, share: float = 0.7, min_rows:
     cut = min(max(round(n * min(max(share, 0.5), 0.95)), least), max(n - least, 1))
     if n < 2 or cut <= 0 or cut >= n:
         return None
-    (first,) = first_rows_of(dated, micros(F.col(date)), key, [cut])
-    return dated.withColumn("window", F.when(first, "reference").otherwise("current"))
+    placed = with_part(dated, micros(F.col(date)), key, [cut], "window")
+    return placed.withColumn("window", F.when(F.col("window") == 0, "reference").otherwise("current"))
 
 
 def _bins_of(x: Column, edges: list[float], mode: str) -> Column:

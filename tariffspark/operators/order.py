@@ -1,7 +1,7 @@
 """Global order without a one-task window.
 
 Questions about a few places of the order (the first k rows, deciles) need no
-sort at all: ``first_rows_of`` finds the value at each place exactly and settles
+sort at all: ``with_part`` finds the value at each place exactly and settles
 ties by key among the tied rows alone.  Where every row needs its place, rows are range-partitioned on the full order key (value plus tie-break key, so
 a value shared by a third of all rows still spreads over many partitions),
 sorted inside each partition and numbered by position.  Only one row count per
@@ -11,9 +11,11 @@ partition travels to build the offsets.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
+from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tariffspark.operators.quantiles import exact_quantiles
@@ -63,15 +65,35 @@ def with_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFr
     )
 
 
-def first_rows_of(df: DataFrame, value: Column, key: str, places: Sequence[int]) -> list[Column]:
-    """For each k a condition that holds for exactly the first k rows in the order of (value, key).
+def number_copies(df: DataFrame, by: Sequence[str], name: str = "copy") -> DataFrame:
+    """0-based number of each row among the rows that agree in ``by`` (never null), for rows that are interchangeable otherwise.
 
-    ``value`` is numeric and never null, ``key`` unique.  Needs a few scans of
-    the two columns and no shuffle of the rows; only rows that tie with the value
-    at place k are ordered by key.
+    Rows are numbered inside the task that wrote them and shifted by the counts
+    of the tasks before, so a value shared by a third of all rows never meets in one task.
     """
-    x = value.cast("double")
-    table = df.select(x.alias("x"), F.col(key).alias("k"))
+    written = materialize(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_row", _POSITION_BITS)), "copies")
+    per_task = written.groupBy("_pid", *by).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = per_task.select("_pid", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_pid", *by).orderBy("_row")) - 1
+    return written.withColumn(name, local).join(shifts, ["_pid", *by]).withColumn(name, F.col(name) + F.col("_before")).drop("_pid", "_row", "_before")
+
+
+def before_key(a: Column, b: Column) -> Column:
+    """``a`` sorts before ``b``; nulls come first."""
+    return b.isNotNull() & (a.isNull() | F.coalesce(a < b, F.lit(False)))
+
+
+def with_part(df: DataFrame, value: Column, key: str, places: Sequence[int], name: str) -> DataFrame:
+    """``name`` = how many of the ``places`` k are at or before the row's place in the order of (value, key).
+
+    Exactly k rows lie before place k, also where rows repeat both value and key:
+    which of the repeats then come first is left open.  ``value`` is numeric and
+    never null, a null key sorts first.  Needs a few scans of the two columns and
+    no shuffle of the rows; only rows that tie with the value at place k are ordered by key.
+    """
+    x, own = value.cast("double"), F.col(key)
+    table = df.select(x.alias("x"), own.alias("k"))
     n = table.count()
     inner = sorted({k for k in places if 0 < k < n})
     found = exact_quantiles(table, {"x": [(k - 0.5) / (n - 1) for k in inner]})["x"] if inner else []
@@ -79,12 +101,33 @@ def first_rows_of(df: DataFrame, value: Column, key: str, places: Sequence[int])
     tops = table.agg(*[F.max(F.when(F.col("x") <= v, F.col("x"))).alias(f"t{i}") for i, v in enumerate(found)]).first() if inner else []
     sizes = table.agg(*[F.count_if(F.col("x") < t).alias(f"b{i}") for i, t in enumerate(tops)],
                       *[F.count_if(F.col("x") == t).alias(f"a{i}") for i, t in enumerate(tops)]).first() if inner else []
-    conditions = {}
+    copy = "_copy"
+    while copy in df.columns:
+        copy = "_" + copy
+    upto, ranks, repeats = {}, {}, []
     for i, k in enumerate(inner):
         top, among, equal = tops[i], k - sizes[f"b{i}"], sizes[f"a{i}"]
         if among >= equal:
-            conditions[k] = x <= F.lit(top)
+            upto[k] = x <= F.lit(top)
+            continue
+        if top not in ranks:
+            ranks[top] = materialize(with_rank(table.where(F.col("x") == top).select("k"), "k"), "tied")
+        # A local table keeps the type of the key, which a literal of Python might not.
+        last = ranks[top].where(F.col("rank") == among).first()["k"]
+        mark = F.lit(last).cast(df.schema[key].dataType)
+        same = ranks[top].where(F.col("k").eqNullSafe(mark)).agg(F.min("rank").alias("first"), F.count("*").alias("n")).first()
+        need, tied = among - same["first"] + 1, (x == F.lit(top)) & own.eqNullSafe(mark)
+        earlier = (x < F.lit(top)) | ((x == F.lit(top)) & before_key(own, mark))
+        if need == same["n"]:
+            upto[k] = earlier | tied
         else:
-            last = with_rank(table.where(F.col("x") == top).select("k"), "k").where(F.col("rank") == among).first()["k"]
-            conditions[k] = (x < F.lit(top)) | ((x == F.lit(top)) & (F.col(key) <= F.lit(last)))
-    return [conditions[k] if k in conditions else F.lit(k >= n) for k in places]
+            if (top, last) not in [r[0] for r in repeats]:
+                repeats.append(((top, last), tied))
+            upto[k] = earlier | (tied & (F.col(copy) < F.lit(need)))
+    if repeats:
+        group = reduce(lambda rest, r: F.when(r[1][1], F.lit(r[0])).otherwise(rest), enumerate(repeats), F.lit(-1))
+        marked = df.withColumn("_cut", group)
+        others = marked.where("_cut < 0").drop("_cut").withColumn(copy, F.lit(0).cast("bigint"))
+        df = others.unionByName(number_copies(marked.where("_cut >= 0"), ["_cut"], copy).drop("_cut"))
+    conditions = [upto[k] if k in upto else F.lit(k >= n) for k in places]
+    return df.withColumn(name, reduce(add, [(~c).cast("int") for c in conditions], F.lit(0))).drop(copy)

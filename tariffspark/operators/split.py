@@ -4,34 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
-from tariffspark.functions.columns import HASH_RANGE, key_hash, key_text, key_uniform, micros
+from tariffspark.functions.columns import key_hash, key_text, key_uniform, micros
+from tariffspark.operators.order import before_key, number_copies
 from tariffspark.operators.quantiles import exact_quantiles
 from tariffspark.roles import CLAIM, CONTRACT, OPERATION_DATE
+from tariffspark.session import materialize
+
 
 def split_random(df: DataFrame, share: float, key: str = CONTRACT, stratum: str | None = CLAIM, seed: int = 42) -> DataFrame:
-    """``split`` column with an exact ``share`` of each stratum in valid: the smallest seeded hashes of the key.
+    """``split`` column with an exact ``share`` of each stratum in valid: the first rows by (seeded hash of the key, key).
 
-    The cut per stratum is an exact order statistic of the hash, so nothing is
-    sorted or ranked.
+    Counts per 16 leading bits of the hash find the cell of the cut, counts per
+    hash inside it the cut, counts per key the tie there, so no row is sorted.
+    Of rows that repeat the key at the cut just as many are taken as are missing.
+    A missing number counts as stratum 0, a missing text as a stratum of its own.
     """
-    hashed = df.withColumn("_h", key_hash(key_text(F.col(key)), f"{seed}:").cast("double"))
-    label = F.coalesce(F.col(stratum).cast("int"), F.lit(0)) if stratum else F.lit(0)
-    sizes = {r["s"]: r["n"] for r in hashed.groupBy(label.alias("s")).agg(F.count("*").alias("n")).collect()}
-    per = hashed.select(*[F.when(label == s, F.col("_h")).alias(f"h{s}") for s in sizes])
-    cuts = {}
-    for s, n in sizes.items():
-        k = int(n * share + 0.5)
-        cuts[s] = -1.0 if k == 0 else float(HASH_RANGE) if k >= n else None
-    open_ = {s: (int(n * share + 0.5) - 0.5) / (n - 1) for s, n in sizes.items() if cuts[s] is None}
-    for name, value in exact_quantiles(per, {f"h{s}": [q] for s, q in open_.items()}).items():
-        cuts[int(name[1:])] = value[0]
-    valid = F.lit(False)
-    for s, cut in cuts.items():
-        valid = valid | ((label == s) & (F.col("_h") <= F.lit(cut)))
-    return hashed.withColumn("split", F.when(valid, "valid").otherwise("train")).drop("_h")
+    kind = df.schema[stratum].dataType if stratum else None
+    if stratum is None:
+        label = F.lit("")
+    elif isinstance(kind, (NumericType, BooleanType)):
+        label = F.coalesce(F.col(stratum).cast("int"), F.lit(0)).cast("string")
+    else:
+        label = key_text(F.col(stratum))
+    hashed = key_hash(key_text(F.col(key)), f"{seed}:")
+    narrow = materialize(df.select(label.alias("_s"), hashed.alias("_h"), F.col(key).alias("_k")), "split-keys")
+
+    def cut(counts: DataFrame, by: str, target: Column) -> DataFrame:
+        """The value of ``by`` that the target falls on, how many rows are still wanted there, and how many there are."""
+        upto = F.sum("_n").over(Window.partitionBy("_s").orderBy(F.col(by).asc_nulls_first()))
+        placed = counts.withColumn("_wanted", target).withColumn("_upto", upto)
+        before = F.col("_upto") - F.col("_n")
+        return placed.where((before < F.col("_wanted")) & (F.col("_wanted") <= F.col("_upto"))).withColumn("_wanted", F.col("_wanted") - before)
+
+    size = F.sum("_n").over(Window.partitionBy("_s"))
+    cells = narrow.groupBy("_s", F.shiftright("_h", 16).alias("_hi")).agg(F.count("*").alias("_n"))
+    cell = cut(cells, "_hi", F.floor(size * F.lit(float(share)) + 0.5)).select("_s", "_hi", "_wanted")
+    inside = narrow.withColumn("_hi", F.shiftright("_h", 16)).join(cell, ["_s", "_hi"])
+    keys = materialize(inside.groupBy("_s", "_h", "_k").agg(F.count("*").alias("_n"), F.first("_wanted").alias("_cell")), "split-cell")
+    at = cut(keys.groupBy("_s", "_h").agg(F.sum("_n").alias("_n"), F.first("_cell").alias("_cell")), "_h", F.col("_cell"))
+    tied = keys.join(at.select("_s", "_h", F.col("_wanted").alias("_tied")), ["_s", "_h"]).select("_s", "_h", "_k", "_n", "_tied")
+    last = cut(tied, "_k", F.col("_tied"))
+    cuts = materialize(last.select(F.col("_s").alias("_cs"), F.col("_h").alias("_ch"), F.col("_k").alias("_ck"),
+                                   F.when(F.col("_wanted") < F.col("_n"), F.col("_wanted")).alias("_part")), "split-cuts")
+    met = df.withColumn("_s", label).withColumn("_h", hashed).join(cuts, F.col("_s") == F.col("_cs"), "left")
+    same = (F.col("_h") == F.col("_ch")) & F.col(key).eqNullSafe(F.col("_ck"))
+    earlier = (F.col("_h") < F.col("_ch")) | ((F.col("_h") == F.col("_ch")) & before_key(F.col(key), F.col("_ck")))
+    valid = earlier | (same & F.col("_part").isNull())
+    if cuts.where("_part is not null").limit(1).count():
+        divided = F.coalesce(same & F.col("_part").isNotNull(), F.lit(False))
+        copies = number_copies(met.where(divided), ["_s"], "_copy")
+        met = met.where(~divided).withColumn("_copy", F.lit(None).cast("bigint")).unionByName(copies)
+        valid = valid | F.coalesce(F.col("_copy") < F.col("_part"), F.lit(False))
+    return met.withColumn("split", F.when(valid, "valid").otherwise("train")).select(*[F.col(f"`{c}`") for c in df.columns if c != "split"], "split")
 
 
 def _checked(df: DataFrame) -> DataFrame:

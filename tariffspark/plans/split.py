@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tariffspark.operators import split as O
+from tariffspark.operators.order import with_part
 from tariffspark.plans.common import oracle
 from tariffspark.sources import portfolio as S
 
@@ -35,6 +36,30 @@ def _labels(df):
 register("split_random", lambda s, d: _labels(O.split_random(S.policies(s, d), 0.2)), oracle("policy", f"""
 SELECT contract_number, CASE WHEN row_number() OVER (PARTITION BY is_claim ORDER BY {hash_sql('contract_number', '42:')}, contract_number)
   <= floor(count(*) OVER (PARTITION BY is_claim) * 0.2::DOUBLE + 0.5) THEN 'valid' ELSE 'train' END AS split FROM policy"""))
+
+
+def _repeats(s, d):
+    """Keys that thousands of rows share: which of equal rows lies before the cut is open, their number is not."""
+    rows = O.split_random(S.driver_rows(s, d).select("mark", "region_name"), 0.2, "mark", "region_name")
+    return rows.groupBy("mark", "region_name", "split").agg(F.count("*").alias("n"))
+
+
+register("split_random_repeats", _repeats, oracle("driver_rows", f"""
+SELECT mark, region_name, split, count(*) AS n FROM (SELECT mark, region_name, CASE WHEN row_number() OVER (PARTITION BY region_name
+  ORDER BY {hash_sql('mark', '42:')}, mark) <= floor(count(*) OVER (PARTITION BY region_name) * 0.2::DOUBLE + 0.5) THEN 'valid' ELSE 'train' END AS split
+FROM driver_rows) GROUP BY ALL"""))
+
+
+def _places(s, d):
+    rows = S.driver_rows(s, d).select(F.coalesce("car_age", F.lit(0)).alias("car_age"), "mark")
+    n = rows.count()
+    return with_part(rows, F.col("car_age"), "mark", [n // 7, n // 2, 9 * n // 10], "part").groupBy("car_age", "mark", "part").agg(F.count("*").alias("n"))
+
+
+register("order_places_repeats", _places, oracle("driver_rows", """
+SELECT car_age, mark, (i > n // 7)::INTEGER + (i > n // 2)::INTEGER + (i > 9 * n // 10)::INTEGER AS part, count(*) AS n
+FROM (SELECT car_age, mark, row_number() OVER (ORDER BY car_age, mark) AS i, count(*) OVER () AS n
+      FROM (SELECT coalesce(car_age, 0) AS car_age, mark FROM driver_rows)) GROUP BY ALL"""))
 register("split_group", lambda s, d: O.split_group(S.policies(s, d), 0.3, "ownerkato").select("contract_number", "ownerkato", "split"), oracle("policy", f"""
 SELECT contract_number, ownerkato, CASE WHEN {uniform_sql('ownerkato', '42:')} < 0.3 THEN 'valid' ELSE 'train' END AS split FROM policy"""))
 register("split_group_time", lambda s, d: _labels(O.split_group_time(S.policies(s, d), 0.2, CUTOFF)[0]), oracle("policy", f"""

@@ -1,6 +1,7 @@
 """Global order, exact quantiles and order boundaries, with ties and hot values."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tariffspark.operators import order as O
 from tariffspark.operators.quantiles import exact_quantiles
+from tariffspark.operators.split import split_random
 
 
 @pytest.fixture(scope="module")
@@ -31,12 +33,39 @@ def test_rank_does_not_depend_on_the_partitioning(values):
     assert one == seven
 
 
-def test_first_rows_hold_exactly_k_rows(values):
+def test_parts_hold_exactly_k_rows(values):
     rows, df = values
     places = [0, 1, 17, 1200, 1500, 3999, 4000]
     ordered = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
-    for k, condition in zip(places, O.first_rows_of(df, F.col("hot"), "key", places)):
-        assert sorted(r["key"] for r in df.where(condition).select("key").collect()) == sorted(ordered[:k])
+    got = {r["key"]: r["part"] for r in O.with_part(df, F.col("hot"), "key", places, "part").collect()}
+    assert got == {key: sum(k <= i for k in places) for i, key in enumerate(ordered)}
+
+
+def test_parts_are_exact_where_value_and_key_repeat(spark):
+    # Two thirds of the rows are one repeated row; others repeat a key, or have none.
+    rows = [(1.0, "a")] * 20 + [(1.0, None)] * 7 + [(2.0, "same")] * 130 + [(2.0, "zzz")] * 3 + [(3.0, None)] * 40
+    df = spark.createDataFrame(rows, "x double, key string").withColumn("_copy", F.lit("kept")).repartition(6)
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    places = [3, 10, 27, 30, 50, 100, 157, 158, 180]
+    expected = Counter((*row, sum(k <= i for k in places)) for i, row in enumerate(ordered))
+    out = O.with_part(df, F.col("x"), "key", places, "part")
+    assert out.columns == ["x", "key", "_copy", "part"]
+    assert Counter((r["x"], r["key"], r["part"]) for r in out.collect()) == expected
+    assert out.where("_copy = 'kept'").count() == len(rows)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 1.0])
+def test_random_split_is_exact_with_repeats_text_strata_and_nulls(spark, share):
+    rows = [("hot", "s")] * 150 + [("hot", None)] * 31 + [(f"k{i}", "s" if i % 2 else None) for i in range(40)] + [(None, "s")] * 9 + [("one", "t")]
+    out = split_random(spark.createDataFrame(rows, "key string, stratum string").repartition(5), share, "key", "stratum")
+    want = {s: int(n * share + 0.5) for s, n in Counter(r[1] for r in rows).items()}
+    got = out.collect()
+    assert Counter((r["key"], r["stratum"]) for r in got) == Counter(rows)
+    assert {s: sum(r["split"] == "valid" for r in got if r["stratum"] == s) for s in want} == want
+
+
+def test_random_split_of_an_empty_table(spark):
+    assert split_random(spark.createDataFrame([], "key string, stratum string"), 0.3, "key", "stratum").collect() == []
 
 
 QS = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.9, 0.99, 1.0]
