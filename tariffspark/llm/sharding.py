@@ -102,10 +102,11 @@ def hilbert_shards(docs: DataFrame, dims: list[str], shards: int = 16, law: str
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"unknown law {law!r}")
-    out, size, index, key, place, number, slot = free_names(docs.columns, "placed", "__size", "__hilbert", "__text", "__place", "__shard", "__slot")
+    out, size, index, key, place, number, slot, spot = free_names(
+        docs.columns, "placed", "__size", "__hilbert", "__text", "__place", "__shard", "__slot", "__point")
     sized = docs.withColumn(size, F.octet_length(whole(F.col(text_column))).cast("long") + 1)
     point = F.array(*cells(docs, dims, bits))
-    rows = sized.withColumn("__point", point).withColumn(index, hilbert_index(F.col("__point"), bits, len(dims))).drop("__point")
+    rows = sized.withColumn(spot, point).withColumn(index, hilbert_index(F.col(spot), bits, len(dims))).drop(spot)
     keep = docs.columns if keep is None else keep
     carried = [F.col(f"`{c}`") for c in dict.fromkeys([*keep, id_column])]
     rows = rows.select(*carried, size, index, text_key(F.col(text_column)).alias(key))
@@ -124,17 +125,18 @@ def hilbert_shards(docs: DataFrame, dims: list[str], shards: int = 16, law: str
 def _by_bytes(placed: DataFrame, size: str, place: str, number: str, slot: str, shards: int, n: int) -> DataFrame:
     """Cumulative bytes from blocks of places: sums per block give offsets, a window finishes inside each block."""
     block = max(1, min(100_000, int(n ** 0.5) + 1))
-    rows = materialize(placed.withColumn("__block", F.expr(f"`{place}` div {block}")), "hilbert-bytes")
-    sums = rows.groupBy("__block").agg(F.sum(size).alias("__sum"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("__from", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    group, total_of, start, cum, first = free_names(placed.columns, "__block", "__sum", "__from", "__cum", "__first")
+    rows = materialize(placed.withColumn(group, F.expr(f"`{place}` div {block}")), "hilbert-bytes")
+    sums = rows.groupBy(group).agg(F.sum(size).alias(total_of))
+    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn(start, F.coalesce(F.sum(total_of).over(before), F.lit(0))).drop(total_of)
     total = max(1, rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
-    inside = Window.partitionBy("__block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    cum = rows.join(offsets, "__block").withColumn("__cum", F.col("__from") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    shard = F.expr(f"cast(`__cum` as decimal(38,0)) * {shards} div {total}").cast("int")
-    done = materialize(cum.withColumn(number, shard).drop("__block", "__cum", "__from"), "hilbert-bytes")
-    firsts = done.groupBy(number).agg(F.min(place).alias("__first"))
-    return done.join(F.broadcast(firsts), number).withColumn(slot, F.col(place) - F.col("__first"))
+    inside = Window.partitionBy(group).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.join(offsets, group).withColumn(cum, F.col(start) + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    shard = F.expr(f"cast(`{cum}` as decimal(38,0)) * {shards} div {total}").cast("int")
+    done = materialize(summed.withColumn(number, shard).drop(group, cum, start), "hilbert-bytes")
+    firsts = done.groupBy(number).agg(F.min(place).alias(first))
+    return done.join(F.broadcast(firsts), number).withColumn(slot, F.col(place) - F.col(first)).drop(first)
 
 
 def write_shards(placed: DataFrame, path: str, struct: str = "placed") -> None:

@@ -31,25 +31,52 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(whole(url), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def without_dots(path: Column) -> Column:
+    """``.`` and ``..`` segments taken out of an absolute path; ``..`` never climbs above the root."""
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(F.split(path, "/", -1), start, lambda acc, part: F.when(part == ".", acc).when(
+        part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(part))))
+    closing = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(kept, "/"), closing)).otherwise(path)
+
+
 def canonical(url: Column) -> Column:
-    """Host, path and query without fragment, tracking parameters and closing slash; null without ``://``.
+    """Host, path and query without fragment, dot segments, default port, tracking parameters and closing slash; null without ``://``.
 
     The scheme is left out: a site answers for both.
     """
     rest = F.regexp_extract(whole(url), r"(?s)^.*?://[^/?#]*[^?#]*\??([^#]*)", 1)
     query = F.array_join(F.array_sort(F.filter(F.split(rest, "&"), lambda p: (p != "") & ~p.rlike("^(utm_[a-z]+|gclid|fbclid)="))), "&")
-    place = F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""))
+    place = F.concat(F.regexp_replace(host_of(url), ":(80|443)?$", ""), F.regexp_replace(without_dots(path_of(url)), "/+$", ""))
     return F.when(F.instr(whole(url), "://") > 0, F.when(query == "", place).otherwise(F.concat(place, F.lit("?"), query)))
 
 
 def resolved(link: Column, url: Column) -> Column:
-    """``link`` as seen from ``url``: absolute, without scheme, from the root, or beside the page."""
+    """``link`` as seen from ``url``, as RFC 3986 resolves references, without its fragment.
+
+    Null for a link that is empty or only a fragment (the page itself), for one
+    of another scheme than ``x://`` and for a relative one from a URL without ``://``.
+    """
     scheme = F.regexp_extract(whole(url), r"(?s)^(.*?)://", 1)
     root = F.regexp_extract(whole(url), r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(whole(url), r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
-    folder = F.when(folder == root, F.concat(root, F.lit("/"))).otherwise(folder)
-    return (F.when(link == "", None).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(folder, link)))
+    page = path_of(url)
+    folder = F.when(page == "", F.lit("/")).otherwise(F.regexp_extract(page, r"(?s)^(.*/)", 1))
+    reference = F.regexp_extract(link, r"(?s)^([^#]*)", 1)
+    own, query = F.regexp_extract(reference, r"(?s)^([^?]*)", 1), F.regexp_extract(reference, r"(?s)^[^?]*(.*)$", 1)
+    absolute = F.when(reference.startswith("//"), F.concat(scheme, F.lit(":"), reference)).otherwise(reference)
+    site, place = F.regexp_extract(absolute, r"(?s)^(.*?://[^/?]*)", 1), F.regexp_extract(absolute, r"(?s)^.*?://[^/?]*([^?]*)", 1)
+    relative = (F.when(own == "", page).when(own.startswith("/"), without_dots(own)).otherwise(without_dots(F.concat(folder, own))))
+    has_scheme = reference.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    return (F.when((reference == "") | (has_scheme & ~reference.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")), None)
+            .when(has_scheme | (reference.startswith("//") & (root != "")), F.concat(site, without_dots(place), query))
+            .when(root != "", F.concat(root, relative, query)))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, quoted or not, with ``&`` decoded; empty if absent."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    return F.trim(F.regexp_replace(value, r"(?i)&(?:amp|#0*38|#x0*26);", "&"), F.lit(" \t\n\f\r"))
 
 
 def page_links(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -57,11 +84,11 @@ def page_links(pages: DataFrame, url_column: str = "url", html_column: str = "ht
     html = F.regexp_replace(whole(F.col(html_column)), r"(?is)<!--.*?-->|<script\b.*?</script\s*>", " ")
     marks = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tags = pages.select(F.col(url_column).alias("source"), F.explode(marks).alias("tag"))
-    link = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    is_canonical = F.col("tag").rlike(r"""(?is)^<link\b.*\brel\s*=\s*["']?\s*canonical\b""")
-    is_refresh = F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b""")
-    target = F.when(is_canonical, link).when(is_refresh, refresh)
+    tag = F.col("tag")
+    refresh = F.regexp_extract(attribute(tag, "content"), r"""(?is)^[^"']*?\burl\s*=\s*["']?\s*([^"'\s]+)""", 1)
+    is_canonical = tag.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical")
+    is_refresh = tag.rlike("(?i)^<meta") & (F.lower(attribute(tag, "http-equiv")) == "refresh")
+    target = F.when(is_canonical, attribute(tag, "href")).when(is_refresh, refresh)
     return tags.select("source", resolved(target, F.col("source")).alias("target")).where("target is not null and source is not null")
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urldefrag, urljoin
 
 import duckdb
 import pytest
@@ -16,7 +17,8 @@ from tariffspark.llm.components import connected_components
 
 TABLES = "documents embeddings pages benchmark labels conversations"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ["mix", "quality", "found", "placed", "toxicity", "line_dedup", "judged", "__text", "__key", "__counts", "__mark"]
+CLASHES = ["mix", "quality", "found", "placed", "toxicity", "line_dedup", "judged", "__text", "__key", "__counts", "__mark",
+           "__point", "__block", "__sum", "__from", "__cum", "__first"]
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
 ODD = [
     (1, "Some words that stand here, and a line that many share\nSHARED line of more than twenty letters ", "en", "a", 10),
@@ -243,6 +245,33 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0), queries.RULES).count() == 0
 
 
+LINKS = ["c.html", "./c", "../c.html", "../../../c", "../", "..", ".", "/x/../y/./z", "?p=2", "c?p=/../2", "/", "c#top", "/..a/.b"]
+ABSOLUTE = {"//o.net/a/../b": "{}://o.net/b", "https://o.net:443/a/./b?x=/../1#f": "https://o.net:443/a/b?x=/../1", "HTTP://o.net": "HTTP://o.net"}
+
+
+def test_links_resolve_as_the_standard_says(spark):
+    bases = ["http://e.com", "http://e.com/", "http://e.com/a/b/page.html?q=1#f", "https://e.com/a/b/"]
+    df = spark.createDataFrame([(u, x) for u in bases for x in [*LINKS, *ABSOLUTE]], "url string, link string")
+    for r in df.withColumn("got", urls.resolved(F.col("link"), F.col("url"))).collect():
+        want = ABSOLUTE[r.link].format(r.url.split(":")[0]) if r.link in ABSOLUTE else urldefrag(urljoin(r.url, r.link)).url
+        assert r.got == want, (r.url, r.link)
+    nowhere = spark.createDataFrame([("http://e.com/a", x) for x in ("", "#top", "mailto:a@b.c", "javascript:f()")] + [("no scheme", "c"), ("no scheme", "//o.net/")], "url string, link string")
+    assert {r.got for r in nowhere.select(urls.resolved(F.col("link"), F.col("url")).alias("got")).collect()} == {None}
+
+
+def test_aliases_of_odd_links(spark):
+    """Relative links, token lists, entities and ports reach the page they name; a fragment links nowhere."""
+    pages = spark.createDataFrame([
+        (1, "http://a.net/fr/", ""), (2, "http://a.net/es2/d/p", '<link rel="canonical" href="../../fr/">'), (3, "http://a.net/es2/q", '<link rel="canonical" href="#top">'),
+        (4, "http://o.org/x", "<link data-href='//n.org/' href='http://a.net:80/fr/' rel='alternate Canonical'>"), (5, "http://b.net/fr/l?a=1&b=2", ""),
+        (6, "http://o.org/y", '<link rel=canonical href="http://b.net/fr/l?b=2&amp;a=1">'), (7, "http://a.net/es2/", ""), (8, "http://o.org/z?p=1", '<link rel=canonical href="?p=2">'),
+        (9, "http://o.org/z?p=2", "<meta content='0; url=\"http://a.net/x/../fr\"' http-equiv='Refresh'>"), (10, "http://o.org/w", '<link rel="canonicals" href="http://a.net/fr/">'),
+        (11, "http://o.org/long", "<p>" + "word " * 200_000 + '</p><link rel="canonical" href="/y">'),
+    ], "page_id long, url string, html string")
+    got = {r.page_id: r.judged.verdict for r in urls.judge_urls(pages, queries.RULES).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 4, 5, 6, 8, 9, 11} and len(got) == 11
+
+
 def test_permutation_and_its_inverse():
     for n in (1, 2, 3, 10, 1000, 4097):
         there = training_order.permutation(n, 7)
