@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tariffspark.models import bench as B
 from tariffspark.models import calibrate as C
 from tariffspark.models import freqsev as M
+from tariffspark.models import matrix as X
 from tariffspark.operators import price_search as Z
 from tariffspark.operators import pricing as R
 from tariffspark.operators import score as K
@@ -16,8 +19,9 @@ from tariffspark.plans.common import oracle, rounded, scalar_price_sql, sfx
 from tariffspark.plans.price import DEFAULT_ALPHA, DEFAULT_BETA
 from tariffspark.plans.split import CUTOFF
 from tariffspark.roles import PREDICTION
-from tariffspark.session import materialize
+from tariffspark.session import materialize, shared_folder
 from tariffspark.sources import portfolio as S
+from tariffspark.streaming import reprice as T
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,6 +92,22 @@ SELECT contract_number, {sfx('0.5::DOUBLE * p + 0.3::DOUBLE * pb + 0.2::DOUBLE *
   {sfx('0.5::DOUBLE * p * v + 0.3::DOUBLE * pb * v * 1.2::DOUBLE + 0.2::DOUBLE * p * p * premium * 4.0::DOUBLE', 2)} AS expected_loss
 FROM (SELECT contract_number, premium, p_claim AS p, p_claim * 0.5::DOUBLE + 0.05::DOUBLE AS pb, expected_severity AS v FROM scored)"""))
 
+# Entries of the model matrix, other than zero.
+_NUMBERS = ["premium", "driver_count", "engine_power_mean", "car_age_mean", "SCORE_1_1", "SCORE_4_1", "SCORE_11_1"]
+_CATEGORIES = ["region_name", "vehicle_type_name"]
+
+
+def _matrix(s, d):
+    schema = X.FeatureSchema(_NUMBERS, _CATEGORIES)
+    aligned = materialize(X.align(S.policies(s, d), schema), "aligned")
+    return rounded(X.matrix_entries(aligned, X.fit_matrix(aligned, schema), "contract_number"), 7, "value").where("value <> 0")
+
+
+register("model_matrix", _matrix, oracle("policy", "SELECT * FROM (" + "\nUNION ALL ".join(
+    [f"SELECT contract_number, '{c}' AS slot, {sfx('v / stddev_pop(v) OVER ()', 7)} AS value FROM (SELECT contract_number, "
+     f"coalesce({c}, (SELECT quantile_cont({c}::DOUBLE, 0.5) FROM policy))::DOUBLE AS v FROM policy)" for c in _NUMBERS]
+    + [f"SELECT contract_number, '{c}=' || coalesce({c}, 'missing') AS slot, 1.0::DOUBLE AS value FROM policy" for c in _CATEGORIES]) + ") WHERE value <> 0"))
+
 # -- fitted models -------------------------------------------------------------------------------
 
 
@@ -217,8 +237,6 @@ register("final_refit_price", _refit)
 
 def _score(s, d):
     """Saved and loaded again before it scores."""
-    from tariffspark.session import shared_folder
-
     policy, state, train, valid = _splits(s, d)
     run = f"{shared_folder(s)}/run-{s.sparkContext.applicationId}-{valid.count()}"
     state.save(s, f"{run}/preprocessor")
@@ -253,3 +271,19 @@ SELECT contract_number, {sfx(scalar_price_sql('expected_loss', '110000.0::DOUBLE
   {sfx(scalar_price_sql('expected_loss', '110000.0::DOUBLE', '0.5', '0.95'), 3)} AS manual_price,
   {sfx(scalar_price_sql('expected_loss', _bucket(['110000.0::DOUBLE', _own, '110000.0::DOUBLE']), _bucket(['0.1', '0.25', '0.3']), _bucket(['0.9', '0.95', '1.05'])), 3)} AS bucket_price
 FROM scored"""))
+
+
+def _stream(s, d):
+    """Half of the records is priced and the stream ends; the rest arrives, and a new stream resumes from the checkpoint."""
+    place = f"{shared_folder(s)}/reprice-{uuid.uuid4().hex}"
+    records = materialize(S.scored_policies(s, d).select("contract_number", "premium", "expected_loss"), "records")
+    late = F.pmod(F.xxhash64("contract_number"), F.lit(2)) == 1
+    for part in (records.where(~late), records.where(late)):
+        part.write.mode("append").parquet(f"{place}/in")
+        priced = T.reprice_stream(T.read_records(s, f"{place}/in", records.schema, 16), TARIFF)
+        T.write_prices(priced, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return rounded(s.read.parquet(f"{place}/out").select("contract_number", "new_premium"), 3, "new_premium")
+
+
+register("stream_reprice", _stream, oracle("scored", f"""
+SELECT contract_number, {sfx(scalar_price_sql('expected_loss', '110000.0::DOUBLE', '0.25', '0.95'), 3)} AS new_premium FROM scored"""))

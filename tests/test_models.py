@@ -10,7 +10,7 @@ from tariffspark.models import experiment as X
 from tariffspark.models import freqsev as M
 from tariffspark.models.isotonic import IsotonicCurve
 from tariffspark.models.oof import out_of_fold
-from tariffspark.models.matrix import align, fit_matrix, infer_schema
+from tariffspark.models.matrix import FeatureSchema, align, fit_matrix, infer_schema, matrix_entries, matrix_slots
 from tariffspark.operators import metrics
 from tariffspark.operators import score as K
 from tariffspark.operators.pricing import PricingPolicy
@@ -74,6 +74,20 @@ def test_wide_categories_are_hashed(planted):
     assert any("Hasher" in type(s).__name__ for s in fit_matrix(align(planted, schema), schema, hashed=["region_name"]).stages)
 
 
+def test_matrix_has_exact_medians_and_no_place_for_unknown_categories(spark):
+    schema = FeatureSchema(["a", "gone", "same"], ["c"])
+    train = align(spark.createDataFrame([(i, None if i == 3 else float(i * i), None, 5.0, "xy"[i % 2] if i else None) for i in range(9)],
+                                        "k int, a double, gone double, same double, c string"), schema)
+    fitted = fit_matrix(train, schema)
+    assert matrix_slots(fitted)[:2] == ["a", "same"] and set(matrix_slots(fitted)[2:]) == {"c=x", "c=y", "c=missing"}
+    a = [float(i * i) if i != 3 else float(np.median([0, 1, 4, 16, 25, 36, 49, 64])) for i in range(9)]
+    got = {(r["k"], r["slot"]): r["value"] for r in matrix_entries(train, fitted, "k").collect()}
+    want = {(i, "a"): v / np.std(a) for i, v in enumerate(a) if v} | {(i, "c=" + ("xy"[i % 2] if i else "missing")): 1.0 for i in range(9)}
+    assert got == pytest.approx(want)
+    unseen = align(spark.createDataFrame([(1, 4.0, "new")], "k int, a double, c string"), schema)
+    assert [r["slot"] for r in matrix_entries(unseen, fitted, "k").collect()] == ["a"]
+
+
 def test_out_of_fold_rows_are_complete_and_resume(halves, tmp_path):
     train, _ = halves
     path = str(tmp_path / "folds")
