@@ -46,7 +46,10 @@ def column_fingerprints(df: DataFrame, columns: Sequence[str], key: str) -> Data
 
 
 def duplicate_columns(df: DataFrame, columns: Sequence[str], key: str, protected: Sequence[str] = ()) -> list[dict]:
-    """Columns equal to another one; the protected or alphabetically first of a group stays."""
+    """Columns equal to another one; the protected or alphabetically first of a group stays.
+
+    Fingerprints only propose: a column goes if no row differs from the one that stays.
+    """
     groups: dict[object, list[str]] = {}
     for r in column_fingerprints(df, columns, key).collect():
         groups.setdefault(r["fingerprint"], []).append(r["feature"])
@@ -54,7 +57,11 @@ def duplicate_columns(df: DataFrame, columns: Sequence[str], key: str, protected
     for group in groups.values():
         keeper, *rest = sorted(group, key=lambda c: (c not in protected, c))
         out += [{"feature": c, "kept": keeper, "reason": "exact_duplicate"} for c in rest if c not in protected]
-    return sorted(out, key=lambda d: d["feature"])
+    if not out:
+        return []
+    number = lambda c: F.col(c).cast("double") + F.lit(0.0)
+    differ = df.agg(*[F.count_if(~number(d["feature"]).eqNullSafe(number(d["kept"]))) for d in out]).first()
+    return sorted((d for d, n in zip(out, differ) if n == 0), key=lambda d: d["feature"])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]):

@@ -186,12 +186,12 @@ register("price_refine", _refine, oracle("scored", f"""
 SELECT {sfx('alpha', 7)} AS alpha, {sfx('beta', 7)} AS beta, {', '.join(f'{sfx(c, 7)} AS {c}' for c in KPIS)}, in_target FROM best2""", *_refine_ctes()))
 
 # -- one tariff per bucket -------------------------------------------------------------------------
-B_ALPHA, B_BETA = [0.0, 0.1, 0.2, 0.3, 0.4], [0.88, 0.92, 0.96, 1.0, 1.04]
+B_ALPHA, B_BETA, PASSES = [0.0, 0.1, 0.2, 0.3, 0.4], [0.88, 0.92, 0.96, 1.0, 1.04], 2
 
 
 def _stratified_search(s, d):
     scored = materialize(S.scored_policies(s, d).select(*PRICING_COLUMNS), "scored")
-    policy = Z.search_stratified(scored, B_ALPHA, B_BETA, config=Z.StratifiedSearch(BUCKETS, 50, 1, True))
+    policy = Z.search_stratified(scored, B_ALPHA, B_BETA, config=Z.StratifiedSearch(BUCKETS, 50, PASSES, True))
     params = policy.bucket_params or [{"bucket_id": -1, "alpha": policy.alpha, "beta": policy.beta}]
     rows = [(policy.kind, p["bucket_id"], p["alpha"], p["beta"]) for p in params]
     return s.createDataFrame(rows, "kind string, bucket_id int, alpha double, beta double")
@@ -217,23 +217,24 @@ FROM (SELECT *, np * {share} AS net, np <= premium AS k FROM (SELECT *, {new} AS
     total = ", ".join(f"sum({c}) AS {c}" for c in sums)
     ctes.append(f"start AS (SELECT g AS g0, g AS g1, g AS g2, k1, k2, k3 FROM ({keyed(f'(SELECT g, {total} FROM st GROUP BY g)', 'g')}) ORDER BY k1 DESC, k2 DESC, k3 DESC, g LIMIT 1)")
     last = "start"
-    for b in range(BUCKETS):
+    for step in range(PASSES * BUCKETS):
+        b = step % BUCKETS
         picks = ", ".join((f"x.g AS g{o}" if o == b else f"c.g{o}") for o in range(BUCKETS))
         add = ", ".join(f"x.{c} + " + " + ".join(f"s{o}.{c}" for o in range(BUCKETS) if o != b) + f" AS {c}" for c in sums)
         mean = {o: "x.mm" if o == b else f"s{o}.mm" for o in range(BUCKETS)}
         joins = " ".join(f"JOIN st s{o} ON s{o}.b = {o} AND s{o}.g = c.g{o}" for o in range(BUCKETS) if o != b)
         mono = " AND ".join(f"{mean[o + 1]} - {mean[o]} >= -1e-9" for o in range(BUCKETS - 1))
         rows = f"(SELECT {picks}, x.g AS pick, {add} FROM {last} c JOIN st x ON x.b = {b} {joins} WHERE {mono})"
-        ctes.append(f"""step{b} AS MATERIALIZED (SELECT g0, g1, g2, k1, k2, k3 FROM (SELECT *, -1 AS pick FROM {last} UNION ALL BY NAME SELECT * FROM ({keyed(rows, 'g0, g1, g2, pick')}))
+        ctes.append(f"""step{step} AS MATERIALIZED (SELECT g0, g1, g2, k1, k2, k3 FROM (SELECT *, -1 AS pick FROM {last} UNION ALL BY NAME SELECT * FROM ({keyed(rows, 'g0, g1, g2, pick')}))
 ORDER BY k1 DESC, k2 DESC, k3 DESC, pick LIMIT 1)""")
-        last = f"step{b}"
+        last = f"step{step}"
     means = [f"(SELECT mm FROM st WHERE b = {o} AND g = (SELECT g0 FROM start))" for o in range(BUCKETS)]
     ctes.append(f"usable AS (SELECT {' AND '.join(f'{means[o + 1]} - {means[o]} >= -1e-9' for o in range(BUCKETS - 1))} AS ok)")
     return ctes
 
 
 register("price_stratified_search", _stratified_search, oracle("scored", "\nUNION ALL ".join(
-    f"SELECT 'stratified' AS kind, {b}::INTEGER AS bucket_id, alpha, beta FROM step{BUCKETS - 1} JOIN grid ON ordinal = g{b} WHERE (SELECT ok FROM usable)"
+    f"SELECT 'stratified' AS kind, {b}::INTEGER AS bucket_id, alpha, beta FROM step{PASSES * BUCKETS - 1} JOIN grid ON ordinal = g{b} WHERE (SELECT ok FROM usable)"
     for b in range(BUCKETS)) + "\nUNION ALL SELECT 'scalar', -1, alpha, beta FROM start JOIN grid ON ordinal = g0 WHERE NOT (SELECT ok FROM usable)", *_search_ctes()))
 
 # -- blends --------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from datetime import UTC, datetime
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,7 +80,9 @@ def read_feature_list(spark: SparkSession, path: str | None) -> set[str]:
         return set()
     try:
         listed = spark.read.option("header", True).csv(path)
-    except Exception:  # noqa: BLE001 - the list is optional
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return set()
     if "feature" not in listed.columns:
         return set()

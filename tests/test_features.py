@@ -177,9 +177,14 @@ def test_lists_steer_the_columns(spark):
 
 
 def test_interactions_without_psi_say_why(spark):
-    from tariffspark.operators import prune
-
     df = spark.sql("SELECT id AS contract_number, timestamp_ntz'2022-01-01' + make_dt_interval(CAST(id AS INT)) AS operation_date, CAST(id % 7 AS DOUBLE) AS a, "
                    "CAST(id * id % 11 AS DOUBLE) AS ab, CAST(id % 2 AS INT) AS is_claim, CAST(id AS DOUBLE) AS claim_amount FROM range(100)")
     rows = prune.prune_features(df, ["a", "ab"], ["ab"], date="operation_date").decisions
     assert [d["note"] for d in rows if d["feature"] == "ab"] == ["too few rows for PSI: 100, minimum 1000"]
+
+
+def test_equal_fingerprints_of_different_columns_drop_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1.0, 1.0, 2.0), (2, None, None, None), (3, 5.0, 5.0, 5.0)], "k int, a double, b double, c double")
+    same = spark.createDataFrame([(c, 1) for c in "abc"], "feature string, fingerprint int")
+    monkeypatch.setattr(P, "column_fingerprints", lambda *_: same)
+    assert [(d["feature"], d["kept"]) for d in P.duplicate_columns(df, ["a", "b", "c"], "k")] == [("b", "a")]
