@@ -7,6 +7,7 @@ import math
 import time
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -207,7 +208,8 @@ def side_by_side(spark: SparkSession, jobs: Sequence[Callable[[], Any]], at_once
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
 
     with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(jobs)))) as pool:
-        return list(pool.map(lambda x: pooled(*x), enumerate(jobs)))
+        # Every thread takes the caller's scratch folder along.
+        return [f.result() for f in [pool.submit(copy_context().run, pooled, place, job) for place, job in enumerate(jobs)]]
 
 
 def sweep(train: DataFrame, valid: DataFrame, candidate: str, trials: Sequence[dict[str, Any]], config: BenchmarkConfig, price: PriceConfig,

@@ -33,8 +33,9 @@ from tariffspark.operators.features import EXTENDED_INTERACTIONS
 from tariffspark.operators.policy import aggregate_to_policy, check_submission, submission
 from tariffspark.operators.preprocess import PreprocessConfig, fit_preprocessor, require_columns, train_matrix, transform
 from tariffspark.roles import AMOUNT, CLAIM, CONTRACT, OPERATION_DATE, ROW_KEY, TARGETS, UNIQUE_ID
-from tariffspark.session import materialize
-from tariffspark.sources.tables import append_leaderboard, read_feature_list, write_json, write_table
+from tariffspark.session import materialize, scratch
+from tariffspark.sources.runs import Attempt
+from tariffspark.sources.tables import read_feature_list, write_table
 
 
 @dataclass
@@ -157,9 +158,18 @@ def with_row_key(df: DataFrame, key: str = ROW_KEY) -> DataFrame:
 
 def run_experiment(spark: SparkSession, rows: DataFrame, cfg: RunConfig, out: str, test_rows: DataFrame | None = None,
                    run_id: str | None = None) -> dict[str, Any]:
-    """Validate, aggregate, split, prepare, benchmark, diagnose, price the test rows; everything is written under ``out``."""
-    run_id = run_id or datetime.now(UTC).strftime("%Y%m%d_%H%M%S")
-    run = f"{out}/runs/{run_id}"
+    """Validate, aggregate, split, prepare, benchmark, diagnose, price the test rows; everything is written under ``out``.
+
+    The run is visible once all of it is written; its intermediate tables are deleted at the end.
+    """
+    attempt = Attempt(spark, out, run_id or datetime.now(UTC).strftime("%Y%m%d_%H%M%S"))
+    with scratch(spark, "experiment"):
+        return attempt.publish(_experiment(spark, rows, cfg, attempt, test_rows))
+
+
+def _experiment(spark: SparkSession, rows: DataFrame, cfg: RunConfig, attempt: Attempt, test_rows: DataFrame | None) -> dict[str, Any]:
+    """The leaderboard row of a run whose tables were written to ``attempt``."""
+    run = attempt.path
     rows = with_row_key(rows, cfg.order_key)
     Q.require_valid(rows)
     policy = materialize(aggregate_to_policy(rows, cfg.preprocess.grain, cfg.order_key), "policy")
@@ -171,56 +181,61 @@ def run_experiment(spark: SparkSession, rows: DataFrame, cfg: RunConfig, out: st
     require_columns(train_x, [CLAIM, AMOUNT])
     full_x = transform(policy, state)
     for name, table in (("full", full_x), ("train", train_x), ("valid", valid_x)):
-        write_table(table, f"{run}/preprocessed/{name}")
+        attempt.table(table, f"preprocessed/{name}")
     state.save(spark, f"{run}/preprocessor")
-    write_table(Q.quality_report({"raw": rows, "policy": policy, "processed": full_x}), f"{run}/quality_report")
-    write_json(spark, f"{run}/split", {"scheme": scheme, "features": state.features, "pruning": state.pruning})
+    attempt.table(Q.quality_report({"raw": rows, "policy": policy, "processed": full_x}), "quality_report")
+    attempt.state({"scheme": scheme, "features": state.features, "pruning": state.pruning}, "split")
 
     result: Benchmark = run_benchmark(train_x, valid_x, cfg.benchmark, cfg.price)
     winner = result.winner
-    write_table(result.table, f"{run}/benchmark")
+    attempt.table(result.table, "benchmark")
     winner.model.save(spark, f"{run}/model")
-    write_json(spark, f"{run}/pricing_policy", json.loads(winner.policy.to_json()))
+    attempt.state(json.loads(winner.policy.to_json()), "pricing_policy")
     grain = cfg.preprocess.grain
     losses = winner.predictions.select(F.col(grain).alias("_grain"), "p_claim", "expected_severity", "expected_loss")
     predicted = valid.join(losses, F.col(grain).eqNullSafe(F.col("_grain"))).drop("_grain")
     priced = materialize(R.price_delta(R.apply_policy(predicted, winner.policy)), "priced")
-    write_table(priced, f"{run}/valid_predictions")
+    attempt.table(priced, "valid_predictions")
 
     if cfg.diagnostics:
-        write_table(D.double_lift(priced, cfg.deciles, cfg.preprocess.grain), f"{run}/double_lift")
+        attempt.table(D.double_lift(priced, cfg.deciles, cfg.preprocess.grain), "double_lift")
         risk = materialize(D.ae_by_risk(priced, cfg.deciles, cfg.preprocess.grain), "ae")
-        write_table(risk, f"{run}/ae_by_risk")
-        write_table(D.worst_ae(risk), f"{run}/ae_summary")
-        write_table(D.ae_by_segment(priced), f"{run}/ae_by_segment")
+        attempt.table(risk, "ae_by_risk")
+        attempt.table(D.worst_ae(risk), "ae_summary")
+        attempt.table(D.ae_by_segment(priced), "ae_by_segment")
         bins = materialize(W.woe_bins(train_x), "woe")
-        write_table(W.iv_report(bins), f"{run}/woe_report")
-        write_table(W.iv_summary(bins), f"{run}/iv_summary")
-        write_table(M.bootstrap_ci(priced, cfg.preprocess.grain), f"{run}/bootstrap_ci")
+        attempt.table(W.iv_report(bins), "woe_report")
+        attempt.table(W.iv_summary(bins), "iv_summary")
+        attempt.table(M.bootstrap_ci(priced, cfg.preprocess.grain), "bootstrap_ci")
         base = winner.model.base if isinstance(winner.model, CalibratedModel) else winner.model
         frequency = base.fitted.stages.get("gbt_class") if base.fitted is not None else None
         if frequency is not None and frequency.binning.columns:
-            write_table(D.tree_contribution_rank(align(valid_x, base.fitted.schema), frequency), f"{run}/contributions")
+            attempt.table(D.tree_contribution_rank(align(valid_x, base.fitted.schema), frequency), "contributions")
     if cfg.ablation:
-        write_table(ablation(train_x, valid_x, state.families(), cfg.benchmark, cfg.price), f"{run}/ablation")
+        attempt.table(ablation(train_x, valid_x, state.families(), cfg.benchmark, cfg.price), "ablation")
     if test_rows is not None:
         tested = with_row_key(test_rows, cfg.order_key)
         test_policy = aggregate_to_policy(tested, cfg.preprocess.grain, cfg.order_key)
         test_priced = R.apply_policy(winner.model.predict(transform(test_policy, state)), winner.policy)
         answer = materialize(submission(tested, test_priced, UNIQUE_ID, cfg.preprocess.grain), "submission")
         check_submission(tested, answer)
-        write_table(test_priced, f"{run}/test_predictions")
-        write_table(answer, f"{run}/submission", "csv")
+        attempt.table(test_priced, "test_predictions")
+        attempt.table(answer, "submission", "csv")
     metrics = {**{k: winner.ml.get(k) for k in ("auc", "gini", "brier")},
                **{k: winner.pricing.get(k) for k in ("policy_score", "lr_total", "lr_group1", "lr_group2", "share_group1", "in_target")}}
-    record = {"run_id": run_id, "winner": winner.name, "selection_reason": result.reason, "scheme": scheme, "path": run, "feature_count": len(state.features),
-              **{k: float(v) if v is not None else float("nan") for k, v in metrics.items()}}
-    append_leaderboard(spark, f"{out}/leaderboard", record)
-    return record
+    return {"winner": winner.name, "selection_reason": result.reason, "scheme": scheme, "feature_count": len(state.features),
+            **{k: float(v) if v is not None else float("nan") for k, v in metrics.items()}}
 
 
 def run_eda(rows: DataFrame, out: str, test_rows: DataFrame | None = None, order_key: str = ROW_KEY) -> dict[str, DataFrame]:
-    """All exploratory tables, written under ``out``."""
+    """All exploratory tables, written under ``out`` and read from there."""
+    with scratch(rows.sparkSession, "eda"):
+        names = _eda(rows, out, test_rows, order_key)
+    return {name: rows.sparkSession.read.parquet(f"{out}/tables/{name}") for name in names}
+
+
+def _eda(rows: DataFrame, out: str, test_rows: DataFrame | None, order_key: str) -> list[str]:
+    """Names of the tables written."""
     rows = materialize(with_row_key(rows, order_key), "rows")
     policy = materialize(aggregate_to_policy(rows, order_key=order_key), "policy")
     test = test_rows if test_rows is not None else rows.drop(*TARGETS)
@@ -249,12 +264,17 @@ def run_eda(rows: DataFrame, out: str, test_rows: DataFrame | None = None, order
     selection = tables["feature_selection"]
     for decision, name in (("keep", "feature_whitelist"), ("drop", "feature_droplist"), ("review", "feature_review")):
         write_table(selection.where(F.col("decision") == decision).select("feature", "reason"), f"{out}/feature_selection/{name}", "csv")
-    return tables
+    return list(tables)
 
 
 def run_stability(rows: DataFrame, cfg: RunConfig, cutoffs: Sequence[str], candidate: str, penalty: float = 1.0,
                   out: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit and price a candidate once per cut-off; the results per split and their summary."""
+    with scratch(rows.sparkSession, "stability"):
+        return _stability(rows, cfg, cutoffs, candidate, penalty, out)
+
+
+def _stability(rows: DataFrame, cfg: RunConfig, cutoffs: Sequence[str], candidate: str, penalty: float, out: str | None) -> tuple[DataFrame, DataFrame]:
     rows = with_row_key(rows, cfg.order_key)
     policy = materialize(aggregate_to_policy(rows, cfg.preprocess.grain, cfg.order_key), "policy")
     records = []

@@ -11,13 +11,13 @@ from tariffspark.models.calibrate import load_model
 from tariffspark.operators.preprocess import Preprocessor, transform
 from tariffspark.operators.pricing import PricingPolicy, apply_policy
 from tariffspark.roles import PREDICTION
-from tariffspark.sources.tables import latest_run, read_json, run_metrics
+from tariffspark.sources.runs import published
+from tariffspark.sources.tables import read_json
 
 
 def latest_path(spark: SparkSession, artifacts: str) -> str:
     """Folder of the newest run on the leaderboard."""
-    run_id = latest_run(spark, f"{artifacts}/leaderboard")
-    return run_metrics(spark, f"{artifacts}/leaderboard", run_id).first()["path"]
+    return published(spark, artifacts).agg(F.max_by("path", F.struct("finished_at", "path"))).first()[0]
 
 
 def load_policy(spark: SparkSession, run: str) -> PricingPolicy:

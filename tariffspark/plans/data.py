@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tariffspark.models.bench import side_by_side
 from tariffspark.operators import policy as P
 from tariffspark.operators import quality as Q
 from tariffspark.plans.common import oracle, rounded, sfx
-from tariffspark.session import materialize
+from tariffspark.session import materialize, shared_folder
 from tariffspark.sources import portfolio as S
+from tariffspark.sources import runs as A
 from tariffspark.sources import tables as T
 
 QUERIES, ORACLES = {}, {}
@@ -157,3 +163,42 @@ FROM driver_rows r LEFT JOIN policy p ON r.contract_number IS NOT DISTINCT FROM
 register("submission", lambda s, d: rounded(P.submission(S.driver_rows(s, d), S.priced_policies(s, d)), 3, "new_premium"),
          oracle("priced", f"""SELECT r.unique_id, r.contract_number, {sfx('p.new_premium', 3)} AS new_premium
 FROM driver_rows r LEFT JOIN priced p ON r.contract_number IS NOT DISTINCT FROM p.contract_number"""))
+
+# -- runs ---------------------------------------------------------------
+
+RUN_CUT = "2000-06-01"
+
+
+def _run_tables(s, d):
+    """The tables of a run whose first attempt ended before its manifest; readers see the second only."""
+    root = f"{shared_folder(s)}/run-tables-{uuid.uuid4().hex}"
+    policy = materialize(S.policies(s, d).select("contract_number", "operation_date", "premium", "is_claim"), "policy")
+    early = F.col("operation_date") < F.lit(RUN_CUT).cast("timestamp_ntz")
+    tables = {"full": policy, "train": policy.where(early), "valid": policy.where(~early)}
+    A.Attempt(s, root, "r1").table(policy.withColumn("premium", F.lit(-1.0)), "full")
+    done = A.Attempt(s, root, "r1")
+    for name, table in tables.items():
+        done.table(table, name)
+    done.publish({"policies": policy.count()})
+    read = [A.read_run_table(s, root, "r1", name).withColumn("table_name", F.lit(name)) for name in A.run_tables(s, root, "r1")]
+    return reduce(DataFrame.unionByName, read)
+
+
+_tables = {"full": "true", "train": f"operation_date < TIMESTAMP '{RUN_CUT}'", "valid": f"operation_date >= TIMESTAMP '{RUN_CUT}'"}
+register("run_tables", _run_tables, oracle("policy", "\nUNION ALL ".join(
+    f"SELECT contract_number, operation_date, premium, is_claim, '{name}' AS table_name FROM policy WHERE {where}" for name, where in _tables.items())))
+
+
+def _leaderboard(s, d):
+    """One run per region, appended side by side; each was tried before, and one metric is unknown to runs without a region."""
+    root = f"{shared_folder(s)}/leaderboard-{uuid.uuid4().hex}"
+    found = S.policies(s, d).groupBy(F.coalesce("region_name", F.lit("none")).alias("run_id")).agg(
+        F.count("*").alias("policies"), F.max("premium").alias("largest_premium"), F.sum("is_claim").alias("claims")).collect()
+    records = [{k: v for k, v in row.asDict().items() if k != "claims" or row["run_id"] != "none"} for row in found]
+    for tries in ([{**r, "policies": -1} for r in records], records):
+        side_by_side(s, [lambda r=r: A.Attempt(s, root, r["run_id"]).publish(r) for r in tries])
+    return A.published(s, root).select("run_id", "policies", "largest_premium", "claims")
+
+
+register("leaderboard_runs", _leaderboard, oracle("policy", """SELECT coalesce(region_name, 'none') AS run_id, count(*) AS policies, max(premium) AS largest_premium,
+  CASE WHEN coalesce(region_name, 'none') <> 'none' THEN sum(is_claim)::BIGINT END AS claims FROM policy GROUP BY 1"""))

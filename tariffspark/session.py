@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,7 @@ ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 _local_dirs: dict[str, str] = {}
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def build_session(master: str | None = None, app_name: str = "tariffspark", **conf: str) -> SparkSession:
@@ -65,6 +69,22 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     lost executor costs only the re-read of its splits.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str = "scratch") -> Iterator[str]:
+    """Tables materialized inside share one folder, whose contents are deleted at the end, also after an error.
+
+    Nothing that still reads them may leave the block.  Overwriting the folder
+    lets Spark delete it on any store; an empty table of a few bytes stays.
+    """
+    folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        spark.createDataFrame([], "nothing int").write.mode("overwrite").parquet(folder)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 from datetime import UTC, datetime
 from typing import Any
@@ -56,18 +57,23 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
 
 
 def append_leaderboard(spark: SparkSession, path: str, row: Mapping[str, Any]) -> None:
-    """Append one run; a new metric becomes a new column (older runs read it as null)."""
+    """Append one run; a new metric becomes a new column (older runs read it as null).
+
+    Every row has a folder of its own: two jobs that append to one folder would
+    delete each other's temporary files.
+    """
     stamped = {"finished_at": datetime.now(UTC).replace(tzinfo=None), **row}
-    spark.createDataFrame([stamped]).write.mode("append").parquet(path)
+    spark.createDataFrame([stamped]).coalesce(1).write.mode("error").parquet(f"{path}/entry=e-{uuid.uuid4().hex}")
 
 
 def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(path)
+    """All finished runs, one row each."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop("entry")
 
 
 def latest_run(spark: SparkSession, path: str) -> str:
     """Run id of the newest leaderboard row."""
-    return read_leaderboard(spark, path).agg(F.max_by("run_id", "finished_at")).first()[0]
+    return read_leaderboard(spark, path).agg(F.max_by("run_id", F.struct("finished_at", "run_id"))).first()[0]
 
 
 def run_metrics(spark: SparkSession, path: str, run_id: str) -> DataFrame:

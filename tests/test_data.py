@@ -1,10 +1,15 @@
 """Validation, grain change, sources."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+from tariffspark.models.bench import side_by_side
 from tariffspark.operators import policy as P
 from tariffspark.operators import quality as Q
+from tariffspark.session import materialize, scratch
+from tariffspark.sources import runs as A
 from tariffspark.sources import tables as T
 
 ROWS = "row_key string, unique_id long, contract_number string, premium double, premium_wo_term double, is_claim int, claim_amount double, claim_cnt double, " \
@@ -106,6 +111,46 @@ def test_csv_leaderboard_and_lists(spark, rows, tmp_path):
     assert T.read_feature_list(spark, str(tmp_path / "absent")) == set() and T.read_feature_list(spark, None) == set()
 
 
+def test_a_run_exists_once_it_is_published(spark, rows, tmp_path):
+    root = str(tmp_path / "artifacts")
+    assert A.published(spark, root).count() == 0
+    lost = A.Attempt(spark, root, "r1")
+    lost.table(rows, "train")
+    assert A.published(spark, root).count() == 0
+    with pytest.raises(LookupError):
+        A.read_run_table(spark, root, "r1", "train")
+    done = A.Attempt(spark, root, "r1")
+    done.table(rows.limit(2), "train")
+    done.table(rows.limit(3), "answer", "csv")
+    side_by_side(spark, [lambda: done.publish({"auc": 0.5}), lambda: A.Attempt(spark, root, "r2").publish({"auc": 0.7, "brier": 0.1})])
+    board = {r["run_id"]: r for r in A.published(spark, root).collect()}
+    assert set(board) == {"r1", "r2"} and board["r1"]["path"] == done.path and board["r1"]["brier"] is None
+    assert A.run_tables(spark, root, "r1") == {"train": "parquet", "answer": "csv"}
+    assert [A.read_run_table(spark, root, "r1", name).count() for name in ("train", "answer")] == [2, 3]
+    with pytest.raises(LookupError):
+        A.read_run_table(spark, root, "r1", "other")
+    again = A.Attempt(spark, root, "r1")
+    again.publish({"auc": 0.9})
+    assert A.run_path(spark, root, "r1") == again.path and A.published(spark, root).count() == 2
+
+
+def test_scratch_tables_go_with_their_block(spark, rows):
+    def files(folder):
+        return sorted(p for p in Path(folder.removeprefix("file:")).rglob("part-*.parquet"))
+
+    with scratch(spark) as folder:
+        kept = materialize(rows, "a")
+        parts = side_by_side(spark, [lambda: materialize(rows, "b"), lambda: materialize(rows, "c")])
+        assert kept.count() == 5 and [p.count() for p in parts] == [5, 5]
+        assert {p.parent.name[0] for p in files(folder)} == {"a", "b", "c"}
+    assert all(p.parent.name == Path(folder).name for p in files(folder))
+    with pytest.raises(ZeroDivisionError), scratch(spark) as folder:
+        materialize(rows, "d")
+        1 / 0
+    assert all(p.parent.name == Path(folder).name for p in files(folder))
+    assert materialize(rows, "e").count() == 5
+
+
 def test_partitioned_write_and_samples(spark, rows, tmp_path):
     path = str(tmp_path / "by")
     T.write_table(rows, path, partition_by=["is_claim"])
