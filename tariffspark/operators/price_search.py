@@ -27,6 +27,7 @@ from tariffspark.operators.pricing import (
     PRICE_CAP, PricingPolicy, Retention, kpis_from_sums, net_share, portfolio_kpis, price_scalar, price_stratified, target_band,
 )
 from tariffspark.operators.quantiles import even_grid, exact_quantiles
+from tariffspark.operators.retention_bounds import contenders
 from tariffspark.roles import AMOUNT, PREMIUM
 from tariffspark.session import materialize
 
@@ -202,12 +203,14 @@ def _index_weights(mixes: np.ndarray, means: np.ndarray) -> np.ndarray:
 
 
 def _retained_sums(df: DataFrame, family: Family, losses: Sequence[Column], mixes: np.ndarray, means: np.ndarray, retention: Retention,
-                   bucket: Column | None = None, buckets: int = 1) -> DataFrame:
+                   bucket: Column | None = None, buckets: int = 1, only: np.ndarray | None = None) -> DataFrame:
     """KPI sums when policies are weighted by their retention, which is not a straight line in x.
 
-    Each task evaluates the grid point by point on its Arrow batches and returns
-    one row per point, weight vector (row of ``mixes``) and bucket.
+    Each task evaluates the grid point by point (or the places in ``only``) on its
+    Arrow batches and returns one row per point, weight vector (row of ``mixes``) and bucket.
     """
+    ordinals = np.arange(family.size) if only is None else only
+    family = replace(family, **{name: getattr(family, name)[ordinals] for name in ("alpha", "beta", "a", "b")})
     base = nonneg(F.col(PREMIUM))
     slim = df.select(base.alias("base"), net_share(base).alias("share"), nonneg(F.col(AMOUNT)).alias("payout"),
                      (bucket if bucket is not None else F.lit(0)).cast("int").alias("bucket"), *[loss.alias(f"loss{i}") for i, loss in enumerate(losses)])
@@ -241,12 +244,12 @@ def _retained_sums(df: DataFrame, family: Family, losses: Sequence[Column], mixe
                 if buckets == 1 or totals[v, k, 0, 0] > 0:
                     rows = family.size
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(rows, v, "int32")), pa.array(np.full(rows, k, "int32")), pa.array(np.arange(rows)),
+                        [pa.array(np.full(rows, v, "int32")), pa.array(np.full(rows, k, "int32")), pa.array(ordinals.astype("int64")),
                          *[pa.array(totals[v, k, :, i].copy()) for i in range(len(names))]], names=["variant", "bucket", "ordinal", *names])
 
     schema = "variant int, bucket int, ordinal long, " + ", ".join(f"{c} double" for c in names)
     summed = slim.mapInArrow(sum_batches, schema).groupBy("variant", "bucket", "ordinal").agg(*[F.sum(c).alias(c) for c in names])
-    points = [(int(i), float(a), float(b)) for i, (a, b) in enumerate(zip(family.alpha, family.beta))]
+    points = [(int(i), float(a), float(b)) for i, a, b in zip(ordinals, family.alpha, family.beta)]
     grid = df.sparkSession.createDataFrame(points, "ordinal long, alpha double, beta double")
     return grid.join(summed, "ordinal")
 
@@ -262,8 +265,11 @@ RANK_KEYS: dict[str, list[str]] = {
 
 def grid_candidates(df: DataFrame, alphas: Sequence[float], betas: Sequence[float], target: float = 0.7,
                     band: tuple[float, float] | None = None, loss: str = "expected_loss", kind: str = "relative_risk",
-                    retention: Retention | None = None) -> DataFrame:
-    """KPIs of every grid point as rows (ordinal, alpha, beta, lr_total, ...)."""
+                    retention: Retention | None = None, may_win: bool = False) -> DataFrame:
+    """KPIs of every grid point as rows (ordinal, alpha, beta, lr_total, ...).
+
+    With ``may_win`` and a retention, points that provably are not the best in the band by score are left out.
+    """
     limits = target_band(target, band)
     if kind == "relative_loss":
         family = relative_loss_family(alphas, betas)
@@ -274,7 +280,8 @@ def grid_candidates(df: DataFrame, alphas: Sequence[float], betas: Sequence[floa
     column = nonneg(F.col(loss))
     mean = _means(df, [column])
     if retention is not None and retention.enabled:
-        sums = _retained_sums(df, family, [column], np.ones((1, 1)), mean, retention)
+        only = contenders(df, family, column, float(mean[0]), retention, target, limits) if may_win else None
+        sums = _retained_sums(df, family, [column], np.ones((1, 1)), mean, retention, only=only)
         return kpis_from_sums(sums.drop("multiplier", "variant", "bucket"), target, limits, True)
     sums = grid_sums(bin_sums(df, family, [column], _index_weights(np.ones((1, 1)), mean)), family)
     return kpis_from_sums(sums.drop("multiplier", "variant", "bucket"), target, limits)
@@ -291,7 +298,8 @@ def best_candidate(candidates: DataFrame, key: str = "band_first", by: Sequence[
 def search_price(df: DataFrame, alphas: Sequence[float], betas: Sequence[float], target: float = 0.7,
                  band: tuple[float, float] | None = None, loss: str = "expected_loss", kind: str = "relative_risk",
                  key: str = "band_first", retention: Retention | None = None) -> DataFrame:
-    return best_candidate(grid_candidates(df, alphas, betas, target, band, loss, kind, retention), key)
+    # Prices never leave 0..3 times the premium here, so no point has violations and the first two keys agree.
+    return best_candidate(grid_candidates(df, alphas, betas, target, band, loss, kind, retention, key != "distance_first"), key)
 
 
 def refine_price(df: DataFrame, alphas: Sequence[float], betas: Sequence[float], target: float = 0.7,

@@ -157,6 +157,20 @@ register("price_grid_retention", _retention_search, oracle("scored", "SELECT ord
     f"(SELECT premium, premium_wo_term, claim_amount, ordinal, alpha, beta, {scalar_price_sql('expected_loss', MEAN, 'alpha', 'beta')} AS new_premium FROM scored, grid)",
     by="ordinal, alpha, beta", weight=retention_sql(), retention=True) + ")", grid_cte(R_ALPHA, R_BETA)))
 
+RETAINED = f"""gridkpi AS MATERIALIZED (SELECT * FROM ({kpi_select_sql(
+    f"(SELECT premium, premium_wo_term, claim_amount, ordinal, alpha, beta, {scalar_price_sql('expected_loss', MEAN, 'alpha', 'beta')} AS new_premium FROM scored, grid)",
+    by="ordinal, alpha, beta", weight=retention_sql(), retention=True)}))"""
+
+
+def _retention_best(s, d):
+    scored = materialize(S.scored_policies(s, d).select(*PRICING_COLUMNS), "scored")
+    return rounded(Z.search_price(scored, R_ALPHA, R_BETA, retention=RETENTION), 8, *KPIS, "retention_rate")
+
+
+register("price_retention_search", _retention_best, oracle("scored", "SELECT ordinal, alpha, beta, " + ", ".join(
+    f"{sfx(c, 8)} AS {c}" for c in [*KPIS, "retention_rate"]) + ", in_target, violations::DOUBLE AS violations FROM gridkpi "
+    "ORDER BY in_target DESC, policy_score DESC, share_group1 DESC, ordinal LIMIT 1", grid_cte(R_ALPHA, R_BETA), RETAINED))
+
 # Local refinement: two rounds of five points per axis around the grid optimum.
 F_ALPHA, F_BETA = [float(a) for a in np.linspace(-0.4, 1.2, 9)], [float(b) for b in np.linspace(0.8, 1.2, 9)]
 
@@ -189,30 +203,30 @@ SELECT {sfx('alpha', 7)} AS alpha, {sfx('beta', 7)} AS beta, {', '.join(f'{sfx(c
 B_ALPHA, B_BETA, PASSES = [0.0, 0.1, 0.2, 0.3, 0.4], [0.88, 0.92, 0.96, 1.0, 1.04], 2
 
 
-def _stratified_search(s, d):
+def _stratified_search(s, d, retention=None):
     scored = materialize(S.scored_policies(s, d).select(*PRICING_COLUMNS), "scored")
-    policy = Z.search_stratified(scored, B_ALPHA, B_BETA, config=Z.StratifiedSearch(BUCKETS, 50, PASSES, True))
+    policy = Z.search_stratified(scored, B_ALPHA, B_BETA, config=Z.StratifiedSearch(BUCKETS, 50, PASSES, True), retention=retention)
     params = policy.bucket_params or [{"bucket_id": -1, "alpha": policy.alpha, "beta": policy.beta}]
     rows = [(policy.kind, p["bucket_id"], p["alpha"], p["beta"]) for p in params]
     return s.createDataFrame(rows, "kind string, bucket_id int, alpha double, beta double")
 
 
-def _search_ctes():
-    """Coordinate search written out: one step per bucket over the sums of (bucket, grid point)."""
+def _search_ctes(weight="1.0::DOUBLE", reward=""):
+    """Coordinate search written out: one step per bucket over the sums of (bucket, grid point), policies weighted by ``weight``."""
     new = scalar_price_sql("expected_loss", MEAN, "alpha", "beta")
     share = "(CASE WHEN premium > 0 THEN least(greatest(premium_wo_term / premium, 0.0::DOUBLE), 1.0::DOUBLE) ELSE 1.0::DOUBLE END)"
-    sums = ["po", "ne", "po1", "ne1", "po2", "ne2", "n", "n1"]
-    ctes = [EDGES, BUCKETED, grid_cte(B_ALPHA, B_BETA), f"""st AS MATERIALIZED (SELECT risk_bucket AS b, ordinal AS g, sum(claim_amount) AS po, sum(net) AS ne,
-  coalesce(sum(claim_amount) FILTER (WHERE k), 0) AS po1, coalesce(sum(net) FILTER (WHERE k), 0) AS ne1, coalesce(sum(claim_amount) FILTER (WHERE NOT k), 0) AS po2,
-  coalesce(sum(net) FILTER (WHERE NOT k), 0) AS ne2, count(*)::DOUBLE AS n, count(*) FILTER (WHERE k)::DOUBLE AS n1, avg(np / premium) AS mm
-FROM (SELECT *, np * {share} AS net, np <= premium AS k FROM (SELECT *, {new} AS np FROM bucketed, grid)) GROUP BY 1, 2)"""]
+    sums = ["po", "ne", "po1", "ne1", "po2", "ne2", "n", "n1", "cnt"]
+    ctes = [EDGES, BUCKETED, grid_cte(B_ALPHA, B_BETA), f"""st AS MATERIALIZED (SELECT risk_bucket AS b, ordinal AS g, sum(pay) AS po, sum(net) AS ne,
+  coalesce(sum(pay) FILTER (WHERE k), 0) AS po1, coalesce(sum(net) FILTER (WHERE k), 0) AS ne1, coalesce(sum(pay) FILTER (WHERE NOT k), 0) AS po2,
+  coalesce(sum(net) FILTER (WHERE NOT k), 0) AS ne2, sum(w) AS n, coalesce(sum(w) FILTER (WHERE k), 0) AS n1, count(*)::DOUBLE AS cnt, avg(np / premium) AS mm
+FROM (SELECT *, np * {share} * w AS net, claim_amount * w AS pay, np <= premium AS k FROM (SELECT *, {weight} AS w FROM (SELECT *, {new} AS np FROM bucketed, grid))) GROUP BY 1, 2)"""]
 
     def keyed(source, head):
         r = lambda a, c: f"(CASE WHEN {c} > 0 THEN {a} / {c} ELSE 0 END)"
         t, one, two, sh = r("po", "ne"), r("po1", "ne1"), r("po2", "ne2"), r("n1", "n")
         band = f"({t} BETWEEN 0.69::DOUBLE AND 0.71::DOUBLE)::INTEGER"
         return (f"SELECT {head}, {band} AS k1, -abs({t} - 0.7::DOUBLE) - 0.7::DOUBLE * abs({one} - 0.7::DOUBLE) - 0.7::DOUBLE * abs({two} - 0.7::DOUBLE) "
-                f"+ 0.15::DOUBLE * {sh} + 0.5::DOUBLE * {band} AS k2, {sh} AS k3 FROM {source}")
+                f"+ 0.15::DOUBLE * {sh} + 0.5::DOUBLE * {band}{reward} AS k2, {sh} AS k3 FROM {source}")
 
     total = ", ".join(f"sum({c}) AS {c}" for c in sums)
     ctes.append(f"start AS (SELECT g AS g0, g AS g1, g AS g2, k1, k2, k3 FROM ({keyed(f'(SELECT g, {total} FROM st GROUP BY g)', 'g')}) ORDER BY k1 DESC, k2 DESC, k3 DESC, g LIMIT 1)")
@@ -233,9 +247,12 @@ ORDER BY k1 DESC, k2 DESC, k3 DESC, pick LIMIT 1)""")
     return ctes
 
 
-register("price_stratified_search", _stratified_search, oracle("scored", "\nUNION ALL ".join(
+_FOUND = "\nUNION ALL ".join(
     f"SELECT 'stratified' AS kind, {b}::INTEGER AS bucket_id, alpha, beta FROM step{PASSES * BUCKETS - 1} JOIN grid ON ordinal = g{b} WHERE (SELECT ok FROM usable)"
-    for b in range(BUCKETS)) + "\nUNION ALL SELECT 'scalar', -1, alpha, beta FROM start JOIN grid ON ordinal = g0 WHERE NOT (SELECT ok FROM usable)", *_search_ctes()))
+    for b in range(BUCKETS)) + "\nUNION ALL SELECT 'scalar', -1, alpha, beta FROM start JOIN grid ON ordinal = g0 WHERE NOT (SELECT ok FROM usable)"
+register("price_stratified_search", _stratified_search, oracle("scored", _FOUND, *_search_ctes()))
+register("price_stratified_retention", lambda s, d: _stratified_search(s, d, RETENTION),
+         oracle("scored", _FOUND, *_search_ctes(retention_sql("np"), " + 0.1::DOUBLE * n / cnt")))
 
 # -- blends --------------------------------------------------------------------------------------------
 W_ALPHA, W_BETA, STEP = [0.0, 0.2, 0.4, 0.6, 0.8], [0.86, 0.9, 0.94, 0.98, 1.02], 0.25
@@ -251,26 +268,36 @@ def _with_losses(df):
     })
 
 
-def _blend(s, d):
+def _blend(s, d, retention=None):
     scored = _with_losses(S.scored_policies(s, d)).select("contract_number", "premium", "premium_wo_term", "claim_amount", *LOSSES)
-    out = Z.blend_weight_search(materialize(scored, "losses"), LOSSES, W_ALPHA, W_BETA, STEP, limits={"share_group1_max": 0.9})
-    return rounded(out.drop("ordinal", "violations", "clean"), 8, *KPIS)
+    out = Z.blend_weight_search(materialize(scored, "losses"), LOSSES, W_ALPHA, W_BETA, STEP, limits={"share_group1_max": 0.9}, retention=retention)
+    return rounded(out.drop("ordinal", "violations", "clean"), 8, *KPIS, *(["retention_rate"] if retention else []))
 
 
 _mixes = Z.simplex_weights(3, STEP)
-BLEND = [
-    """losses AS (SELECT *, expected_loss AS loss_a, 0.1::DOUBLE * expected_severity + 0.25::DOUBLE * expected_loss AS loss_b,
+
+
+def _blend_ctes(weight="1.0::DOUBLE", retention=False):
+    return [
+        """losses AS (SELECT *, expected_loss AS loss_a, 0.1::DOUBLE * expected_severity + 0.25::DOUBLE * expected_loss AS loss_b,
   1500.0::DOUBLE * SCORE_1_1 + 0.3::DOUBLE * premium AS loss_c FROM scored)""",
-    "mixes AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{float(w)!r}::DOUBLE' for w in m)})" for i, m in enumerate(_mixes)) + ") t(variant, wa, wb, wc))",
-    "mixed AS (SELECT premium, premium_wo_term, claim_amount, variant, wa * loss_a + wb * loss_b + wc * loss_c AS el FROM losses, mixes)",
-    "mixmean AS (SELECT variant, avg(el) AS m FROM mixed GROUP BY variant)",
-    grid_cte(W_ALPHA, W_BETA),
-    "mixkpi AS MATERIALIZED (SELECT * FROM (" + kpi_select_sql(
-        f"(SELECT premium, premium_wo_term, claim_amount, variant, ordinal, alpha, beta, {scalar_price_sql('el', 'm', 'alpha', 'beta')} AS new_premium FROM mixed JOIN mixmean USING (variant), grid)",
-        by="variant, ordinal, alpha, beta") + "))",
-    """mixbest AS (SELECT *, (violations = 0 AND lr_total >= 0.69 AND lr_total <= 0.71 AND share_group1 >= 0 AND share_group1 <= 0.9)::INTEGER AS passes FROM mixkpi
+        "mixes AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{float(w)!r}::DOUBLE' for w in m)})" for i, m in enumerate(_mixes)) + ") t(variant, wa, wb, wc))",
+        "mixed AS (SELECT premium, premium_wo_term, claim_amount, variant, wa * loss_a + wb * loss_b + wc * loss_c AS el FROM losses, mixes)",
+        "mixmean AS (SELECT variant, avg(el) AS m FROM mixed GROUP BY variant)",
+        grid_cte(W_ALPHA, W_BETA),
+        "mixkpi AS MATERIALIZED (SELECT * FROM (" + kpi_select_sql(
+            f"(SELECT premium, premium_wo_term, claim_amount, variant, ordinal, alpha, beta, {scalar_price_sql('el', 'm', 'alpha', 'beta')} AS new_premium FROM mixed JOIN mixmean USING (variant), grid)",
+            by="variant, ordinal, alpha, beta", weight=weight, retention=retention) + "))",
+        """mixbest AS (SELECT *, (violations = 0 AND lr_total >= 0.69 AND lr_total <= 0.71 AND share_group1 >= 0 AND share_group1 <= 0.9)::INTEGER AS passes FROM mixkpi
 QUALIFY row_number() OVER (PARTITION BY variant ORDER BY in_target DESC, policy_score DESC, share_group1 DESC, ordinal) = 1)""",
-]
-register("blend_weight_search", _blend, oracle("scored", f"""
-SELECT variant::INTEGER AS variant, wa AS w_loss_a, wb AS w_loss_b, wc AS w_loss_c, alpha, beta, {', '.join(f'{sfx(c, 8)} AS {c}' for c in KPIS)}, in_target, passes,
-  (row_number() OVER (ORDER BY passes DESC, policy_score DESC, variant) = 1)::INTEGER AS chosen FROM mixbest JOIN mixes USING (variant)""", *BLEND))
+    ]
+
+
+def _blend_sql(kpis, **kw):
+    return oracle("scored", f"""
+SELECT variant::INTEGER AS variant, wa AS w_loss_a, wb AS w_loss_b, wc AS w_loss_c, alpha, beta, {', '.join(f'{sfx(c, 8)} AS {c}' for c in kpis)}, in_target, passes,
+  (row_number() OVER (ORDER BY passes DESC, policy_score DESC, variant) = 1)::INTEGER AS chosen FROM mixbest JOIN mixes USING (variant)""", *_blend_ctes(**kw))
+
+
+register("blend_weight_search", _blend, _blend_sql(KPIS))
+register("blend_weight_retention", lambda s, d: _blend(s, d, RETENTION), _blend_sql([*KPIS, "retention_rate"], weight=retention_sql(), retention=True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tariffspark.operators import diagnostics as G
 from tariffspark.operators import price_search as Z
 from tariffspark.operators import pricing as R
+from tariffspark.operators import retention_bounds as B
 from tariffspark.operators import selection as C
 
 SCHEMA = "contract_number long, premium double, premium_wo_term double, is_claim int, claim_amount double, expected_loss double"
@@ -113,6 +114,34 @@ def test_refinement_is_never_worse(portfolio):
     assert -0.5 <= fine["alpha"] <= 1.0 and 0.6 <= fine["beta"] <= 1.2
 
 
+@pytest.mark.parametrize("keep", [R.Retention(enabled=True), R.Retention(True, 0.8, -3.0, 0.1)])
+def test_bounds_never_lose_the_best_point(portfolio, keep):
+    _, df = portfolio
+    alphas, betas = list(np.linspace(-0.6, 2.0, 14)), list(np.linspace(0.5, 1.8, 27))
+    family, mean = Z.relative_risk_family(alphas, betas), float(Z._means(df, [F.col("expected_loss")])[0])
+    every = {r["ordinal"]: r for r in Z.grid_candidates(df, alphas, betas, retention=keep).collect()}
+    best = max(every.values(), key=lambda r: (r["in_target"], r["policy_score"], r["share_group1"], -r["ordinal"]))
+    for cells in (3, 512):
+        found = B.score_bounds(B.cell_table(df, F.col("expected_loss"), mean, cells), family, keep, 0.7, (0.69, 0.71))
+        for g, r in every.items():
+            assert found["least"][g] - 1e-9 <= r["policy_score"] <= found["most"][g] + 1e-9
+            assert found["sure"][g] <= r["in_target"] <= found["possible"][g]
+        left = B.contenders(df, family, F.col("expected_loss"), mean, keep, 0.7, (0.69, 0.71), cells)
+        assert best["ordinal"] in left and (cells == 3 or len(left) < len(every) / 4)
+    chosen = Z.search_price(df, alphas, betas, retention=keep).first()
+    assert all(chosen[c] == pytest.approx(best[c], abs=1e-9) for c in best.asDict())
+
+
+@pytest.mark.parametrize("name,columns", [("empty", {}), ("no premium", {"premium": "0.0D"}), ("no losses", {"expected_loss": "0.0D"}),
+                                          ("nulls", {"expected_loss": "cast(null as double)", "claim_amount": "cast(null as double)"})])
+def test_bounded_search_without_premiums_losses_or_rows(portfolio, name, columns):
+    df = portfolio[1].withColumns({c: F.expr(e) for c, e in columns.items()}) if columns else portfolio[1].limit(0)
+    keep = R.Retention(enabled=True)
+    every = Z.grid_candidates(df, [0.0, 0.5], [0.8, 1.0], retention=keep)
+    want, got = Z.best_candidate(every).first(), Z.search_price(df, [0.0, 0.5], [0.8, 1.0], retention=keep).first()
+    assert got["ordinal"] == want["ordinal"] and got["policy_score"] == pytest.approx(want["policy_score"])
+
+
 def test_retention_falls_with_the_price(spark):
     df = spark.createDataFrame([(100.0, v) for v in (80.0, 100.0, 120.0, 160.0)], "b double, n double")
     got = [r[0] for r in df.select(R.retention_probability(F.col("b"), F.col("n"), R.Retention(enabled=True))).collect()]
