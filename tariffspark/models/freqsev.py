@@ -18,6 +18,7 @@ from tariffspark.functions.columns import clip, nonneg
 from tariffspark.models import boosting as G
 from tariffspark.models.matrix import FeatureSchema, align, fit_matrix, infer_schema
 from tariffspark.models.oof import FOLD_KEY, with_fold_key
+from tariffspark.models.optimality import score_equations
 from tariffspark.operators import woe as W
 from tariffspark.operators.split import group_folds
 from tariffspark.roles import AMOUNT, CLAIM, CONTRACT, PREDICTION
@@ -62,6 +63,27 @@ def fit_balanced_logistic(vectors: DataFrame, max_iter: int = 300, balanced: boo
                               elasticNetParam=0.0, standardization=False).fit(vectors.withColumn("w", weight))
 
 
+def fit_ridge(claims: DataFrame, n: int, alpha: float) -> LinearRegressionModel:
+    """Ridge regression whose penalty is alpha on the sum of squares: Spark divides the penalty it is given by the target's deviation."""
+    spread = claims.agg(F.stddev_pop("target")).first()[0] or 1.0
+    return LinearRegression(labelCol="target", featuresCol="features", elasticNetParam=0.0, standardization=False, regParam=alpha / max(n, 1) * spread).fit(claims)
+
+
+def linear_equations(vectors: DataFrame, logistic: LogisticRegressionModel, claims: DataFrame, ridge: LinearRegressionModel | None,
+                     alpha: float) -> list[tuple[str, int, float]]:
+    """(part, rows, largest equation) of a balanced logistic and a ridge fit: zero where the fit is the optimum."""
+    classes = class_weights(vectors.withColumnRenamed("y", CLAIM)).collect()
+    weight = F.coalesce(*[F.when(F.col("y") == r[CLAIM], F.lit(r["weight"])) for r in classes])
+    scored = logistic.transform(vectors).withColumn("_p", vector_to_array("probability")[1])
+    n, found = score_equations(scored, weight * (F.col("_p") - F.col("y")), logistic.coefficients.toArray(), 1.0 / sum(r["n"] for r in classes))
+    out = [("frequency", n, float(abs(found).max()))]
+    if ridge is not None:
+        n = claims.count()
+        n, found = score_equations(ridge.transform(claims), F.col("prediction") - F.log1p("amount"), ridge.coefficients.toArray(), alpha / n)
+        out.append(("severity", n, float(abs(found).max())))
+    return out
+
+
 @dataclass
 class Fitted:
     """Common parts of a fitted model: where its columns come from and how severity is predicted."""
@@ -145,9 +167,13 @@ class FrequencySeverity(RiskModel):
         return "logistic", fit_balanced_logistic(vectors, int(self.params["max_iter"]))
 
     def _fit_severity(self, claims: DataFrame, n: int):
-        ridge = LinearRegression(labelCol="target", featuresCol="features", elasticNetParam=0.0, standardization=False,
-                                 regParam=float(self.params["ridge_alpha"]) / max(n, 1))
-        return "ridge", ridge.fit(claims)
+        return "ridge", fit_ridge(claims, n, float(self.params["ridge_alpha"]))
+
+    def equations(self, df: DataFrame) -> list[tuple[str, int, float]]:
+        """Score equations of the fit on the table it was fitted on."""
+        f = self._ready()
+        vectors = materialize(self._vectors(align(df, f.schema), f.stages["matrix"]), "equations")
+        return linear_equations(vectors, f.stages["logistic"], vectors.where("y > 0"), f.stages.get("ridge"), float(self.params["ridge_alpha"]))
 
     def _probability(self, df: DataFrame, f: Fitted) -> DataFrame:
         """``df`` with features and p (a model over the aligned columns)."""
@@ -355,12 +381,20 @@ class WoeFrequencySeverity(RiskModel):
         if constant["claims"] >= MIN_CLAIMS:
             claims = self._numbers(df, schema).where(label() > 0)
             numbers = Pipeline(stages=[VectorAssembler(inputCols=schema.numeric, outputCol="features")]).fit(claims)
-            ridge = LinearRegression(labelCol="target", featuresCol="features", standardization=False, elasticNetParam=0.0,
-                                     regParam=float(p["ridge_alpha"]) / constant["claims"])
-            stages |= {"severity_matrix": numbers, "ridge": ridge.fit(self._vectors(claims, numbers).withColumn("target", F.log1p("amount")))}
+            vectors = self._vectors(claims, numbers).withColumn("target", F.log1p("amount"))
+            stages |= {"severity_matrix": numbers, "ridge": fit_ridge(vectors, constant["claims"], float(p["ridge_alpha"]))}
         self.fitted = Fitted(p, schema, constant["severity_constant"], stages)
         return self
 
+    def equations(self, df: DataFrame) -> list[tuple[str, int, float]]:
+        """Score equations of the fit on the table it was fitted on."""
+        f = self._ready()
+        encoded = W.woe_transform(align(df, f.schema), self.bins, self.selected)
+        encoded = encoded if self.selected else encoded.withColumn("_none", F.lit(0.0))
+        vectors = materialize(self._vectors(encoded, f.stages["matrix"]), "equations")
+        claims = self._vectors(self._numbers(df, f.schema).where(label() > 0), f.stages["severity_matrix"]) if "ridge" in f.stages else vectors
+        return linear_equations(vectors, f.stages["logistic"], claims, f.stages.get("ridge"), float(self.params["ridge_alpha"]))
+
     def _score(self, df: DataFrame, f: Fitted) -> DataFrame:
         encoded = W.woe_transform(align(df, f.schema), self.bins, self.selected)
         if not self.selected:

@@ -134,6 +134,42 @@ register("woe_fit", _predictions("woe_freq_sev"))
 register("tweedie_fit", _predictions("tweedie_aggregate"))
 
 
+def _equations(s, d):
+    """The score equations of the linear fits, penalty included, at the fitted coefficients: zero at the optimum and nowhere else.
+
+    Least squares is solved exactly; the logistic fit stops when steps gain little, so its equations are zero to four digits.
+    """
+    train = _splits(s, d)[2]
+    rows = [(kind, *found) for kind in ("baseline_freq_sev", "woe_freq_sev") for found in M.build_candidate(kind).fit(train).equations(train)]
+    table = s.createDataFrame(rows, "model string, part string, policies long, largest_equation double")
+    digits = F.when(F.col("part") == "severity", F.round("largest_equation", 9)).otherwise(F.round("largest_equation", 4))
+    return table.withColumn("largest_equation", digits)
+
+
+register("fit_equations", _equations, oracle("policy", "\nUNION ALL ".join(
+    f"SELECT '{kind}' AS model, '{part}' AS part, count(*) AS policies, 0.0::DOUBLE AS largest_equation FROM policy WHERE operation_date < TIMESTAMP '{CUTOFF}'{where}"
+    for kind in ("baseline_freq_sev", "woe_freq_sev") for part, where in (("frequency", ""), ("severity", " AND is_claim > 0")))))
+
+
+def _score_saved(s, d):
+    """Predictions of the saved run beside those of the model that is still in memory; both are the same numbers."""
+    policy, state, train, valid = _splits(s, d)
+    run = f"{shared_folder(s)}/run-{uuid.uuid4().hex}"
+    state.save(s, f"{run}/preprocessor")
+    model = M.build_candidate("baseline_freq_sev").fit(train)
+    model.save(s, f"{run}/model")
+    records = policy.where(F.col("operation_date") >= F.lit(CUTOFF).cast("timestamp_ntz"))
+    saved = K.score_batch(s, run, records).select("contract_number", *PREDICTION)
+    other = model.predict(valid).select("contract_number", *[F.col(c).alias(f"_{c}") for c in PREDICTION])
+    gap = F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) / F.greatest(F.abs(F.col(c)), F.lit(1.0)) for c in PREDICTION])
+    product = F.abs(F.col("expected_loss") - F.col("p_claim") * F.col("expected_severity"))
+    return saved.join(other, "contract_number").select("contract_number", F.round(gap, 9).alias("gap"), F.round(product, 6).alias("product_gap"))
+
+
+register("score_saved_equals_fitted", _score_saved, oracle("policy", f"""
+SELECT contract_number, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS product_gap FROM policy WHERE operation_date >= TIMESTAMP '{CUTOFF}'"""))
+
+
 def _oof(s, d):
     return C.oof_predictions(_splits(s, d)[2], "baseline_freq_sev")
 

@@ -60,6 +60,17 @@ def test_models_find_the_signal_and_survive_saving(spark, halves, tmp_path, kind
     assert first == pytest.approx(second)
 
 
+@pytest.mark.parametrize("kind", ["baseline_freq_sev", "woe_freq_sev"])
+def test_linear_fits_solve_their_score_equations(halves, kind):
+    train, _ = halves
+    model = M.build_candidate(kind, {"ridge_alpha": 7.0}).fit(train)
+    found = {part: (n, worst) for part, n, worst in model.equations(train)}
+    assert found["frequency"][0] == train.count() and found["frequency"][1] < 1e-4
+    assert found["severity"][0] == train.where("is_claim > 0").count() and found["severity"][1] < 1e-9
+    model.params["ridge_alpha"] = 70.0
+    assert dict((part, worst) for part, _, worst in model.equations(train))["severity"] > 1e-6
+
+
 def test_too_few_claims_use_their_mean(halves):
     train, valid = halves
     few = train.where("is_claim = 0").unionByName(train.where("is_claim = 1").limit(5))
