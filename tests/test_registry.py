@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 # Fitted models are covered by test_models.py; here they would only repeat long fits.
 MODELS = {"freq_sev_fit", "gbt_freq_sev", "dependent_severity", "woe_fit", "tweedie_fit", "oof_predictions",
-          "calibration_report", "benchmark_table", "ablation", "parameter_sweep", "final_refit_price", "score_batch"}
+          "calibration_report", "benchmark_table", "ablation", "parameter_sweep", "final_refit_price", "score_batch", "fit_equations"}
 CORE = {name for module in entry.MODULES for name in module.QUERIES}
 NAMES = sorted(CORE & set(entry.oracle_sql()))
 
