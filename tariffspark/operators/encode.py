@@ -28,9 +28,11 @@ def clean_numeric_columns(df: DataFrame, columns: Sequence[str] = NUMERIC_LIKE)
     """Clean the numeric-like columns: numeric ones become double, text ones canonical number text."""
     for field in df.schema.fields:
         if field.name in columns:
-            number = clean_numeric_like(F.col(field.name), field.name)
             numeric = is_numeric(field.dataType)
-            df = df.withColumn(field.name, F.col(field.name).cast("double") if numeric else number_as_text(number))
+            # The number first, as a column of its own: its text refers to it several times.
+            df = df.withColumn(field.name, F.col(field.name).cast("double") if numeric else clean_numeric_like(F.col(field.name), field.name))
+            if not numeric:
+                df = df.withColumn(field.name, number_as_text(F.col(field.name)))
     return df
 
 
