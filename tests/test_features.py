@@ -179,7 +179,7 @@ def test_lists_steer_the_columns(spark):
 def test_interactions_without_psi_say_why(spark):
     df = spark.sql("SELECT id AS contract_number, timestamp_ntz'2022-01-01' + make_dt_interval(CAST(id AS INT)) AS operation_date, CAST(id % 7 AS DOUBLE) AS a, "
                    "CAST(id * id % 11 AS DOUBLE) AS ab, CAST(id % 2 AS INT) AS is_claim, CAST(id AS DOUBLE) AS claim_amount FROM range(100)")
-    rows = prune.prune_features(df, ["a", "ab"], ["ab"], date="operation_date").decisions
+    rows = P.prune_features(df, ["a", "ab"], ["ab"], date="operation_date").decisions
     assert [d["note"] for d in rows if d["feature"] == "ab"] == ["too few rows for PSI: 100, minimum 1000"]
 
 
