@@ -20,13 +20,15 @@ A document is the set of its distinct word shingles, kept as 64-bit hashes
    which is the middle of a group of near copies. What is linked becomes a
    component, and from there on only sets of different components are compared:
    those near a common pivot in blocks, which give back no more links than
-   join their components. Where many pairs are left, each key takes another
-   pivot among the sets that are near none, for as long as that settles a good
-   part of them. The rest meet pair by pair, within the bounds on length and
-   position and unless their distances to a common pivot differ by more than
-   linked sets may (Jaccard distances obey the triangle inequality). No link
-   between components is lost. Keys with the same sets behind them, as copies
-   make them, count as one from the start.
+   join their components. Jaccard distances obey the triangle inequality, so
+   all that is linked to a set well inside such a block is in the block too,
+   and the set leaves the key. Where the rows left could make more pairs than
+   the index has rows, each key takes another pivot, for as long as that
+   settles a good part of them: a round makes one row per row, never a pair.
+   The rest meet pair by pair, within the bounds on length and position and
+   unless their distances to a common pivot differ by more than linked sets
+   may. No link between components is lost. Keys with the same sets behind
+   them, as copies make them, count as one from the start.
 
 Defined results: null texts and texts without words have no shingles, link
 with nothing and are their own component; equal sets are linked; component_id
@@ -48,8 +50,9 @@ PART = 0.3          # share of the hash range that is counted for large sets
 SMALL = 240         # sets up to this size use all their tokens
 RARE = 64           # document frequency up to which a token is indexed singly
 SPREAD = 256        # partners that one copy of a set serves in verification
-NEAR = 50           # percent of similarity to a pivot that puts a set into its cell
+NEAR = 30           # percent of similarity to a pivot that puts a set into its cell
 BLOCK = 256         # sets on either side of a block
+OPEN = 1            # pairs per index row that pivots may leave to be compared one by one
 
 
 def shingler(n: int):
@@ -466,14 +469,13 @@ def classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_column: str
 
     links, settled = None, None
     rows = index.withColumn("far", F.lit(True)).withColumn("marks", F.array().cast("array<struct<pivot: long, far: double, near: boolean>>"))
-    before = None
+    most, before, most_away = OPEN * index.count(), None, (100 - percent) / 100
     while True:
-        first = rows.where("far").groupBy("key").agg(F.min(F.struct("pos", "rid")).alias("first")).select("key", F.col("first.rid").alias("pivot"))
-        rows = materialize(rows.join(first, "key"), "jaccard-round")
-        pivots = rows.where("rid = pivot").groupBy("key", "rid", "n").agg(F.min("pos").alias("pos"))
-        stars = (rows.where("rid <> pivot").alias("y").join(pivots.alias("x"), F.col("x.key") == F.col("y.key")).where(_possible("x", "y", percent))
-                 .select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
-        scored = _scored(stars, sets, "jaccard-stars")
+        # The pivot is near no other if it can be. All sets of the key meet it, also those that can't be linked to it: what counts is how far they are.
+        first = rows.groupBy("key").agg(F.min(F.struct((~F.col("far")).alias("near"), "pos", "rid", "n")).alias("first"))
+        rows = materialize(rows.join(first.select("key", F.col("first.rid").alias("pivot"), F.col("first.n").alias("pivot_n")), "key"), "jaccard-round")
+        rest = rows.where("rid <> pivot")
+        scored = _scored(rest.select(F.col("pivot").alias("a"), F.col("rid").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb")).distinct(), sets, "jaccard-stars")
         found = scored.where(_at_least(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = found if links is None else links.unionByName(found)
         groups = materialize(connected_components(links, "jaccard-groups"), "jaccard-groups")
@@ -484,25 +486,30 @@ def classes(docs: DataFrame, shingle: int = 4, percent: int = 85, id_column: str
 
         met = scored.select(F.col("a").alias("pivot"), F.col("b").alias("rid"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("away"),
                             _at_least(NEAR).alias("near"))
-        mark = F.array(F.struct("pivot", F.col("away").alias("far"), "near"))
-        rows = (rows.where("rid <> pivot").join(met, ["pivot", "rid"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-                .select("key", "rid", "n", "pos", (F.col("far") & ~F.col("near")).alias("far"),
-                        F.when(F.col("away").isNull(), F.col("marks")).otherwise(F.concat("marks", mark)).alias("marks"))
+        # Whatever is linked to a set this close to the pivot lies in the cell, too: the key has nothing left for the set.
+        edge = (100 - NEAR) / 100 - most_away - 1e-9
+        rows = (rest.join(met, ["pivot", "rid"]).where(F.col("away") > edge)
+                .select("key", "rid", "n", "pos", "near", (F.col("far") & ~F.col("near")).alias("far"),
+                        F.concat("marks", F.array(F.struct("pivot", F.col("away").alias("far"), "near"))).alias("marks"))
                 .join(groups.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid")))
         rows = materialize(rows, "jaccard-open")
-        divided = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("far").alias("apart")).where("lo <> hi and apart").select("key")
-        rows = materialize(rows.join(divided, "key", "left_semi"), "jaccard-open")
-        # What is left: pairs across components that share no cell, and whose distances to a common pivot allow them.
-        apart = F.expr(f"exists(x.marks, m -> exists(y.marks, o -> o.pivot = m.pivot and (m.near and o.near or abs(o.far - m.far) > {(100 - percent) / 100 + 1e-9})))")
-        unlike = ((F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.component") != F.col("y.component"))
-                  & _possible("x", "y", percent) & ~apart)
-        across = rows.alias("x").join(rows.alias("y"), unlike).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        # Pairs that lie in the cell of this round's pivot are settled; sets near different pivots have yet to meet.
+        c, inner = F.count(F.lit(1)), F.count(F.when(F.col("near"), 1))
+        divided = (rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), ((c * (c - 1) - inner * (inner - 1)) / 2).alias("pairs"))
+                   .where("lo <> hi and pairs > 0").select("key", "pairs"))
+        divided = materialize(divided, "jaccard-divided")
+        rows = materialize(rows.join(divided.select("key"), "key", "left_semi").drop("near"), "jaccard-open")
         # Another round pays where many pairs are left for the sets, and as long as rounds take a good part of them away.
-        pairs = across.count()
-        if pairs <= rows.count() or (before is not None and pairs > 0.8 * before):
+        pairs = divided.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        if pairs <= most or (before is not None and pairs > 0.8 * before):
             break
         before, rows = pairs, rows.drop("component")
 
+    # What is left: pairs across components that share no cell, and whose distances to a common pivot allow them.
+    apart = F.expr(f"exists(x.marks, m -> exists(y.marks, o -> o.pivot = m.pivot and (m.near and o.near or abs(o.far - m.far) > {most_away + 1e-9})))")
+    unlike = ((F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.component") != F.col("y.component"))
+              & _possible("x", "y", percent) & ~apart)
+    across = rows.alias("x").join(rows.alias("y"), unlike).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     outside = _scored(across.distinct(), sets, "jaccard-across").where(_at_least(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     groups = connected_components(links.unionByName(settled).unionByName(outside), "jaccard-groups")
 

@@ -213,6 +213,44 @@ def test_join_equals_brute_force(spark, monkeypatch, n, percent):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got.collect()) == brute_components(rows, n, percent)
 
 
+def family(draw, size, words):
+    """Copies of one text with more and more edits and with ends of their own, some of them linked and many not."""
+    middle, rows = draw.choices(words, k=90), []
+    for i in range(size):
+        copy = list(middle)
+        for _ in range(draw.randrange(14)):
+            copy[draw.randrange(len(copy))] = draw.choice(words)
+        rows.append((i, " ".join(copy + draw.choices(words, k=draw.randrange(40)))))
+    return rows
+
+
+@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
+def test_join_in_many_rounds_equals_brute_force(spark, monkeypatch, n, percent):
+    for name, value in (("OPEN", 0), ("BLOCK", 16), ("RARE", 8), ("NEAR", 70)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = family(random.Random(n), 90, [f"w{i}" for i in range(4000)])
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=n, percent=percent)
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got.collect()) == brute_components(rows, n, percent)
+
+
+def test_join_compares_no_more_pairs_than_index_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "RARE", 8)
+    written, write = {}, jaccard.materialize
+
+    def noted(df, label):
+        written[label] = write(df, label)
+        return written[label]
+
+    monkeypatch.setattr(jaccard, "materialize", noted)
+    for size in (60, 300):
+        rows = family(random.Random(size), size, [f"w{i}" for i in range(4000)])
+        jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+        left = written["jaccard-open"].select("key", "rid", "component")
+        other = left.toDF("key", "other", "home")
+        compared = left.join(other, "key").where("rid < other and component <> home").count()
+        assert compared <= written["jaccard-index"].count()
+
+
 def test_one_of_each_of_odd_rows(odd, none):
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns
